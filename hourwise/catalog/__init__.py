@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 DIGITS = 6
+# Values that are exact decimal ties (e.g. means of 2-decimal data) would round either way depending on the
+# engines' last-bit differences; a fixed offset far below the rounding step moves them off the tie on both sides.
+NUDGE = 3e-9
 
 
 def register(name: str, sql: str | None = None):
@@ -35,7 +38,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(c, digits) + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(c + F.lit(NUDGE), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(c)
     return df.select(*cols)
@@ -43,7 +46,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def r(expr: str, digits: int = DIGITS) -> str:
     """SQL twin of ``rounded`` for one expression."""
-    return f"(round(({expr})::DOUBLE, {digits}) + 0.0)"
+    return f"(round(({expr})::DOUBLE + {NUDGE!r}, {digits}) + 0.0)"
 
 
 # ------------------------------------------------------------------ SQL building blocks (DuckDB)

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EPOCH = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 MICROS_PER_HOUR = 3_600_000_000
 
 
+def epoch() -> Column:
+    """1970-01-01 00:00 as a wall-clock timestamp (built lazily: needs an active session)."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -23,11 +27,11 @@ def ntz(col) -> Column:
 
 def epoch_micros(col) -> Column:
     """Microseconds since 1970-01-01 00:00 of a wall-clock timestamp (bigint)."""
-    return F.timestamp_diff("MICROSECOND", EPOCH, ntz(col))
+    return F.timestamp_diff("MICROSECOND", epoch(), ntz(col))
 
 
 def from_epoch_micros(micros) -> Column:
-    return F.timestamp_add("MICROSECOND", _c(micros).cast("bigint"), EPOCH)
+    return F.timestamp_add("MICROSECOND", _c(micros).cast("bigint"), epoch())
 
 
 def epoch_hours(col) -> Column:
@@ -36,7 +40,7 @@ def epoch_hours(col) -> Column:
 
 
 def from_epoch_hours(hours) -> Column:
-    return F.timestamp_add("HOUR", _c(hours).cast("bigint"), EPOCH)
+    return F.timestamp_add("HOUR", _c(hours).cast("bigint"), epoch())
 
 
 def round_hour(col) -> Column:
@@ -45,7 +49,7 @@ def round_hour(col) -> Column:
     Exact decimal division, so a tie is a tie and one microsecond off a tie is not.
     """
     hours = F.bround(epoch_micros(col).cast("decimal(20,0)") / F.lit(MICROS_PER_HOUR), 0).cast("bigint")
-    return F.timestamp_add("HOUR", hours, EPOCH)
+    return F.timestamp_add("HOUR", hours, epoch())
 
 
 def month_start(col) -> Column:

@@ -1 +1,273 @@
-"""placeholder"""
+"""Registered queries: design matrix, fits, predictions, intervals, future frames, evaluation (G, A4-A6, S7,
+L7-L9)."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from hourwise import fixtures as fx
+from hourwise.catalog import DAILY, GAPPY, HBT, NUDGE, r, register, rounded
+from hourwise.functions import time as tf
+from hourwise.operators import missing as miss
+from hourwise.operators import ordered as ordd
+from hourwise.operators.filters import between_ts
+from hourwise.operators.mlselect import lasso_cv as _lasso_cv
+from hourwise.operators.mlselect import pca as _pca
+from hourwise.operators.mlselect import rfe_forest as _rfe
+from hourwise.plans import model as mdl
+from hourwise.plans.evaluate import compare, evaluate
+from hourwise.plans.recursive import forecast_recursive as _forecast_recursive
+from hourwise.plans.spec import CONFIG_A, ForecastSpec
+from hourwise.plans.workflows import prepare_future as _prepare_future
+from hourwise.plans.workflows import train, train_then_forecast as _ttf
+from hourwise.sources import io
+
+TWO_PI = 2.0 * math.pi
+CUT = "2024-01-20 00:00:00"
+LO2, HI2 = "2024-01-22 00:00:00", "2024-01-24 23:00:00"
+W_SER = "PARTITION BY series_id ORDER BY ds"
+EH = "(epoch_us(ds) // 3600000000)::DOUBLE"
+
+DESIGN_SPEC = ForecastSpec(n_changepoints=3, changepoint_range=0.9, yearly=0, weekly=2, daily=1)
+OLS_SPEC = ForecastSpec(n_changepoints=0, yearly=0, weekly=0, daily=0, trend_prior_scale=None,
+                        changepoint_prior_scale=None, seasonality_prior_scale=None, regressor_prior_scale=None)
+
+
+def _design_sql() -> str:
+    s = DESIGN_SPEC
+    cps = [s.changepoint_range * (j + 1) / s.n_changepoints for j in range(s.n_changepoints)]
+    cols = ["t"] + [f"greatest(0.0, t - {c!r}) AS cp_{j + 1}" for j, c in enumerate(cps)]
+    for name, period, order in s.seasonal_terms():
+        for i in range(1, order + 1):
+            f = TWO_PI * i / period
+            cols += [f"sin({f!r} * tau) AS {name}_sin_{i}", f"cos({f!r} * tau) AS {name}_cos_{i}"]
+    rounded_cols = []
+    for c in cols:
+        if " AS " in c:
+            e, n = c.rsplit(" AS ", 1)
+            rounded_cols.append(f"{r(e)} AS {n}")
+        else:
+            rounded_cols.append(f"{r(c)} AS {c}")
+    return f"""WITH {HBT},
+b AS (SELECT series_id, min({EH}) AS t0, max({EH}) AS t1 FROM hbt GROUP BY series_id),
+x AS (SELECT h.series_id, h.ds, ({EH} - b.t0) / (CASE WHEN b.t1 > b.t0 THEN b.t1 ELSE b.t0 + 1 END - b.t0) AS t, {EH} AS tau
+      FROM hbt h JOIN b ON h.series_id = b.series_id)
+SELECT series_id, ds, {', '.join(rounded_cols)} FROM x"""
+
+
+@register("design_matrix", _design_sql())
+def design_matrix(spark, sf):
+    """Trend time, changepoint hinges and Fourier terms of absolute hours, per series."""
+    df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    stats = mdl.history_stats(df, DESIGN_SPEC)
+    d = mdl.design_frame(df, stats, DESIGN_SPEC)
+    names = DESIGN_SPEC.term_names()
+    n_trend, n_seas, _ = DESIGN_SPEC.blocks()
+    cols = [F.col("t")] + [F.col("trend_x")[2 + j].alias(names[2 + j]) for j in range(DESIGN_SPEC.n_changepoints)]
+    cols += [F.col("seas_x")[i].alias(names[n_trend + i]) for i in range(n_seas)]
+    return rounded(d.select("series_id", "ds", *cols))
+
+
+_OLS_SQL = f"""b AS (SELECT series_id, min({EH}) AS t0, max({EH}) AS t1 FROM hbt WHERE ds < TIMESTAMP '{CUT}' GROUP BY series_id),
+x AS (SELECT h.series_id, h.ds, h.y, ({EH} - b.t0) / (b.t1 - b.t0) AS t FROM hbt h JOIN b ON h.series_id = b.series_id),
+f AS (SELECT series_id, regr_intercept(y, t) AS intercept, regr_slope(y, t) AS slope,
+             sqrt((regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t)) / regr_count(y, t)) AS sigma
+      FROM x WHERE ds < TIMESTAMP '{CUT}' GROUP BY series_id)"""
+
+
+def _ols(spark, sf):
+    df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    hist = df.filter(F.col("ds") < F.lit(CUT).cast("timestamp_ntz"))
+    return df, mdl.fit(hist, OLS_SPEC)
+
+
+@register("ols_trend", f"""WITH {HBT}, {_OLS_SQL}
+SELECT series_id, {r('intercept', 4)} AS intercept, {r('slope', 4)} AS slope FROM f""")
+def ols_trend(spark, sf):
+    """Unpenalised linear trend per series through the distributed Gram solve (checked against
+    ``regr_intercept`` / ``regr_slope``; model outputs compared at 4 decimals)."""
+    _, model = _ols(spark, sf)
+    out = model.select(F.col("_sid").alias("series_id"), (F.col("beta")[0] * F.col("y_scale")).alias("intercept"),
+                       (F.col("beta")[1] * F.col("y_scale")).alias("slope"))
+    return rounded(out, 4)
+
+
+@register("predict_linear", f"""WITH {HBT}, {_OLS_SQL}
+SELECT x.series_id, x.ds, {r('f.intercept + f.slope * x.t', 4)} AS yhat FROM x JOIN f ON x.series_id = f.series_id
+WHERE x.ds >= TIMESTAMP '{CUT}'""")
+def predict_linear(spark, sf):
+    """Predictions of the fitted model for the rows after the cut (model row joined per series)."""
+    df, model = _ols(spark, sf)
+    fut = df.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+    return rounded(mdl.predict(model, fut, OLS_SPEC, intervals=False).select("series_id", "ds", "yhat"), 4)
+
+
+_Z = OLS_SPEC.z()
+
+
+@register("interval", f"""WITH {HBT}, {_OLS_SQL}
+SELECT x.series_id, x.ds, {r('f.intercept + f.slope * x.t', 4)} AS yhat,
+       {r(f'(f.intercept + f.slope * x.t) - {_Z!r} * f.sigma', 4)} AS yhat_lower,
+       {r(f'(f.intercept + f.slope * x.t) + {_Z!r} * f.sigma', 4)} AS yhat_upper
+FROM x JOIN f ON x.series_id = f.series_id WHERE x.ds >= TIMESTAMP '{CUT}'""")
+def interval(spark, sf):
+    """80 % interval ``yhat +/- z * sigma`` (residual noise of the fit)."""
+    df, model = _ols(spark, sf)
+    fut = df.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+    return rounded(mdl.predict(model, fut, OLS_SPEC).select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper"), 4)
+
+
+_FF = "last_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_BF = "first_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@register("prepare_future", f"""WITH {GAPPY},
+txt AS (SELECT series_id, strftime(ds + INTERVAL 20 MINUTE, '%Y-%m-%d %H:%M:%S') AS ds, y FROM gappy),
+p AS (SELECT series_id, {'make_timestamp(CAST(round_even(epoch_us(try_strptime(ds, %s)) / 3600000000.0, 0) AS BIGINT) * 3600000000)'.replace('%s', "'%Y-%m-%d %H:%M:%S'")} AS ds, y
+      FROM txt),
+q AS (SELECT * FROM p WHERE ds IS NOT NULL AND ds >= TIMESTAMP '{LO2}' AND ds <= TIMESTAMP '{HI2}')
+SELECT series_id, ds, {r('coalesce(' + _FF.format(c='y') + ', ' + _BF.format(c='y') + ', 0.0)')} AS y FROM q""")
+def prepare_future(spark, sf):
+    """Text timestamps parsed (coercing), rounded, range-filtered; regressor gaps filled forward, backward,
+    then with 0."""
+    g = fx.hourly_gappy(spark, sf)
+    txt = g.select("series_id", F.date_format(F.timestamp_add("MINUTE", F.lit(20), F.col("ds")), "yyyy-MM-dd HH:mm:ss").alias("ds"), "y")
+    return rounded(_prepare_future(txt, LO2, HI2, ["y"], fmt="yyyy-MM-dd HH:mm:ss"))
+
+
+_NAIVE = f"""fc AS (SELECT series_id, ds, lag(y, 24) OVER ({W_SER}) AS yhat FROM hbt)"""
+
+
+def _naive(spark, sf):
+    actual = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    fc = ordd.add_lags(actual, "y", [24]).select("series_id", "ds", F.col("lag_24").alias("yhat"))
+    return actual, fc.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+
+
+_METRICS_SQL = f"""WITH {HBT}, {_NAIVE},
+pr AS (SELECT a.series_id, a.y, f.yhat FROM hbt a JOIN fc f ON a.series_id = f.series_id AND a.ds = f.ds
+       WHERE f.ds >= TIMESTAMP '{CUT}' AND a.y IS NOT NULL AND f.yhat IS NOT NULL)
+SELECT series_id, {{m}} FROM pr GROUP BY series_id"""
+
+
+@register("forecast_metrics", _METRICS_SQL.format(
+    m=f"{r('avg(abs(y - yhat))')} AS mae, {r('avg((y - yhat) * (y - yhat))')} AS mse, "
+      f"{r('sqrt(avg((y - yhat) * (y - yhat)))')} AS rmse, count(*) AS n"))
+def forecast_metrics(spark, sf):
+    """G11 + A4-A6: MAE, MSE, RMSE per series of a seasonal-naive (lag 24) forecast after the cut."""
+    actual, fc = _naive(spark, sf)
+    return rounded(evaluate(actual, fc, by=["series_id"]))
+
+
+@register("metrics_two_decimals", _METRICS_SQL.format(
+    m="(round(avg(abs(y - yhat)), 2) + 0.0) AS mae, (round(avg((y - yhat) * (y - yhat)), 2) + 0.0) AS mse, "
+      "(round(sqrt(avg((y - yhat) * (y - yhat))), 2) + 0.0) AS rmse, count(*) AS n"))
+def metrics_two_decimals(spark, sf):
+    """The metrics formatted to two decimals (as written to the metrics file)."""
+    actual, fc = _naive(spark, sf)
+    return io.metrics_two_decimals(evaluate(actual, fc, by=["series_id"]))
+
+
+@register("metrics_by_month", f"""WITH {DAILY},
+fc AS (SELECT ds, lag(y, 7) OVER (ORDER BY ds) AS yhat FROM daily),
+pr AS (SELECT make_timestamp(year(a.ds), month(a.ds), 1, 0, 0, 0) AS month, a.y, f.yhat FROM daily a JOIN fc f ON a.ds = f.ds
+       WHERE a.y IS NOT NULL AND f.yhat IS NOT NULL)
+SELECT month, {r('avg(abs(y - yhat))', 4)} AS mae, {r('avg((y - yhat) * (y - yhat))', 2)} AS mse,
+       {r('sqrt(avg((y - yhat) * (y - yhat)))', 4)} AS rmse, count(*) AS n FROM pr GROUP BY month""")
+def metrics_by_month(spark, sf):
+    """G11 by month: weekly-naive forecast of the long daily series, evaluated per month."""
+    daily = fx.daily_orders(spark, sf).select("series_id", "ds", "y")
+    fc = ordd.add_lags(daily, "y", [7]).select("series_id", "ds", F.col("lag_7").alias("yhat"))
+    m = evaluate(daily, fc, by_month=True)
+    return m.select("month", *[(F.round(F.col(c) + F.lit(NUDGE), d) + F.lit(0.0)).alias(c)
+                               for c, d in (("mae", 4), ("mse", 2), ("rmse", 4))], "n")
+
+
+@register("compare_actual", f"""WITH {HBT}, {_NAIVE}
+SELECT a.series_id, a.ds, {r('a.y')} AS y, {r('f.yhat')} AS yhat, {r('a.y - f.yhat')} AS error, {r('abs(a.y - f.yhat)')} AS abs_error
+FROM hbt a JOIN fc f ON a.series_id = f.series_id AND a.ds = f.ds
+WHERE a.ds >= TIMESTAMP '{LO2}' AND a.ds <= TIMESTAMP '{HI2}'""")
+def compare_actual(spark, sf):
+    """Actual vs forecast over a date range with error columns."""
+    actual, fc = _naive(spark, sf)
+    return rounded(compare(actual, fc, LO2, HI2))
+
+
+# ------------------------------------------------------------------ rows-only (no SQL twin)
+
+FLAG_END, FLAG_CUTOFF = "2024-01-23 23:00:00", "2024-01-30 23:00:00"
+FLAG_REGS = ("lag_1", "lag_24", "rolling_mean_24h")
+FLAG_SPEC = ForecastSpec(n_changepoints=5, yearly=0, weekly=3, daily=4)
+
+
+def flagship_panel(spark, sf):
+    """events -> hourly panel -> regular grid -> linear interpolation of gaps -> target lags / rolling
+    statistics (excluding the current hour)."""
+    panel = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    panel = miss.regularize(panel, flag=None)
+    panel = ordd.interpolate_linear(panel, ["y"])
+    return ordd.add_history_features(panel, "y", [1, 24], [24], exclude_current=True)
+
+
+@register("train_then_forecast")
+def train_then_forecast(spark, sf):
+    """G13 + G14 (flagship): additive model per series (trend, weekly and daily seasonality, lag / rolling
+    regressors) fitted on history, predictions for the held-out last week, MAE / MSE / RMSE per series."""
+    _, metrics = _ttf(flagship_panel(spark, sf), FLAG_SPEC, FLAG_END, FLAG_CUTOFF, FLAG_REGS)
+    return metrics
+
+
+@register("fit_additive")
+def fit_additive(spark, sf):
+    """G3 + G5: additive local model, coefficients in long form."""
+    model, _, _ = train(flagship_panel(spark, sf), FLAG_SPEC, end=FLAG_END, regressors=FLAG_REGS)
+    return mdl.coefficients(model)
+
+
+@register("fit_multiplicative")
+def fit_multiplicative(spark, sf):
+    """G1 + G5: multiplicative model (the first family's priors) fitted by alternating Gram passes."""
+    spec = replace(CONFIG_A, yearly=0, n_changepoints=10)
+    model, _, _ = train(flagship_panel(spark, sf), spec, end=FLAG_END, regressors=("lag_24",))
+    return mdl.coefficients(model)
+
+
+@register("forecast_recursive")
+def forecast_recursive(spark, sf):
+    """Hour-by-hour recursive forecast of the held-out week; each prediction feeds the next hour's
+    lag / rolling features."""
+    panel = flagship_panel(spark, sf)
+    model, spec, _ = train(panel, FLAG_SPEC, end=FLAG_END, regressors=FLAG_REGS)
+    hist = between_ts(panel, None, FLAG_END).select("series_id", "ds", "y")
+    fut = between_ts(panel, FLAG_END, FLAG_CUTOFF, closed="right").select("series_id", "ds")
+    return rounded(_forecast_recursive(model, hist, fut, spec))
+
+
+def _sel_frame(spark, sf):
+    from hourwise.catalog.selection import FEATS, selection_frame
+
+    return selection_frame(spark, sf), list(FEATS)
+
+
+@register("lasso_cv")
+def lasso_cv(spark, sf):
+    """Cross-validated Lasso (10 contiguous folds) from per-fold Gram statistics."""
+    frame, feats = _sel_frame(spark, sf)
+    return rounded(_lasso_cv(frame, feats, "y", folds=10))
+
+
+@register("rfe_forest")
+def rfe_forest(spark, sf):
+    """Recursive elimination with MLlib random forests down to 5 features."""
+    frame, feats = _sel_frame(spark, sf)
+    return _rfe(frame, feats, "y", n_select=5)
+
+
+@register("pca2")
+def pca2(spark, sf):
+    """Two principal components of four centred count columns, appended to the rows."""
+    df = fx.hourly_wide(spark, sf).select("ds", "n_click", "n_view", "n_error", "n_purchase")
+    return rounded(_pca(df, ["n_click", "n_view", "n_error", "n_purchase"], 2).select("ds", "PCA_1", "PCA_2"))

@@ -131,9 +131,10 @@ FROM ema""")
 def target_bundle(spark, sf):
     """W10 (with W1, W3, W4, W6): the reference's target bundle - 8 lags, 5 rolling windows (mean, std),
     3 EMAs - lags and rolling in one window pass, then one pass per EMA span."""
+    from hourwise.plans.workflows import target_features
+
     df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
-    df = ordd.add_history_features(df, "y", _TB_LAGS, _TB_WIN)
-    return rounded(add_ema(df, "y", _TB_EMA))
+    return rounded(target_features(df, "y", _TB_LAGS, _TB_WIN, _TB_EMA, exclude_current=False))
 
 
 # ------------------------------------------------------------------ expansion

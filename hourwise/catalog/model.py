@@ -23,6 +23,7 @@ from hourwise.plans.recursive import forecast_recursive as _forecast_recursive
 from hourwise.plans.spec import CONFIG_A, ForecastSpec
 from hourwise.plans.workflows import prepare_future as _prepare_future
 from hourwise.plans.workflows import train, train_then_forecast as _ttf
+from hourwise.session import cut_lineage
 from hourwise.sources import io
 
 TWO_PI = 2.0 * math.pi
@@ -204,12 +205,15 @@ FLAG_SPEC = ForecastSpec(n_changepoints=5, yearly=0, weekly=3, daily=4)
 
 
 def flagship_panel(spark, sf):
-    """events -> hourly panel -> regular grid -> linear interpolation of gaps -> target lags / rolling
-    statistics (excluding the current hour)."""
+    """events -> hourly panel -> regular grid (positions from the grid) -> linear interpolation of gaps ->
+    target lags / rolling statistics (excluding the current hour).  The feature table is written once to the
+    shared checkpoint folder (the reference's features file hand-off) and read by training, forecasting and
+    evaluation."""
     panel = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
-    panel = miss.regularize(panel, flag=None)
-    panel = ordd.interpolate_linear(panel, ["y"])
-    return ordd.add_history_features(panel, "y", [1, 24], [24], exclude_current=True)
+    panel = miss.regularize(panel, flag=None, pos_col="_pos")
+    panel = ordd.interpolate_linear(panel, ["y"], pos_col="_pos")
+    panel = ordd.add_history_features(panel, "y", [1, 24], [24], pos_col="_pos", exclude_current=True)
+    return cut_lineage(panel.drop("_pos"))
 
 
 @register("train_then_forecast")

@@ -37,7 +37,7 @@ def missing_dates(df: DataFrame, col: str, ts: str = "ds") -> DataFrame:
 
 
 def hour_grid(bounds: DataFrame, partition_cols: Sequence[str] = ("series_id",), lo: str = "lo_h", hi: str = "hi_h",
-              step_hours: int = 1, chunk: int = DEFAULT_CHUNK, out: str = "ds") -> DataFrame:
+              step_hours: int = 1, chunk: int = DEFAULT_CHUNK, out: str = "ds", pos_col: str | None = None) -> DataFrame:
     """Every ``step_hours`` between epoch-hour bounds ``lo``..``hi`` (inclusive) per row of ``bounds``.
 
     Two-level explode (chunk ids, then hours inside a chunk) so no single row holds a whole long grid.
@@ -47,8 +47,9 @@ def hour_grid(bounds: DataFrame, partition_cols: Sequence[str] = ("series_id",),
     ids = bounds.select(*pc, lo, hi, F.explode(F.sequence(F.floor((F.col(lo)) / span), F.floor(F.col(hi) / span))).alias("_gc"))
     start = F.greatest(F.col("_gc") * span + F.pmod(F.col(lo) - F.col("_gc") * span, F.lit(step_hours)), F.col(lo))
     end = F.least((F.col("_gc") + 1) * span - 1, F.col(hi))
-    hours = ids.select(*pc, F.explode(F.sequence(start, end, F.lit(step_hours).cast("bigint"))).alias("_h"))
-    return hours.select(*pc, tf.from_epoch_hours("_h").alias(out))
+    hours = ids.select(*pc, lo, F.explode(F.sequence(start, end, F.lit(step_hours).cast("bigint"))).alias("_h"))
+    extra = [((F.col("_h") - F.col(lo)) / F.lit(step_hours)).cast("bigint").alias(pos_col)] if pos_col else []
+    return hours.select(*pc, tf.from_epoch_hours("_h").alias(out), *extra)
 
 
 def hour_range(spark, start, end, step_hours: int = 1) -> DataFrame:
@@ -58,15 +59,18 @@ def hour_range(spark, start, end, step_hours: int = 1) -> DataFrame:
 
 
 def regularize(df: DataFrame, partition_cols: Sequence[str] = ("series_id",), ts: str = "ds", step_hours: int = 1,
-               flag: str | None = "is_filled") -> DataFrame:
+               flag: str | None = "is_filled", pos_col: str | None = None) -> DataFrame:
     """M7: one row per series and hour between the series' first and last hour; inserted rows carry NULLs
-    (and ``flag = 1``).  Timestamps must already be on the hour (``round_hour``)."""
+    (and ``flag = 1``).  Timestamps must already be on the hour (``round_hour``).
+
+    ``pos_col`` also emits the 0-based row position, free on a regular grid ((hour - first hour) / step);
+    ordered operators given ``pos_col`` then skip their own position pass."""
     pc = _cols(partition_cols)
     bounds = df.groupBy(*pc).agg(tf.epoch_hours(F.min(ts)).alias("lo_h"), tf.epoch_hours(F.max(ts)).alias("hi_h"))
-    grid = hour_grid(bounds, pc, step_hours=step_hours, out=ts)
+    grid = hour_grid(bounds, pc, step_hours=step_hours, out=ts, pos_col=pos_col)
     data = df.withColumn("_present", F.lit(1)) if flag else df
     joined = grid.join(data, [*pc, ts], "left")
-    cols = [*pc, ts] + [c for c in df.columns if c not in (*pc, ts)]
+    cols = [*pc, ts] + [c for c in df.columns if c not in (*pc, ts)] + ([pos_col] if pos_col else [])
     sel = [F.col(f"`{c}`") for c in cols]
     if flag:
         sel.append(F.when(F.col("_present").isNull(), 1).otherwise(0).alias(flag))

@@ -306,11 +306,12 @@ def interpolate_linear(df: DataFrame, cols, partition_cols=("series_id",), order
     cols = _cols(cols)
     pc = _cols(partition_cols)
     base_cols = df.columns
-    if mode == "plain":
-        df = seq_index(df, pc, order_col, out=POS, mode="plain")
+    if pos_col and pos_col in df.columns:
+        pos = pos_col
+    elif mode == "plain":
+        df, pos = seq_index(df, pc, order_col, out=POS, mode="plain"), POS
     else:
-        df, _, _ = ensure_pos(df, pc, order_col, None)
-    pos = POS
+        df, pos, _ = ensure_pos(df, pc, order_col, None)
     known = [F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))) for c in cols]
     pn = [f"_prev_{i}" for i in range(len(cols))]
     nn = [f"_next_{i}" for i in range(len(cols))]
@@ -331,17 +332,18 @@ def interpolate_linear(df: DataFrame, cols, partition_cols=("series_id",), order
 
 
 def interpolate_quadratic(df: DataFrame, cols, partition_cols=("series_id",), order_col="ds", mode="chunked",
-                          chunk=DEFAULT_CHUNK) -> DataFrame:
+                          chunk=DEFAULT_CHUNK, pos_col=None) -> DataFrame:
     """M6 (re-aimed): a gap value lies on the parabola through the two known points before it and the one
     after it (or one before and two after near the start); with fewer known points it falls back to M5."""
     cols = _cols(cols)
     pc = _cols(partition_cols)
     base_cols = df.columns
-    if mode == "plain":
-        df = seq_index(df, pc, order_col, out=POS, mode="plain")
+    if pos_col and pos_col in df.columns:
+        pos = pos_col
+    elif mode == "plain":
+        df, pos = seq_index(df, pc, order_col, out=POS, mode="plain"), POS
     else:
-        df, _, _ = ensure_pos(df, pc, order_col, None)
-    pos = POS
+        df, pos, _ = ensure_pos(df, pc, order_col, None)
     kw = dict(partition_cols=pc, order_col=order_col, mode=mode, chunk=chunk, pos_col=pos)
     kn = [f"_k_{i}" for i in range(len(cols))]
     df = df.select("*", *[F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).cast("double").alias("v"))).alias(k)

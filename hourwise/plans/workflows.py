@@ -46,10 +46,17 @@ def check_regressors(model_spec: ForecastSpec, df: DataFrame) -> None:
 
 
 def target_features(df: DataFrame, y: str = "y", lags=(1, 3, 6, 12, 24, 48, 72, 168), windows=(3, 6, 12, 24, 168),
-                    spans=(12, 24, 168), exclude_current: bool = True, **kw) -> DataFrame:
-    """Lags, rolling statistics and EMAs of the target (one window pass + one pass per span)."""
-    out = ordd.add_history_features(df, y, lags, windows, exclude_current=exclude_current, **kw)
-    return add_ema(out, y, spans, exclude_current=exclude_current) if spans else out
+                    spans=(12, 24, 168), exclude_current: bool = True, partition_cols=("series_id",),
+                    order_col: str = "ds", pos_col: str | None = None) -> DataFrame:
+    """Lags, rolling statistics and EMAs of the target: positions once, one window pass for lags and
+    rolling frames, one pass per EMA span."""
+    base = df.columns
+    pc = list(partition_cols)
+    df, pos, created = ordd.ensure_pos(df, pc, order_col, pos_col)
+    out = ordd.add_history_features(df, y, lags, windows, pc, order_col, pos_col=pos, exclude_current=exclude_current)
+    if spans:
+        out = add_ema(out, y, spans, pc, order_col, pos_col=pos, exclude_current=exclude_current)
+    return out.drop(pos) if created and pos not in base else out
 
 
 def train(df: DataFrame, spec: ForecastSpec, start=None, end=None, regressors: Sequence[str] | None = None,

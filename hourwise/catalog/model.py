@@ -275,3 +275,27 @@ def pca2(spark, sf):
     """Two principal components of four centred count columns, appended to the rows."""
     df = fx.hourly_wide(spark, sf).select("ds", "n_click", "n_view", "n_error", "n_purchase")
     return rounded(_pca(df, ["n_click", "n_view", "n_error", "n_purchase"], 2).select("ds", "PCA_1", "PCA_2"))
+
+
+@register("fit_global")
+def fit_global(spark, sf):
+    """The second family's configuration - additive, pooled over all series (global normalisation),
+    40 changepoints over the first 95 % with L1 trend regularisation 0.1 and seasonality regularisation 0.1."""
+    from hourwise.plans.spec import CONFIG_B
+
+    spec = replace(CONFIG_B, yearly=0)
+    model, _, _ = train(flagship_panel(spark, sf), spec, end=FLAG_END, regressors=FLAG_REGS)
+    return rounded(mdl.coefficients(model))
+
+
+@register("train_auto")
+def train_auto(spark, sf):
+    """G13 (automatic mode): binned-MI selection with interactions over every numeric column of the wide
+    panel (+ target lags / rolling statistics), then an additive fit on the chosen features."""
+    from hourwise.catalog.selection import MI_T
+
+    panel = fx.hourly_wide(spark, sf).drop("Day", "H")
+    panel = ordd.add_history_features(panel, "y", [1, 24], [24], exclude_current=True)
+    panel = cut_lineage(panel)
+    model, spec, _ = train(panel, FLAG_SPEC, end=FLAG_END, threshold=MI_T)
+    return rounded(mdl.coefficients(model))

@@ -14,10 +14,11 @@ Spark plan (exact to ~1e-16 relative, no Python):
 * Inside the window over (series, chunk) both sums are running sums of ``x * d^-(pos-base)`` and ``d^-(pos-base)``
   (``base`` = first position the chunk can hold); their ratio is the EMA, the common factor cancels.
   ``B + L`` is capped so ``d^-(B+L)`` stays below 1e280 (no overflow).
-* Missing rows take the last observed EMA of their own chunk, else the last observed EMA of an earlier chunk,
-  carried over the small chunk table and joined back on (series, chunk).
+* Missing rows repeat the last observed EMA: after all span passes one forward fill (``ordered.fill_multi``)
+  handles every (column, span) - per-chunk last values carried over the small chunk table, one join back.
 
-Each span needs its own (B, L), so several spans run as successive passes; all columns of one span share a pass.
+Each span needs its own (B, L), so spans run as successive window passes (a linear chain without joins);
+all columns of one span share a pass.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions.names import ema_name
-from hourwise.operators.ordered import CHUNK, DEFAULT_CHUNK, OWN, _cols, ensure_pos, windowed, with_halo
+from hourwise.operators.ordered import CHUNK, DEFAULT_CHUNK, OWN, _cols, ensure_pos, fill_multi, windowed, with_halo
 
 
 def ema_plan(span: float, chunk: int = DEFAULT_CHUNK) -> tuple[float, int, int]:
@@ -57,9 +58,15 @@ def add_ema(df: DataFrame, cols, spans: Sequence[int], partition_cols=("series_i
     single = (len(cols) == 1) if prefix_names is None else not prefix_names
     base_cols = df.columns
     df, pos, created = ensure_pos(df, pc, order_col, pos_col)
+    # 1) one window pass per span: EMA at observed rows (a linear chain, no joins)
+    specs = []
     for span in spans:
         names = [ema_name(None if single else c, span) for c in cols]
-        df = _ema_pass(df, cols, names, span, pc, pos, chunk)
+        obs = [f"_obs_{n}" for n in names]
+        df = _ema_pass(df, cols, obs, span, pc, pos, chunk)
+        specs += [(o, "forward", n, False) for o, n in zip(obs, names)]
+    # 2) missing rows repeat the last observed EMA: one forward fill for every (column, span), one carry join
+    df = fill_multi(df, specs, pc, order_col, "chunked", chunk, pos).drop(*[o for o, _, _, _ in specs])
     if exclude_current:
         names = [ema_name(None if single else c, s) for c in cols for s in spans]
         tmp = {n: f"_cur_{i}" for i, n in enumerate(names)}
@@ -70,14 +77,13 @@ def add_ema(df: DataFrame, cols, spans: Sequence[int], partition_cols=("series_i
     return df.select(*[F.col(f"`{c}`") for c in base_cols + new])
 
 
-def _ema_pass(df: DataFrame, cols: list[str], names: list[str], span: float, pc: list[str], pos: str,
+def _ema_pass(df: DataFrame, cols: list[str], out_names: list[str], span: float, pc: list[str], pos: str,
               chunk: int) -> DataFrame:
+    """EMA at observed rows (NULL elsewhere) for one span: halo window over (series, chunk)."""
     d, look, b = ema_plan(span, chunk)
     halo = with_halo(df, pos, look, b)
     w = Window.partitionBy(*pc, CHUNK).orderBy(pos)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    own = F.col(CHUNK) == F.col(OWN)
-    obs_names = [f"_obs_{i}" for i in range(len(cols))]
     if d > 0.0:
         base = F.col(CHUNK) * F.lit(b) - F.lit(look)
         wgt = F.pow(F.lit(1.0 / d), (F.col(pos) - base).cast("double"))
@@ -86,18 +92,5 @@ def _ema_pass(df: DataFrame, cols: list[str], names: list[str], span: float, pc:
                       / F.sum(F.when(F.col(c).isNotNull(), wgt)).over(run)) for c in cols]
     else:  # span 1: the EMA is the observation itself
         obs = [F.when(F.col(c).isNotNull(), F.col(c).cast("double")) for c in cols]
-    step1 = halo.select("*", *[o.alias(n) for o, n in zip(obs, obs_names)])
-    # last observed EMA among the own rows of the chunk, up to the current row
-    loc_names = [f"_loc_{i}" for i in range(len(cols))]
-    step2 = step1.select("*", *[F.last(F.when(own, F.col(o)), ignorenulls=True).over(run).alias(l)
-                                for o, l in zip(obs_names, loc_names)]).filter(own)
-    # carry: last observed EMA of each earlier chunk
-    summary = step2.groupBy(*pc, CHUNK).agg(
-        *[F.max_by(F.col(o), F.when(F.col(o).isNotNull(), F.col(pos))).alias(o) for o in obs_names])
-    cw = Window.partitionBy(*pc).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*pc, CHUNK, *[F.last(F.col(o), ignorenulls=True).over(cw).alias(f"_carry_{i}")
-                                        for i, o in enumerate(obs_names)])
-    joined = step2.join(carry, [*pc, CHUNK], "left")
-    vals = [F.coalesce(F.col(l), F.col(f"_carry_{i}")).alias(n) for i, (l, n) in enumerate(zip(loc_names, names))]
-    keep = [c for c in df.columns]
-    return joined.select(*[F.col(f"`{c}`") for c in keep], *vals)
+    out = halo.select("*", *[o.alias(n) for o, n in zip(obs, out_names)]).filter(F.col(CHUNK) == F.col(OWN))
+    return out.drop(CHUNK, OWN)

@@ -200,52 +200,71 @@ def _chunk_carry(summary: DataFrame, pc: list[str], cols: list[str], forward: bo
     return summary.select(*pc, CHUNK, *agg)
 
 
-def fill(df: DataFrame, cols, direction: str = "forward", partition_cols=("series_id",), order_col="ds",
-         mode="chunked", chunk=DEFAULT_CHUNK, pos_col=None, exclusive: bool = False,
-         out_names: Sequence[str] | None = None) -> DataFrame:
-    """Nearest previous (forward) / next (backward) non-NULL value of each column.
+def fill_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, bool]], partition_cols=("series_id",),
+               order_col="ds", mode="chunked", chunk=DEFAULT_CHUNK, pos_col=None) -> DataFrame:
+    """Several fills in one pass.  ``specs`` = (source column, "forward" | "backward", output name, exclusive).
 
-    ``exclusive`` looks strictly before / after the row.  Results go to ``out_names`` (default: in place).
+    chunked: local fill inside (series, chunk); one per-chunk summary aggregate holds the last (forward) /
+    first (backward) non-NULL value of every source; one window over the small chunk table carries them;
+    one join on (series, chunk) brings the carries back.  Output columns replace same-named inputs.
     """
-    cols = _cols(cols)
-    outs = list(out_names) if out_names else cols
     pc = _cols(partition_cols)
-    fwd = direction == "forward"
-    if fwd:
-        frame = (Window.unboundedPreceding, -1 if exclusive else 0)
-    else:
-        frame = (1 if exclusive else 0, Window.unboundedFollowing)
+
+    def frame(direction, exclusive):
+        if direction == "forward":
+            return Window.unboundedPreceding, -1 if exclusive else 0
+        return 1 if exclusive else 0, Window.unboundedFollowing
 
     def local(w):
-        f = w.rowsBetween(*frame)
-        agg = F.last if fwd else F.first
-        return [agg(F.col(c), ignorenulls=True).over(f) for c in cols]
+        out = []
+        for src, direction, _, excl in specs:
+            f = w.rowsBetween(*frame(direction, excl))
+            agg = F.last if direction == "forward" else F.first
+            out.append(agg(F.col(src), ignorenulls=True).over(f))
+        return out
 
+    outs = [o for _, _, o, _ in specs]
     if mode == "plain":
         w = Window.partitionBy(*pc).orderBy(F.col(pos_col) if pos_col and pos_col in df.columns else F.col(order_col))
-        vals = local(w)
-        return _replace(df, outs, vals)
+        return _replace(df, outs, local(w))
 
     base_cols = df.columns
     df, pos, created = ensure_pos(df, pc, order_col, pos_col)
-    c = F.floor(F.col(pos) / F.lit(int(chunk))).cast("bigint")
-    chunked = df.withColumn(CHUNK, c)
+    chunked = df.withColumn(CHUNK, F.floor(F.col(pos) / F.lit(int(chunk))).cast("bigint"))
     w = Window.partitionBy(*pc, CHUNK).orderBy(pos)
-    tmp = [f"_loc_{i}" for i in range(len(cols))]
+    tmp = [f"_loc_{i}" for i in range(len(specs))]
     loc = chunked.select("*", *[v.alias(t) for v, t in zip(local(w), tmp)])
-    # per-chunk summary: last / first non-null value of each column by position
-    pick = F.max_by if fwd else F.min_by
-    summary = chunked.groupBy(*pc, CHUNK).agg(
-        *[pick(F.col(cc), F.when(F.col(cc).isNotNull(), F.col(pos))).alias(cc) for cc in cols]
-    )
-    carry = _chunk_carry(summary, pc, cols, fwd)
+    srcs = list(dict.fromkeys((src, direction) for src, direction, _, _ in specs))
+    summary = chunked.groupBy(*pc, CHUNK).agg(*[
+        (F.max_by if d == "forward" else F.min_by)(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_s{i}")
+        for i, (c, d) in enumerate(srcs)])
+    fw = Window.partitionBy(*pc).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bw = Window.partitionBy(*pc).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    carry = summary.select(*pc, CHUNK, *[
+        (F.last(F.col(f"_s{i}"), ignorenulls=True).over(fw) if d == "forward"
+         else F.first(F.col(f"_s{i}"), ignorenulls=True).over(bw)).alias(f"_carry_{i}")
+        for i, (c, d) in enumerate(srcs)])
     joined = loc.join(carry, [*pc, CHUNK], "left")
-    vals = [F.coalesce(F.col(t), F.col(f"_carry_{i}")) for i, t in enumerate(tmp)]
+    vals = [F.coalesce(F.col(t), F.col(f"_carry_{srcs.index((src, direction))}"))
+            for t, (src, direction, _, _) in zip(tmp, specs)]
     res = _replace(joined, outs, vals, base_cols)
-    drop = [CHUNK, *tmp, *[f"_carry_{i}" for i in range(len(cols))]] + ([POS] if created else [])
+    drop = [CHUNK, *tmp, *[f"_carry_{i}" for i in range(len(srcs))]] + ([POS] if created else [])
     return res.drop(*drop)
 
 
+def fill(df: DataFrame, cols, direction: str = "forward", partition_cols=("series_id",), order_col="ds",
+         mode="chunked", chunk=DEFAULT_CHUNK, pos_col=None, exclusive: bool = False,
+         out_names: Sequence[str] | None = None) -> DataFrame:
+    """Nearest previous (forward) / next (backward) non-NULL value of each column.
+
+    ``exclusive`` looks strictly before / after the row.  Results go to ``out_names`` (default: in place).
+    """
+    cols = _cols(cols)
+    outs = list(out_names) if out_names else cols
+    specs = [(c, direction, o, exclusive) for c, o in zip(cols, outs)]
+    return fill_multi(df, specs, partition_cols, order_col, mode, chunk, pos_col)
+
+
 def _replace(df: DataFrame, outs: list[str], vals: list[Column], base_cols: list[str] | None = None) -> DataFrame:
     cols = base_cols or df.columns
     extra = [c for c in df.columns if c not in cols]
@@ -269,16 +288,11 @@ def bfill(df, cols, **kw) -> DataFrame:
 def _two_way(df: DataFrame, cols, forward_first: bool, partition_cols=("series_id",), order_col="ds",
              mode="chunked", chunk=DEFAULT_CHUNK, pos_col=None) -> DataFrame:
     cols = _cols(cols)
-    pc = _cols(partition_cols)
     base_cols = df.columns
-    created = False
-    if mode != "plain":
-        df, pos_col, created = ensure_pos(df, pc, order_col, pos_col)
-    kw = dict(partition_cols=pc, order_col=order_col, mode=mode, chunk=chunk, pos_col=pos_col)
     f = [f"_ff_{i}" for i in range(len(cols))]
     b = [f"_bf_{i}" for i in range(len(cols))]
-    df = fill(df, cols, "forward", out_names=f, **kw)
-    df = fill(df, cols, "backward", out_names=b, **kw)
+    specs = [(c, "forward", o, False) for c, o in zip(cols, f)] + [(c, "backward", o, False) for c, o in zip(cols, b)]
+    df = fill_multi(df, specs, partition_cols, order_col, mode, chunk, pos_col)
     pairs = zip(f, b) if forward_first else zip(b, f)
     out = _replace(df, cols, [F.coalesce(F.col(x), F.col(y)) for x, y in pairs])
     return out.select(*[F.col(f"`{c}`") for c in base_cols])
@@ -317,9 +331,8 @@ def interpolate_linear(df: DataFrame, cols, partition_cols=("series_id",), order
     nn = [f"_next_{i}" for i in range(len(cols))]
     kn = [f"_known_{i}" for i in range(len(cols))]
     df = df.select("*", *[k.alias(n) for k, n in zip(known, kn)])
-    kw = dict(partition_cols=pc, order_col=order_col, mode=mode, chunk=chunk, pos_col=pos)
-    df = fill(df, kn, "forward", out_names=pn, **kw)
-    df = fill(df, kn, "backward", out_names=nn, **kw)
+    specs = [(k, "forward", p, False) for k, p in zip(kn, pn)] + [(k, "backward", n, False) for k, n in zip(kn, nn)]
+    df = fill_multi(df, specs, pc, order_col, mode, chunk, pos)
     vals = []
     for c, p, n in zip(cols, pn, nn):
         frac = (F.col(pos) - F.col(f"{p}.p")) / (F.col(f"{n}.p") - F.col(f"{p}.p"))
@@ -351,15 +364,15 @@ def interpolate_quadratic(df: DataFrame, cols, partition_cols=("series_id",), or
     # known point before each known point / after each known point
     pk = [f"_pk_{i}" for i in range(len(cols))]
     nk = [f"_nk_{i}" for i in range(len(cols))]
-    df = fill(df, kn, "forward", out_names=pk, exclusive=True, **kw)
-    df = fill(df, kn, "backward", out_names=nk, exclusive=True, **kw)
+    df = fill_multi(df, [(k, "forward", o, True) for k, o in zip(kn, pk)] + [(k, "backward", o, True) for k, o in zip(kn, nk)],
+                    pc, order_col, mode, chunk, pos)
     k2 = [f"_k2_{i}" for i in range(len(cols))]
     df = df.select("*", *[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(p).alias("b"), F.col(n).alias("c"))).alias(t)
                          for k, p, n, t in zip(kn, pk, nk, k2)])
     pv = [f"_pv_{i}" for i in range(len(cols))]
     nv = [f"_nv_{i}" for i in range(len(cols))]
-    df = fill(df, k2, "forward", out_names=pv, **kw)
-    df = fill(df, k2, "backward", out_names=nv, **kw)
+    df = fill_multi(df, [(k, "forward", o, False) for k, o in zip(k2, pv)] + [(k, "backward", o, False) for k, o in zip(k2, nv)],
+                    pc, order_col, mode, chunk, pos)
     x = F.col(pos).cast("double")
 
     def lagrange(p0, p1, p2):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from hourwise import fixtures as fx
-from hourwise.catalog import GAPPY, HBT, HWIDE, r, register, rounded
+from hourwise.catalog import GAPPY, HBT, HWIDE, r, register, regular_sql, rounded
 from hourwise.operators import expand as ex
 from hourwise.operators import joins as jn
 from hourwise.operators import ordered as ordd
@@ -307,10 +307,33 @@ def scaled_columns(spark, sf):
     return rounded(jn.scale_columns(df, ["y", "n_events"]))
 
 
-@register("interp_quadratic")
+def _lagrange_sql(a, b, c):
+    """(pos, value) column names of three known points -> parabola at x (same operation order as Spark)."""
+    (x0, y0), (x1, y1), (x2, y2) = a, b, c
+    return (f"{y0} * (x - {x1}) * (x - {x2}) / (({x0} - {x1}) * ({x0} - {x2}))"
+            f" + {y1} * (x - {x0}) * (x - {x2}) / (({x1} - {x0}) * ({x1} - {x2}))"
+            f" + {y2} * (x - {x0}) * (x - {x1}) / (({x2} - {x0}) * ({x2} - {x1}))")
+
+
+_QUAD = (f"CASE WHEN r.y IS NOT NULL THEN r.y WHEN r.a IS NULL THEN NULL WHEN r.b IS NULL THEN ka.v "
+         f"WHEN ka.pp IS NOT NULL THEN {_lagrange_sql(('ka.pp', 'ka.pv'), ('ka.pos', 'ka.v'), ('kb.pos', 'kb.v'))} "
+         f"WHEN kb.np IS NOT NULL THEN {_lagrange_sql(('ka.pos', 'ka.v'), ('kb.pos', 'kb.v'), ('kb.np', 'kb.nv'))} "
+         f"ELSE ka.v + (kb.v - ka.v) * (x - ka.pos) / (kb.pos - ka.pos) END")
+
+
+@register("interp_quadratic", f"""WITH {GAPPY}, {regular_sql('gappy')},
+x0 AS (SELECT series_id, ds, y, row_number() OVER ({W_SER}) - 1 AS pos FROM reg),
+kn AS (SELECT series_id, pos, y AS v, lag(pos) OVER w AS pp, lag(y) OVER w AS pv, lead(pos) OVER w AS np, lead(y) OVER w AS nv
+       FROM x0 WHERE y IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+r AS (SELECT *, pos::DOUBLE AS x,
+        max(CASE WHEN y IS NOT NULL THEN pos END) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+        min(CASE WHEN y IS NOT NULL THEN pos END) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
+      FROM x0)
+SELECT r.series_id, r.ds, {r(_QUAD)} AS y
+FROM r LEFT JOIN kn ka ON r.series_id = ka.series_id AND r.a = ka.pos LEFT JOIN kn kb ON r.series_id = kb.series_id AND r.b = kb.pos""")
 def interp_quadratic(spark, sf):
     """M6 (re-aimed): parabola through the nearest known points, on the regular hourly grid."""
     from hourwise.operators.missing import regularize
 
-    df = regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y"), flag=None)
-    return rounded(ordd.interpolate_quadratic(df, ["y"]))
+    df = regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y"), flag=None, pos_col="_pos")
+    return rounded(ordd.interpolate_quadratic(df, ["y"], pos_col="_pos").drop("_pos"))

@@ -206,8 +206,8 @@ SELECT series_id, ds, {r('coalesce(' + _FF.format(c='y') + ', ' + _BF.format(c='
        coalesce(n_events, 0) AS n_events FROM reg""")
 def ffill_bfill_zero(spark, sf):
     """M3 + M4: on the regular grid, forward then backward fill the target; counts of inserted hours -> 0."""
-    df = miss.regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y", "n_events"), flag=None)
-    df = ordd.ffill_bfill(df, ["y"])
+    df = miss.regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y", "n_events"), flag=None, pos_col="_pos")
+    df = ordd.ffill_bfill(df, ["y"], pos_col="_pos").drop("_pos")
     df = df.withColumn("n_events", F.col("n_events").cast("double"))
     df = ordd.fill_zero(df, ["n_events"]).withColumn("n_events", F.col("n_events").cast("bigint"))
     return rounded(df)
@@ -222,8 +222,8 @@ SELECT series_id, ds, {r('CASE WHEN y IS NOT NULL THEN y WHEN pp IS NULL THEN NU
 FROM k""")
 def interp_linear(spark, sf):
     """M5: linear interpolation by row position on the regular grid; leading gap NULL, trailing gap carried."""
-    df = miss.regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y"), flag=None)
-    return rounded(ordd.interpolate_linear(df, ["y"]))
+    df = miss.regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y"), flag=None, pos_col="_pos")
+    return rounded(ordd.interpolate_linear(df, ["y"], pos_col="_pos").drop("_pos"))
 
 
 @register("calendar_parts", f"""WITH {HWIDE}

@@ -87,7 +87,7 @@ def dft(df: DataFrame, col: str = "y", ks: Sequence[int] = (1, 2, 3), partition_
     indexed = seq_index(df, pc, order_col, out="_t", mode=mode).withColumn("_one", F.lit(1))
     n = indexed.groupBy(*pc, "_one").agg(F.count(F.lit(1)).alias("_n"))
     x = F.coalesce(F.col(col).cast("double"), F.lit(0.0))
-    rows = indexed.select(*pc, "_one", "_t", x.alias("_x")).join(n, [*pc, "_one"], "inner")
+    rows = indexed.select(*pc, "_one", "_t", x.alias("_x")).join(n if pc else F.broadcast(n), [*pc, "_one"], "inner")
     # one output row per requested frequency: a fixed-size explode, not a join
     freq = rows.select(*pc, "_t", "_x", "_n", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
     ang = F.lit(TWO_PI) * F.col("k") * F.col("_t") / F.col("_n")

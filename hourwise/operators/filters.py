@@ -103,7 +103,9 @@ def remove_outliers(df: DataFrame, col: str = "y", z: float = 3.0, partition_col
     pc = list(partition_cols)
     keyed = df.withColumn("_one", F.lit(1))
     stats = keyed.groupBy(*pc, "_one").agg(F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))
-    joined = keyed.join(stats, [*pc, "_one"], "left").drop("_one")
+    # global statistics are one row: broadcast (proven size); per-series tables are left to AQE's runtime
+    # size check (broadcast when small, else a shuffle join with skew splitting)
+    joined = keyed.join(stats if pc else F.broadcast(stats), [*pc, "_one"], "left").drop("_one")
     zc = F.abs((F.col(col) - F.col("_mu")) / F.col("_sd"))
     keep = F.col(col).isNull() | F.col("_sd").isNull() | (F.col("_sd") == 0) | (zc <= F.lit(z))
     return joined.filter(keep).drop("_mu", "_sd")

@@ -73,7 +73,7 @@ def scale_columns(df: DataFrame, cols: Sequence[str], partition_cols: Sequence[s
         else:
             aggs += [F.min(c).alias(f"_a{i}"), (F.max(c) - F.min(c)).alias(f"_b{i}")]
     stats = keyed.groupBy(*pc, "_one").agg(*aggs)
-    j = keyed.join(stats, [*pc, "_one"], "inner")
+    j = keyed.join(stats if pc else F.broadcast(stats), [*pc, "_one"], "inner")  # global stats: one row
     out = []
     for c in df.columns:
         if c in cols:

@@ -24,7 +24,7 @@ def contiguous_folds(df: DataFrame, k: int, order_col: str = "ds") -> DataFrame:
     """Fold id 0..k-1 by row position (``KFold`` without shuffling)."""
     idx = seq_index(df, (), order_col, out="_pos")
     n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    j = idx.withColumn("_one", F.lit(1)).join(n, "_one")
+    j = idx.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")  # one row
     # sklearn KFold: the first n % k folds hold one extra row
     base = F.floor(F.col("_n") / F.lit(k))
     extra = F.col("_n") % F.lit(k)

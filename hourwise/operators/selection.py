@@ -81,7 +81,7 @@ def mutual_info(df: DataFrame, cols: Sequence[str], target: str = "y", bins: int
     allc = cols + [target]
     stats = df.agg(*[F.min(_q(c).cast("double")).alias(f"_mn{i}") for i, c in enumerate(allc)],
                    *[F.max(_q(c).cast("double")).alias(f"_mx{i}") for i, c in enumerate(allc)]).withColumn("_one", F.lit(1))
-    keyed = df.withColumn("_one", F.lit(1)).join(stats, "_one")
+    keyed = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")  # one row of min / max
 
     def bin_of(i, c):
         x = _q(c).cast("double")
@@ -140,6 +140,9 @@ def select_by_mi(df: DataFrame, cols: Sequence[str], target: str = "y", top: int
     keep score > threshold.  Returns (frame with the interaction columns, selected score table).
 
     The only value brought to the driver is the top-k name list (k rows)."""
+    from hourwise.session import cut_lineage
+
+    df = cut_lineage(df)  # scanned by two scoring passes, the top-k action and the interactions
     scores = mutual_info(df, cols, target, bins)
     if not rescore:
         return df, threshold_select(scores, threshold)

@@ -73,7 +73,7 @@ SELECT series_id, ds, {r('y')} AS y, n_events FROM hbt
 WHERE ds >= TIMESTAMP '{LO}' AND ds <= TIMESTAMP '{HI}'""")
 def range_closed(spark, sf):
     """``lo <= ds <= hi``."""
-    return rounded(flt.between_ts(fx.hourly_by_type(spark, sf), LO, HI).select("series_id", "ds", "y", "n_events"))
+    return rounded(flt.between_ts(fx.hourly_by_type(spark, sf, LO, HI), LO, HI).select("series_id", "ds", "y", "n_events"))
 
 
 @register("range_half_open", f"""WITH {HBT}
@@ -81,14 +81,15 @@ SELECT series_id, ds, {r('y')} AS y FROM hbt
 WHERE ds > TIMESTAMP '{LO}' AND ds <= TIMESTAMP '{HI}'""")
 def range_half_open(spark, sf):
     """``lo < ds <= hi``."""
-    return rounded(flt.between_ts(fx.hourly_by_type(spark, sf), LO, HI, closed="right").select("series_id", "ds", "y"))
+    return rounded(flt.between_ts(fx.hourly_by_type(spark, sf, LO, HI), LO, HI, closed="right").select("series_id", "ds", "y"))
 
 
 @register("at_hour", f"""WITH {HBT}
 SELECT series_id, ds, {r('y')} AS y, n_events FROM hbt WHERE ds = TIMESTAMP '2024-01-10 12:00:00'""")
 def at_hour(spark, sf):
     """rows of one hour."""
-    return rounded(flt.at_ts(fx.hourly_by_type(spark, sf), "2024-01-10 12:00:00").select("series_id", "ds", "y", "n_events"))
+    hour = "2024-01-10 12:00:00"
+    return rounded(flt.at_ts(fx.hourly_by_type(spark, sf, hour, hour), hour).select("series_id", "ds", "y", "n_events"))
 
 
 @register("data_bounds", f"""WITH {TEXT_DATES}
@@ -267,7 +268,7 @@ SELECT series_id, ds, {r('y')} AS y FROM hbt WHERE ds >= TIMESTAMP '{LO}' AND ds
 ORDER BY ds, series_id LIMIT 20""")
 def preview_range(spark, sf):
     """First 20 rows (by time, then series) inside a range - a preview, so the limit is the feature."""
-    df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    df = fx.hourly_by_type(spark, sf, LO, HI).select("series_id", "ds", "y")
     return rounded(cal.show_between(df, LO, HI, n=20, order=["ds", "series_id"]))
 
 

@@ -19,9 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def hourly_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many series: one per event type, hourly mean value, event and distinct-user counts."""
-    ev = table(spark, sf_dir, "events").select("event_type", "ts", "user_id", "value")
+def hour_range_prefilter(df: DataFrame, lo=None, hi=None, ts: str = "ts") -> DataFrame:
+    """Rows that can round into hours [lo, hi]: ``lo - 30 min <= ts <= hi + 30 min``.
+
+    A plain comparison on the raw column, so the Parquet scan receives it as a pushed filter; an hour inside
+    the range keeps all its rows, and the exact filter on the rounded hour is applied after aggregation.
+    """
+    c = F.col(ts)
+    if lo is not None:
+        df = df.filter(c >= F.lit(str(lo)).cast("timestamp_ntz") - F.expr("INTERVAL 30 MINUTES"))
+    if hi is not None:
+        df = df.filter(c <= F.lit(str(hi)).cast("timestamp_ntz") + F.expr("INTERVAL 30 MINUTES"))
+    return df
+
+
+def hourly_by_type(spark: SparkSession, sf_dir: str, lo=None, hi=None) -> DataFrame:
+    """Many series: one per event type, hourly mean value, event and distinct-user counts.
+    ``lo`` / ``hi`` push a superset of an hour range down to the scan (callers still filter ``ds``)."""
+    ev = hour_range_prefilter(table(spark, sf_dir, "events"), lo, hi).select("event_type", "ts", "user_id", "value")
     return ev.groupBy(F.col("event_type").alias("series_id"), tf.round_hour("ts").alias("ds")).agg(
         F.avg("value").alias("y"),
         F.count(F.lit(1)).alias("n_events"),

@@ -51,54 +51,43 @@ def seq_index(
     order_col: str = "ds",
     out: str = "seq",
     mode: str = "chunked",
-    bucket_width: float = DEFAULT_CHUNK,
+    bucket_rows: int = DEFAULT_CHUNK,
     tiebreak: Sequence[str] = (),
-    method: str = "range",
+    bucket_width: float | None = None,
 ) -> DataFrame:
     """0-based row position per series (``np.arange(len)`` of the ordered series).
 
     ``mode="plain"``: ``row_number`` over one window per series.
-    ``method="range"`` (default): ``repartitionByRange`` on (series, order) - sampled bounds give every task
-    about the same number of rows whatever the key skew - then a per-(partition, series) count table
-    (partitions x series rows) gives running offsets, and a per-partition running count finishes the
-    position (the ``zipWithIndex`` scheme).  ``method="bucket"``: counts per (series, order-key bucket of
-    ``bucket_width``), running offsets, ``row_number`` inside each bucket (cheaper, but a dense bucket is one task).
+    ``mode="chunked"``: every series is cut into order-key buckets sized from its own density
+    (width = ``bucket_rows`` x key span / row count, from one small per-series aggregate), so a bucket holds
+    about ``bucket_rows`` rows however long or hot the series is.  Rows are counted per (series, bucket);
+    running offsets over that small count table are joined back and ``row_number`` inside the bucket
+    finishes the position.  Every step is a deterministic function of the data (safe under recomputation).
+    ``bucket_width`` fixes the width instead (order-key units: hours for timestamps).
     """
     pc = _cols(partition_cols)
     order = [order_col, *tiebreak]
     if mode == "plain":
         w = Window.partitionBy(*pc).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    conf = df.sparkSession.conf
-    reuse = conf.get("spark.sql.exchange.reuse", "true").lower() == "true"
-    if method == "range" and reuse:
-        # both consumers of the range shuffle (running index, per-partition counts) must read the same
-        # shuffle output: exchange reuse guarantees one physical shuffle (checked in the final plan)
-        return _seq_index_range(df, pc, order, out)
-    keyed = df.withColumn("_bkt", F.floor(order_key(df, order_col) / F.lit(float(bucket_width))))
+    keyed = df.withColumn("_k", order_key(df, order_col)).withColumn("_one", F.lit(1))
+    if bucket_width is None:
+        dens = keyed.groupBy(*pc, "_one").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_k").alias("_k0"),
+                                              F.max("_k").alias("_k1"))
+        width = F.greatest((F.col("_k1") - F.col("_k0")) * F.lit(float(bucket_rows)) / F.col("_cnt"), F.lit(1e-9))
+        dens = dens.select(*pc, "_one", "_k0", width.alias("_w"))
+        keyed = keyed.join(dens if pc else F.broadcast(dens), [*pc, "_one"], "inner")
+        bucket = F.floor((F.col("_k") - F.col("_k0")) / F.col("_w"))
+    else:
+        bucket = F.floor(F.col("_k") / F.lit(float(bucket_width)))
+    keyed = keyed.withColumn("_bkt", bucket)
     counts = keyed.groupBy(*pc, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*pc).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*pc, "_bkt", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"))
     joined = keyed.join(offsets, [*pc, "_bkt"], "inner")
     w = Window.partitionBy(*pc, "_bkt").orderBy(*order)
-    return joined.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint")).drop("_bkt", "_off")
-
-
-def _seq_index_range(df: DataFrame, pc: list[str], order: list[str], out: str) -> DataFrame:
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *pc, *order).sortWithinPartitions(*pc, *order)
-    # after the sort, monotonically_increasing_id = (partition id << 33) + row index inside the partition
-    mid = F.monotonically_increasing_id()
-    tagged = ranged.withColumn("_mid", mid).select(
-        "*", F.shiftright(F.col("_mid"), 33).alias("_pid"),
-        F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_idx")).drop("_mid")
-    # rows of one series are contiguous in a sorted partition: first index + count per (partition, series)
-    counts = tagged.groupBy("_pid", *pc).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
-    run = Window.partitionBy(*pc).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *pc, "_first", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"))
-    joined = tagged.join(offsets, ["_pid", *pc], "inner")
-    pos = F.col("_off") + F.col("_idx") - F.col("_first")
-    return joined.withColumn(out, pos.cast("bigint")).drop("_pid", "_idx", "_first", "_off")
+    res = joined.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
+    return res.drop("_bkt", "_off", "_k", "_one", "_k0", "_w")
 
 
 def ensure_pos(df: DataFrame, pc: list[str], order_col: str, pos_col: str | None = None) -> tuple[DataFrame, str, bool]:

@@ -121,7 +121,7 @@ def sort_scores(scores: DataFrame, ascending: bool = False, col: str = "score")
     """O1/O2: ranked score table (ties broken by name); the table has one row per feature."""
     order = F.col(col).asc() if ascending else F.col(col).desc()
     w = Window.orderBy(order, F.col("feature"))
-    return scores.select("*", F.row_number().over(w).alias("rank"))
+    return scores.select("*", F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 def top_k(scores: DataFrame, k: int = 10, col: str = "score") -> DataFrame:

@@ -72,9 +72,10 @@ def mutual_info(df: DataFrame, cols: Sequence[str], target: str = "y", bins: int
     ``sum p(x,y) ln(p(x,y) / (p(x) p(y)))`` minus the Miller-Madow bias ``(K_xy - K_x - K_y + 1) / (2n)``,
     clipped at 0.  Rows with a missing value in the feature or target are skipped per feature.
 
-    Plan: one min/max aggregate (one row) joined back on a constant key; features unpivoted to
+    Plan: one min/max aggregate (one row, broadcast) joined on a constant key; features unpivoted to
     ``(feature, bx, by)`` and counted with map-side partial aggregation - the shuffle carries at most
-    ``features * bins^2`` rows per task.  Per-feature marginals come from windows over that small table.
+    ``features * bins^2`` rows per task; one more small shuffle groups each feature's <= bins^2 cells, and the
+    marginals and the sum are higher-order functions over that bounded array.
     """
     cols = list(cols)
     b = int(bins)
@@ -95,26 +96,29 @@ def mutual_info(df: DataFrame, cols: Sequence[str], target: str = "y", bins: int
                                               for i, c in enumerate(cols)])).alias("_e"))
     cells = (binned.select("_e.feature", "_e.bx", "_by").filter(F.col("bx").isNotNull() & F.col("_by").isNotNull())
              .groupBy("feature", "bx", "_by").agg(F.count(F.lit(1)).alias("c")))
-    wf = Window.partitionBy("feature")
-    cells = cells.select(
-        "*",
-        F.sum("c").over(wf).alias("n"),
-        F.sum("c").over(Window.partitionBy("feature", "bx")).alias("cx"),
-        F.sum("c").over(Window.partitionBy("feature", "_by")).alias("cy"),
-    )
-    per = cells.groupBy("feature").agg(
-        F.sum((F.col("c") / F.col("n")) * F.log((F.col("c") * F.col("n")) / (F.col("cx") * F.col("cy")))).alias("mi"),
-        F.count(F.lit(1)).alias("kxy"), F.countDistinct("bx").alias("kx"), F.countDistinct("_by").alias("ky"),
-        F.first("n").alias("n"),
-    )
-    score = F.col("mi")
+    # one group per feature holding its <= bins^2 cells (bounded); marginals, K counts and the MI sum are
+    # higher-order functions over that small array - one shuffle instead of a window per marginal
+    per = cells.groupBy("feature").agg(F.collect_list(F.struct("bx", "_by", "c")).alias("cells"))
+    cl = F.col("cells")
+    n = F.aggregate(cl, F.lit(0).cast("bigint"), lambda acc, e: acc + e["c"])
+
+    def marginal(e, key):
+        return F.aggregate(F.filter(cl, lambda o: o[key] == e[key]), F.lit(0).cast("bigint"), lambda acc, o: acc + o["c"])
+
+    per = per.select("feature", "cells", n.alias("n"))
+    terms = F.transform(cl, lambda e: (e["c"] / F.col("n")) * F.log((e["c"] * F.col("n")) / (marginal(e, "bx") * marginal(e, "_by"))))
+    mi = F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
+    kxy = F.size(cl)
+    kx = F.size(F.array_distinct(F.transform(cl, lambda e: e["bx"])))
+    ky = F.size(F.array_distinct(F.transform(cl, lambda e: e["_by"])))
+    score = mi
     if bias_correction:
-        score = score - (F.col("kxy") - F.col("kx") - F.col("ky") + F.lit(1)) / (F.lit(2.0) * F.col("n"))
+        score = mi - (kxy - kx - ky + F.lit(1)) / (F.lit(2.0) * F.col("n"))
     out = per.select("feature", F.greatest(score, F.lit(0.0)).alias("score"))
-    # features without any complete row score 0
+    # features without any complete row score 0 (the name table has one row per feature: broadcast)
     spark = df.sparkSession
     names = spark.createDataFrame([(c,) for c in cols], "feature string")
-    return names.join(out, "feature", "left").select("feature", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out.join(F.broadcast(names), "feature", "right").select("feature", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def sort_scores(scores: DataFrame, ascending: bool = False, col: str = "score") -> DataFrame:

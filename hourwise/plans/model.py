@@ -98,7 +98,22 @@ def design_frame(df: DataFrame, stats: DataFrame, spec: ForecastSpec, series_col
 # ---------------------------------------------------------------- Gram
 
 
+MAX_SERIES_PER_PARTIAL = 1024
+
+
 def _partial_gram_fn(p: int):
+    """Fold a partition into per-series partial Grams; when a partition holds more than
+    ``MAX_SERIES_PER_PARTIAL`` series the partials are flushed early (task memory stays ~1024 * p^2 doubles)."""
+
+    def emit(acc):
+        return pd.DataFrame({
+            "_sid": list(acc.keys()),
+            "xtx": [v[0].ravel() for v in acc.values()],
+            "xty": [v[1] for v in acc.values()],
+            "yty": [v[2] for v in acc.values()],
+            "n": [v[3] for v in acc.values()],
+        })
+
     def fn(batches):
         acc: dict = {}
         for pdf in batches:
@@ -112,14 +127,11 @@ def _partial_gram_fn(p: int):
                 a = acc.get(sid)
                 part = (Xw.T @ X, Xw.T @ yv, float((yv * (w if w is not None else 1.0)) @ yv), float(len(g)))
                 acc[sid] = part if a is None else (a[0] + part[0], a[1] + part[1], a[2] + part[2], a[3] + part[3])
+            if len(acc) > MAX_SERIES_PER_PARTIAL:
+                yield emit(acc)
+                acc = {}
         if acc:
-            yield pd.DataFrame({
-                "_sid": list(acc.keys()),
-                "xtx": [v[0].ravel() for v in acc.values()],
-                "xty": [v[1] for v in acc.values()],
-                "yty": [v[2] for v in acc.values()],
-                "n": [v[3] for v in acc.values()],
-            })
+            yield emit(acc)
     return fn
 
 

@@ -27,3 +27,28 @@ def test_stream_panel_matches_batch(spark):
         exp.select("series_id", "ds", F.round("y", 9).alias("y"), "n_events"))
     assert diff.count() == 0
     assert exp.count() - got.count() <= 5  # only hours the watermark has not closed may be missing
+
+
+def test_score_stream_matches_batch_predict(spark):
+    import datetime as dt
+
+    from hourwise.plans import model as mdl
+    from hourwise.plans.spec import ForecastSpec
+    from hourwise.streaming.hourly import score_stream
+
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(10 + 0.1 * i)) for i in range(200)]
+    hist = spark.createDataFrame(rows, "series_id string, ds timestamp_ntz, y double")
+    spec = ForecastSpec(n_changepoints=0, weekly=0, daily=1, yearly=0)
+    model = mdl.fit(hist, spec)
+    base = f"{checkpoint_dir(spark)}/score-{uuid.uuid4().hex}"
+    hist.select("series_id", "ds").write.parquet(base + "/in")
+    src = spark.readStream.schema("series_id string, ds timestamp_ntz").parquet(base + "/in")
+
+    def sink(df, batch_id):
+        df.write.mode("append").parquet(base + "/out")
+
+    q = score_stream(src, model, spec, sink, base + "/chk")
+    q.awaitTermination()
+    got = spark.read.parquet(base + "/out").select("series_id", "ds", F.round("yhat", 9).alias("yhat"))
+    exp = mdl.predict(model, hist, spec).select("series_id", "ds", F.round("yhat", 9).alias("yhat"))
+    assert got.count() == 200 and got.exceptAll(exp).count() == 0

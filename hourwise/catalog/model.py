@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from hourwise import fixtures as fx
 from hourwise.catalog import DAILY, GAPPY, HBT, NUDGE, r, register, rounded
-from hourwise.functions import time as tf
 from hourwise.operators import missing as miss
 from hourwise.operators import ordered as ordd
 from hourwise.operators.filters import between_ts

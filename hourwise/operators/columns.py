@@ -51,7 +51,11 @@ def to_numeric(df: DataFrame, cols: Iterable[str] | None = None, report: bool =
     return casted, lost
 
 
-def as_model_frame(df: DataFrame, ts: str = "Date", target: str = "PriceHU", keep_series: bool = True) -> DataFrame:
+# Timestamp and target column names of the source table the reference expects.
+SOURCE_TS, SOURCE_TARGET = "Date", "PriceHU"
+
+
+def as_model_frame(df: DataFrame, ts: str = SOURCE_TS, target: str = SOURCE_TARGET, keep_series: bool = True) -> DataFrame:
     """P5: ``ts -> ds``, ``target -> y``, originals dropped, other columns kept in order."""
     rest = [c for c in df.columns if c not in (ts, target, "ds", "y")]
     lead = [F.col(ts).alias("ds"), F.col(target).alias("y")]

@@ -8,9 +8,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from hourwise.functions import time as tf
 from hourwise.operators import columns as cols
 from hourwise.operators import filters as flt
 from hourwise.operators import ordered as ordd

@@ -337,3 +337,23 @@ def interp_quadratic(spark, sf):
 
     df = regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y"), flag=None, pos_col="_pos")
     return rounded(ordd.interpolate_quadratic(df, ["y"], pos_col="_pos").drop("_pos"))
+
+
+_RLO, _RHI = "2024-01-10 00:00:00", "2024-01-16 23:00:00"
+
+
+@register("history_in_range", f"""WITH {HBT}, {regular_sql('hbt')},
+f AS (SELECT series_id, ds, y, lag(y, 1) OVER ({W_SER}) AS lag_1, lag(y, 24) OVER ({W_SER}) AS lag_24,
+      {_roll_sql('y', 6, 'mean')} AS rolling_mean_6h FROM reg)
+SELECT series_id, ds, {r('y')} AS y, {r('lag_1')} AS lag_1, {r('lag_24')} AS lag_24, {r('rolling_mean_6h')} AS rolling_mean_6h
+FROM f WHERE ds >= TIMESTAMP '{_RLO}' AND ds <= TIMESTAMP '{_RHI}'""")
+def history_in_range(spark, sf):
+    """Predicate through the window: lags / rolling mean for one week of the regular grid,
+    computed from that week plus a 24-hour look-back margin only."""
+    from hourwise.operators.missing import regularize
+
+    df = regularize(fx.hourly_by_type(spark, sf).select("series_id", "ds", "y"), flag=None)
+    def build(d):
+        return ordd.add_rolling(ordd.add_lags(d, "y", [1, 24]), "y", [6], stats=("mean",))
+
+    return rounded(ordd.features_between(df, _RLO, _RHI, build, lookback_hours=24))

@@ -412,3 +412,20 @@ def interpolate_quadratic(df: DataFrame, cols, partition_cols=("series_id",), or
              .otherwise(linear))
         vals.append(v)
     return _replace(df, cols, vals, base_cols).select(*base_cols)
+
+
+def features_between(df: DataFrame, lo, hi, build: Callable[[DataFrame], DataFrame], lookback_hours: int,
+                     ts: str = "ds") -> DataFrame:
+    """Predicate through a window, done in the API (Catalyst keeps order-key filters above a Window).
+
+    Rows of ``[lo - lookback_hours, hi]`` go into ``build`` (lags / rolling / EMA ...), so the range filter is a
+    plain comparison that reaches the scan; afterwards only ``[lo, hi]`` is kept.  Exact when the frame is on a
+    regular hourly grid (``regularize`` first) and ``lookback_hours`` covers the largest look-back of ``build``
+    (for an EMA: ``ema.ema_plan(span)[1]`` rows, beyond which weights are < 1e-19).
+    """
+    from hourwise.functions import time as tf
+
+    lo_c, hi_c = tf.ts_bound(lo), tf.ts_bound(hi)
+    margin = F.timestamp_add("HOUR", F.lit(-int(lookback_hours)), lo_c)
+    src = df.filter((F.col(ts) >= margin) & (F.col(ts) <= hi_c))
+    return build(src).filter((F.col(ts) >= lo_c) & (F.col(ts) <= hi_c))

@@ -87,3 +87,27 @@ def test_no_future_leak(spark):
     f2 = _pdf(add_ema(ordd.add_history_features(changed, "y", [1], [5]), "y", [12]).filter(F.col("ds") <= F.lit(cut)),
               ["lag_1", "rolling_mean_5h", "ema_12h"])
     _same(f1, f2, ["lag_1", "rolling_mean_5h", "ema_12h"])
+
+
+def test_features_between_equals_full_computation(spark):
+    """Range-restricted features with a look-back margin equal the full computation on a regular grid."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from hourwise.operators.ema import ema_plan
+    from hourwise.operators.missing import regularize
+
+    df = regularize(_panel(spark, 10, n=300), flag=None)
+    lo, hi = "2024-01-10 00:00:00", "2024-01-15 00:00:00"
+
+    def build(d):
+        return add_ema(ordd.add_history_features(d, "y", [1, 24], [6]), "y", [3])
+
+    look = max(24, 6, ema_plan(3)[1])
+    got = _pdf(ordd.features_between(df, lo, hi, build, look), ["lag_24", "rolling_mean_6h", "ema_3h"])
+    full = build(df).filter((F.col("ds") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ds") <= F.lit(hi).cast("timestamp_ntz")))
+    exp = _pdf(full, ["lag_24", "rolling_mean_6h", "ema_3h"])
+    assert len(got) == len(exp) > 0
+    _same(got, exp, ["lag_24", "rolling_mean_6h"])
+    _same(got, exp, ["ema_3h"], tol=1e-12)

@@ -53,17 +53,17 @@ def seq_index(
     mode: str = "chunked",
     bucket_rows: int = DEFAULT_CHUNK,
     tiebreak: Sequence[str] = (),
-    bucket_width: float | None = None,
+    bucket_width: float | None = DEFAULT_CHUNK,
 ) -> DataFrame:
     """0-based row position per series (``np.arange(len)`` of the ordered series).
 
     ``mode="plain"``: ``row_number`` over one window per series.
-    ``mode="chunked"``: every series is cut into order-key buckets sized from its own density
-    (width = ``bucket_rows`` x key span / row count, from one small per-series aggregate), so a bucket holds
-    about ``bucket_rows`` rows however long or hot the series is.  Rows are counted per (series, bucket);
-    running offsets over that small count table are joined back and ``row_number`` inside the bucket
-    finishes the position.  Every step is a deterministic function of the data (safe under recomputation).
-    ``bucket_width`` fixes the width instead (order-key units: hours for timestamps).
+    ``mode="chunked"``: every series is cut into order-key buckets of ``bucket_width`` (hours for timestamps;
+    hourly data -> at most 4096 rows per series and bucket, however long or hot the series).  Rows are
+    counted per (series, bucket); running offsets over that small count table are joined back and
+    ``row_number`` inside the bucket finishes the position.  ``bucket_width=None`` sizes buckets from each
+    series' density instead (width = ``bucket_rows`` x key span / rows; one more small aggregate) - for
+    sub-hourly data.  Every step is a deterministic function of the data (safe under recomputation).
     """
     pc = _cols(partition_cols)
     order = [order_col, *tiebreak]

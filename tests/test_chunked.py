@@ -68,7 +68,7 @@ def test_ema_multi_chunk_matches_pandas(spark):
 
 def test_seq_index_small_buckets(spark):
     df = _panel(spark, 8)
-    a = _pdf(ordd.seq_index(df, bucket_rows=5), ["seq"])
+    a = _pdf(ordd.seq_index(df, bucket_rows=5, bucket_width=None), ["seq"])
     c = _pdf(ordd.seq_index(df, bucket_width=3.0), ["seq"])
     assert (c["seq"] == a["seq"]).all()
     b = _pdf(ordd.seq_index(df, mode="plain"), ["seq"])

@@ -111,3 +111,21 @@ def test_features_between_equals_full_computation(spark):
     assert len(got) == len(exp) > 0
     _same(got, exp, ["lag_24", "rolling_mean_6h"])
     _same(got, exp, ["ema_3h"], tol=1e-12)
+
+
+def test_long_gap_across_many_chunks(spark):
+    """A missing run spanning several chunks: fills, interpolation and EMA carry across empty chunks."""
+    import datetime as dt
+    import math
+
+    vals = [float(i % 7) for i in range(40)] + [None] * 200 + [float(i % 5) for i in range(40)]  # > 3 EMA chunks
+    rows = [("s", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "series_id string, ds timestamp_ntz, y double")
+    src = pd.Series([np.nan if v is None else v for v in vals])
+    for fn, exp in ((ordd.ffill, src.ffill()), (ordd.bfill, src.bfill()),
+                    (ordd.interpolate_linear, src.interpolate(method="linear"))):
+        got = _pdf(fn(df, ["y"], chunk=8), ["y"])["y"].astype(float)
+        assert ((got - exp).abs().fillna(0) < 1e-9).all() and (got.isna() == exp.isna()).all(), fn.__name__
+    got = _pdf(add_ema(df, "y", [3], chunk=4), ["ema_3h"])["ema_3h"].astype(float)
+    exp = src.ewm(span=3).mean()
+    assert ((got - exp).abs().fillna(0) < 1e-9).all() and (got.isna() == exp.isna()).all()

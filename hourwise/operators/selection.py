@@ -27,10 +27,20 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str = "y") -> D
     return wide.unpivot([], cols, "feature", "score")
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+GRAM_CORR_MIN_COLS = 40
+
+
+def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """L2: upper-triangle Pearson matrix in long form ``(feature_a, feature_b, pos_a, pos_b, corr)``,
-    computed as one aggregate of p(p-1)/2 ``corr`` buffers."""
+    pairwise-complete rows (pandas ``corr``).
+
+    ``method="aggregate"``: one aggregate of p(p-1)/2 ``corr`` buffers.  ``method="gram"`` (default above
+    ``GRAM_CORR_MIN_COLS`` columns): one pass of per-partition masked cross-product matrices on mean-centred
+    values, tree-summed like the model Gram - O(p^2) numbers per task however many pairs.
+    """
     cols = list(cols)
+    if method == "gram" or (method == "auto" and len(cols) > GRAM_CORR_MIN_COLS):
+        return _corr_gram(df, cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     wide = df.agg(*[F.corr(_q(cols[i]).cast("double"), _q(cols[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs])
     entries = [F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
@@ -39,6 +49,53 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    from hourwise.plans.model import FANIN, _sum_arrays
+
+    p = len(cols)
+    means = df.agg(*[F.avg(_q(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(cols)]).withColumn("_one", F.lit(1))
+    centred = df.withColumn("_one", F.lit(1)).join(F.broadcast(means), "_one").select(  # one row of means
+        *[(_q(c).cast("double") - F.col(f"_m{i}")).alias(f"_x{i}") for i, c in enumerate(cols)])
+    names = [f"_x{i}" for i in range(p)]
+
+    def partial(batches):
+        acc = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf[names].to_numpy(dtype=float)
+            m = (~np.isnan(x)).astype(float)
+            x0 = np.nan_to_num(x)
+            part = np.stack([m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0])
+            acc = part if acc is None else acc + part
+        if acc is not None:
+            yield pd.DataFrame({"s": [acc.ravel()]})
+
+    parts = centred.mapInPandas(partial, "s array<double>").withColumn("_part", F.spark_partition_id())
+    n_parts, covered = max(1, centred.rdd.getNumPartitions()), 1
+    while True:  # bounded fan-in tree, as for the model Gram
+        covered *= FANIN
+        parts = parts.groupBy(F.floor(F.col("_part") / F.lit(FANIN)).alias("_part")).agg(_sum_arrays("s", 4 * p * p).alias("s"))
+        if covered >= n_parts:
+            break
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, sx, sq, cxy = np.asarray(pdf["s"].iloc[0], dtype=float).reshape(4, p, p)
+        out = []
+        for i in range(p):
+            for j in range(i + 1, p):
+                den = (n[i, j] * sq[i, j] - sx[i, j] ** 2) * (n[i, j] * sq[j, i] - sx[j, i] ** 2)
+                r = (n[i, j] * cxy[i, j] - sx[i, j] * sx[j, i]) / np.sqrt(den) if den > 0 else None
+                out.append((cols[i], cols[j], i, j, r))
+        return pd.DataFrame(out, columns=["feature_a", "feature_b", "pos_a", "pos_b", "corr"])
+
+    schema = "feature_a string, feature_b string, pos_a int, pos_b int, corr double"
+    return parts.drop("_part").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(finish, schema)
+
+
 def prune_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.9, corr: DataFrame | None = None) -> DataFrame:
     """L3: drop a column when |corr| > threshold with any *earlier* column (dropped ones still count).
     Returns the kept ``(feature, pos)`` rows."""

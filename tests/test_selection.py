@@ -65,3 +65,20 @@ def test_lasso_cv_keeps_signal(spark):
     res = {r["feature"]: r for r in lasso_cv(df, ["a", "c", "d"], "y", folds=5).collect()}
     assert res["a"]["selected"] and res["c"]["selected"]
     assert abs(res["a"]["coef"] - 2.0) < 0.2 and abs(res["c"]["coef"] + 1.5) < 0.2
+
+
+def test_corr_matrix_gram_equals_aggregate(spark):
+    rng = np.random.default_rng(4)
+    n, p = 400, 6
+    base = rng.normal(100, 5, (n, 1))
+    x = base + rng.normal(0, 1, (n, p)) * np.arange(1, p + 1)
+    x[rng.random((n, p)) < 0.1] = np.nan  # pairwise-complete semantics
+    pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(p)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None)).repartition(7)
+    cols = list(pdf.columns)
+    a = sel.corr_matrix(df, cols, method="aggregate").toPandas().sort_values(["pos_a", "pos_b"]).reset_index(drop=True)
+    g = sel.corr_matrix(df, cols, method="gram").toPandas().sort_values(["pos_a", "pos_b"]).reset_index(drop=True)
+    assert (a[["feature_a", "feature_b"]].values == g[["feature_a", "feature_b"]].values).all()
+    assert np.allclose(a["corr"].astype(float), g["corr"].astype(float), atol=1e-10)
+    exp = pdf.corr()
+    assert abs(g.loc[0, "corr"] - exp.iloc[0, 1]) < 1e-10

@@ -53,7 +53,7 @@ def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    from hourwise.plans.model import FANIN, _sum_arrays
+    from hourwise.plans.model import _sum_arrays, fan_in
 
     p = len(cols)
     means = df.agg(*[F.avg(_q(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(cols)]).withColumn("_one", F.lit(1))
@@ -76,9 +76,10 @@ def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
 
     parts = centred.mapInPandas(partial, "s array<double>").withColumn("_part", F.spark_partition_id())
     n_parts, covered = max(1, centred.rdd.getNumPartitions()), 1
-    while True:  # bounded fan-in tree, as for the model Gram
-        covered *= FANIN
-        parts = parts.groupBy(F.floor(F.col("_part") / F.lit(FANIN)).alias("_part")).agg(_sum_arrays("s", 4 * p * p).alias("s"))
+    k = fan_in(4 * p * p)
+    while True:  # bounded fan-in tree (k partials, ~64 MB of arrays per task), as for the model Gram
+        covered *= k
+        parts = parts.groupBy(F.floor(F.col("_part") / F.lit(k)).alias("_part")).agg(_sum_arrays("s", 4 * p * p).alias("s"))
         if covered >= n_parts:
             break
 

@@ -137,6 +137,11 @@ def _partial_gram_fn(p: int):
 GRAM_SCHEMA = "_sid string, xtx array<double>, xty array<double>, yty double, n double"
 
 
+def fan_in(array_len: int, budget_bytes: float = 64e6) -> int:
+    """Partials merged per group: at most ``FANIN``, and at most ~``budget_bytes`` of arrays per task."""
+    return max(2, min(FANIN, int(budget_bytes // (8.0 * max(1, array_len)))))
+
+
 def _sum_arrays(col: str, size: int) -> Column:
     zero = F.array_repeat(F.lit(0.0), size)
     return F.aggregate(F.collect_list(col), zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
@@ -149,10 +154,11 @@ def gram(design: DataFrame, p: int) -> DataFrame:
     rows = design.select(*cols).filter(F.col("y_s").isNotNull())
     parts = rows.mapInPandas(_partial_gram_fn(p), GRAM_SCHEMA).withColumn("_part", F.spark_partition_id())
     n_parts = max(1, rows.rdd.getNumPartitions())
+    k = fan_in(p * p + p)
     covered = 1
-    while True:  # each level merges at most FANIN partials per series
-        covered *= FANIN
-        parts = parts.groupBy("_sid", F.floor(F.col("_part") / F.lit(FANIN)).alias("_part")).agg(
+    while True:  # each level merges at most k partials per series (k <= FANIN, ~64 MB of arrays)
+        covered *= k
+        parts = parts.groupBy("_sid", F.floor(F.col("_part") / F.lit(k)).alias("_part")).agg(
             _sum_arrays("xtx", p * p).alias("xtx"), _sum_arrays("xty", p).alias("xty"),
             F.sum("yty").alias("yty"), F.sum("n").alias("n"))
         if covered >= n_parts:

@@ -16,7 +16,7 @@ Plan:
   (fan-in ``FANIN``), so no task ever holds more than ``FANIN`` partials - also for one hot series;
 * the penalised normal equations are solved per series in ``applyInPandas`` over the one-row Gram
   (ridge for Gaussian priors, IRLS for the Laplace prior of the hinges, noise variance re-estimated
-  from the same Gram); multiplicative mode alternates two linear fits, one Gram pass each.
+  from the same Gram); multiplicative mode runs Gauss-Newton, one Jacobian Gram pass per iteration.
 """
 
 from __future__ import annotations
@@ -253,9 +253,12 @@ def fit(df: DataFrame, spec: ForecastSpec, series_col: str = "series_id", y: str
 
 
 def _fit_multiplicative(design: DataFrame, stats: DataFrame, spec: ForecastSpec, p: int) -> DataFrame:
-    """Alternate (a) trend given seasonal/regressor factor and (b) factor given trend; one Gram pass each.
+    """Gauss-Newton on the bilinear model y = g * s, g = A theta (trend block), s = 1 + F beta (seasonal and
+    regressor block).  Each iteration is ONE Gram pass over the Jacobian rows [s * A, g * F] with the current
+    residual as target; the same Gram gives the current SSE.  Start: additive trend-only fit, beta = 0.
 
-    The design is cut from lineage once (checkpoint in the shared checkpoint folder) and reused by every pass.
+    The design is cut from lineage once (checkpoint in the shared folder); the parameter table (one row per
+    series) is checkpointed every iteration, so iteration k never recomputes earlier ones.
     """
     from dataclasses import replace
 
@@ -264,33 +267,62 @@ def _fit_multiplicative(design: DataFrame, stats: DataFrame, spec: ForecastSpec,
     n_trend, n_seas, n_reg = spec.blocks()
     design = cut_lineage(design.select("_sid", "ds", "trend_x", F.concat("seas_x", "reg_x").alias("f_x"), "y_s"))
     trend_spec = replace(spec, yearly=0, weekly=0, daily=0, seasonalities=(), regressors=(), mode="additive")
-    factor_spec = replace(spec, n_changepoints=0, trend_prior_scale=None)
-    # start: trend-only fit with factor 1.  Coefficient tables (one row per series) are cut from lineage
-    # every round, so round k does not recompute rounds 0..k-1.
-    tcoef = cut_lineage(_solve_block(design.withColumn("x", F.col("trend_x")), trend_spec, n_trend, None))
-    fcoef = None
+    t0 = _solve_block(design.withColumn("x", F.col("trend_x")), trend_spec, n_trend, None)
+    params = cut_lineage(t0.select("_sid", F.col("beta").alias("theta"),
+                                   F.array_repeat(F.lit(0.0), n_seas + n_reg).alias("phi"), "n"))
     prev_sse = None
+    sigma_tab = None
     for _ in range(spec.max_rounds):
-        # (b) factor given trend: (y - g) = g * f_x . beta
-        gcol = _dot("trend_x", "tb")
-        fb = design.join(tcoef.select("_sid", F.col("beta").alias("tb")), "_sid").select(
-            "_sid", F.transform("f_x", lambda v: v * gcol).alias("x"), (F.col("y_s") - gcol).alias("y_s"))
-        fcoef = cut_lineage(_solve_block(fb, factor_spec, n_seas + n_reg, (n_seas, n_reg)))
-        # (a) trend given factor: y = (1 + f_x . beta) * trend_x . theta
-        fac = F.lit(1.0) + _dot("f_x", "fb")
-        ta = design.join(fcoef.select("_sid", F.col("beta").alias("fb")), "_sid").select(
-            "_sid", F.transform("trend_x", lambda v: v * fac).alias("x"), "y_s")
-        tcoef = cut_lineage(_solve_block(ta, trend_spec, n_trend, None))
-        sse = tcoef.agg(F.sum("sse")).first()[0]
+        g = _dot("trend_x", "theta")
+        sfac = F.lit(1.0) + _dot("f_x", "phi")
+        jac = design.join(params.select("_sid", "theta", "phi"), "_sid").select(
+            "_sid", F.concat(F.transform("trend_x", lambda v: v * sfac), F.transform("f_x", lambda v: v * g)).alias("x"),
+            (F.col("y_s") - g * sfac).alias("y_s"))
+        gm = gram(jac, p).join(params.select("_sid", "theta", "phi"), "_sid")
+        step = gm.groupBy("_sid").applyInPandas(_gn_step_fn(spec, n_trend, n_seas, n_reg), GN_SCHEMA)
+        step = cut_lineage(step)
+        sse = step.agg(F.sum("sse")).first()[0]
+        params = step.select("_sid", "theta", "phi", "n")
+        sigma_tab = step.select("_sid", "sigma")
         if prev_sse is not None and abs(prev_sse - sse) <= spec.tol * max(prev_sse, 1e-12):
             break
         prev_sse = sse
-    both = tcoef.select("_sid", F.col("beta").alias("tb"), "sigma", "n").join(
-        fcoef.select("_sid", F.col("beta").alias("fb")), "_sid").select(
-        "_sid", F.concat("tb", "fb").alias("beta"), "sigma", "n")
+    both = params.join(sigma_tab, "_sid").select("_sid", F.concat("theta", "phi").alias("beta"), "sigma", "n")
     return _model_table(both, stats, spec)
 
 
+GN_SCHEMA = "_sid string, theta array<double>, phi array<double>, sigma double, sse double, n double"
+
+
+def _gn_step_fn(spec: ForecastSpec, n_trend: int, n_seas: int, n_reg: int):
+    """One Gauss-Newton step per series from the Jacobian Gram: minimise ||r - J d||^2 + penalties on the
+    updated parameters (ridge; L1 on the hinges by IRLS on the same Gram)."""
+    p = n_trend + n_seas + n_reg
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in pdf.iterrows():
+            jtj = np.asarray(row["xtx"], dtype=float).reshape(p, p)
+            jtr = np.asarray(row["xty"], dtype=float)
+            rtr, n = float(row["yty"]), float(row["n"])
+            cur = np.concatenate([np.asarray(row["theta"], dtype=float), np.asarray(row["phi"], dtype=float)])
+            sigma2 = max(rtr / max(n, 1.0), 1e-12)  # SSE at the current parameters
+            ridge, l1 = _penalties(spec, n, sigma2)
+            d = np.zeros(p)
+            for _ in range(50):  # IRLS for the L1 part, on the updated parameters cur + d
+                lam = ridge + l1 / (2.0 * np.maximum(np.abs(cur + d), 1e-6))
+                nd = np.linalg.solve(jtj + np.diag(lam) + 1e-10 * np.eye(p), jtr - lam * cur)
+                if np.max(np.abs(nd - d)) < 1e-10:
+                    d = nd
+                    break
+                d = nd
+            new = cur + d
+            out.append((row["_sid"], new[:n_trend].tolist(), new[n_trend:].tolist(), math.sqrt(sigma2), rtr, n))
+        return pd.DataFrame(out, columns=["_sid", "theta", "phi", "sigma", "sse", "n"])
+
+    return fn
+
+
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda u, v: u * v), F.lit(0.0), lambda acc, z: acc + z)
 

@@ -233,7 +233,7 @@ def fit_additive(spark, sf):
 
 @register("fit_multiplicative")
 def fit_multiplicative(spark, sf):
-    """G1 + G5: multiplicative model (the first family's priors) fitted by alternating Gram passes."""
+    """G1 + G5: multiplicative model (the first family's priors) fitted by Gauss-Newton, one Gram pass per step."""
     spec = replace(CONFIG_A, yearly=0, n_changepoints=10)
     model, _, _ = train(flagship_panel(spark, sf), spec, end=FLAG_END, regressors=("lag_24",))
     return mdl.coefficients(model)

@@ -104,3 +104,19 @@ def test_recursive_matches_hand_recurrence(spark):
     assert np.allclose(got["yhat"].to_numpy(), np.asarray(exp), atol=1e-9)
     # the recursion converges to the fixed point of y = 2 + 0.6 y
     assert abs(got["yhat"].iloc[-1] - 5.0) < 0.05
+
+
+def test_future_frame_guards_and_auto_training(spark):
+    import pytest
+
+    from hourwise.plans import workflows as wf
+
+    df = _synthetic(spark, n=300, series=("a",))
+    spec = ForecastSpec(n_changepoints=0, weekly=0, daily=1, yearly=0, regressors=("x1", "missing_col"), **FREE)
+    with pytest.raises(KeyError):
+        wf.check_regressors(spec, df)  # G9: every regressor must be present
+    with pytest.raises(ValueError):
+        wf.prepare_future(df, "2030-01-01 00:00:00", "2030-01-02 00:00:00", ["x1"], check_non_empty=True)
+    model, chosen_spec, scores = wf.train(df, ForecastSpec(n_changepoints=0, weekly=0, daily=1, yearly=0, **FREE),
+                                          threshold=0.0, top=2)
+    assert "x1" in chosen_spec.regressors and model.count() == 1 and scores.count() >= 1

@@ -54,3 +54,20 @@ def test_load_dataset_dispatch_and_model_roundtrip(spark):
     io.save_forecast(_df(spark).select(F.col("Date").alias("ds"), F.col("PriceHU").alias("yhat")), base + "/fc.csv")
     back = io.load_dataset(spark, base + "/fc.csv", schema="ds timestamp_ntz, yhat double")
     assert back.count() == 5
+
+
+def test_to_numeric_report_and_range_checks(spark):
+    import datetime as dt
+
+    from hourwise.operators import missing as miss
+
+    df = spark.createDataFrame([("1.5",), ("x",), (None,), ("2",)], "v string")
+    with pytest.warns(UserWarning):
+        out, lost = cols.to_numeric(df, ["v"], report=True)
+    assert lost == {"v": 1} and sorted(r["v"] for r in out.collect() if r["v"] is not None) == [1.5, 2.0]
+    ts = spark.createDataFrame([(dt.datetime(2024, 1, 1, h),) for h in range(10)], "ds timestamp_ntz")
+    flt.validate_range_from_data(ts, "2024-01-01 02:00:00", "2024-01-01 05:00:00")
+    with pytest.raises(ValueError):
+        flt.validate_range_from_data(ts, "2023-12-31 00:00:00", "2024-01-01 05:00:00")
+    grid = miss.hour_range(spark, "2024-01-01 00:00:00", "2024-12-31 23:00:00")  # crosses grid chunks
+    assert grid.count() == 366 * 24 and grid.distinct().count() == 366 * 24

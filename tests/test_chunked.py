@@ -129,3 +129,11 @@ def test_long_gap_across_many_chunks(spark):
     got = _pdf(add_ema(df, "y", [3], chunk=4), ["ema_3h"])["ema_3h"].astype(float)
     exp = src.ewm(span=3).mean()
     assert ((got - exp).abs().fillna(0) < 1e-9).all() and (got.isna() == exp.isna()).all()
+
+
+@pytest.mark.parametrize("chunk", [6, 50])
+def test_quadratic_interpolation_equivalence(spark, chunk):
+    df = _panel(spark, 11, n=250)
+    a = _pdf(ordd.interpolate_quadratic(df, ["y"], mode="plain"), ["y"])
+    b = _pdf(ordd.interpolate_quadratic(df, ["y"], chunk=chunk), ["y"])
+    _same(a, b, ["y"])

@@ -5,6 +5,6 @@ Every operator is a ``DataFrame -> DataFrame`` function.  Ordered operators take
 series into bounded position chunks, so one long or hot series never lands in a single task.
 """
 
-from hourwise.session import get_session, checkpoint_dir  # noqa: F401
+from hourwise.session import get_session, shared_dir  # noqa: F401
 
-__all__ = ["get_session", "checkpoint_dir"]
+__all__ = ["get_session", "shared_dir"]

@@ -22,7 +22,7 @@ from hourwise.plans.recursive import forecast_recursive as _forecast_recursive
 from hourwise.plans.spec import CONFIG_A, ForecastSpec
 from hourwise.plans.workflows import prepare_future as _prepare_future
 from hourwise.plans.workflows import train, train_then_forecast as _ttf
-from hourwise.session import cut_lineage
+from hourwise.session import cut_lineage, scratch_path
 from hourwise.sources import io
 
 TWO_PI = 2.0 * math.pi
@@ -301,21 +301,13 @@ def train_auto(spark, sf):
     return rounded(mdl.coefficients(model))
 
 
-def _scratch(spark, tag):
-    import uuid
-
-    from hourwise.session import checkpoint_dir
-
-    return f"{checkpoint_dir(spark).rstrip('/')}/hourwise-{tag}-{uuid.uuid4().hex}"
-
-
 @register("model_roundtrip", f"""WITH {HBT}, {_OLS_SQL}
 SELECT x.series_id, x.ds, {r('f.intercept + f.slope * x.t', 4)} AS yhat FROM x JOIN f ON x.series_id = f.series_id
 WHERE x.ds >= TIMESTAMP '{CUT}'""")
 def model_roundtrip(spark, sf):
     """The fitted coefficient table saved as Parquet in the shared folder, loaded back and used to predict."""
     df, model = _ols(spark, sf)
-    path = _scratch(spark, "model")
+    path = scratch_path(spark, "model")
     io.save_model(model, path)
     loaded = io.load_model(spark, path)
     fut = df.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
@@ -327,7 +319,7 @@ SELECT series_id, ds, {r('yhat')} AS yhat FROM fc WHERE ds >= TIMESTAMP '{CUT}'"
 def forecast_roundtrip(spark, sf):
     """A forecast frame written as header CSV and read back with its schema."""
     _, fc = _naive(spark, sf)
-    path = _scratch(spark, "forecast") + ".csv"
+    path = scratch_path(spark, "forecast", ".csv")
     io.save_forecast(fc, path)
     back = io.load_dataset(spark, path, schema="series_id string, ds timestamp_ntz, yhat double")
     return rounded(back)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from hourwise.operators import columns as cols
 from hourwise.operators import filters as flt
 from hourwise.operators import missing as miss
 from hourwise.operators import ordered as ordd
-from hourwise.session import checkpoint_dir
+from hourwise.session import scratch_path
 from hourwise.sources import io
 
 LO, HI = "2024-01-05 00:00:00", "2024-01-12 23:00:00"
@@ -287,18 +286,13 @@ def distinct_values(spark, sf):
     return fx.hourly_by_type(spark, sf).select("n_users").distinct()
 
 
-def _scratch(spark, tag):
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/hourwise-{tag}-{uuid.uuid4().hex}"
-
-
 @register("csv_roundtrip", f"""WITH {DAILY}
 SELECT series_id, ds, {r('y')} AS y, n_orders, {r('qty')} AS qty FROM daily""")
 def csv_roundtrip(spark, sf):
     """Feature table written as header CSV to the shared checkpoint location, read back by extension
     with an explicit schema (NaN -> NULL normalisation on load)."""
     df = fx.daily_orders(spark, sf).select("series_id", "ds", "y", "n_orders", "qty")
-    path = _scratch(spark, "csv") + ".csv"
+    path = scratch_path(spark, "csv", ".csv")
     io.save_table(df, path, "csv")
     schema = "series_id string, ds timestamp_ntz, y double, n_orders bigint, qty double"
     return rounded(io.load_dataset(spark, path, schema=schema))

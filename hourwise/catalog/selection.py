@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from hourwise.catalog import HWIDE, r, register, rounded
 from hourwise.operators import filters as flt
 from hourwise.operators import ordered as ordd
 from hourwise.operators import selection as sel
-from hourwise.session import checkpoint_dir
+from hourwise.session import scratch_path
 from hourwise.sources import io
 
 FEATS = ("n_click", "n_view", "n_error", "n_purchase", "n_signup", "H", "WDAY",
@@ -213,6 +212,6 @@ def scores_sorted(spark, sf):
 SELECT feature, {r('score')} AS score FROM m1s""")
 def scores_roundtrip(spark, sf):
     """MI scores written as CSV with the headers ``Column Name, MI Score`` and read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/hourwise-scores-{uuid.uuid4().hex}.csv"
+    path = scratch_path(spark, "scores", ".csv")
     io.save_scores(_mi(spark, sf), path)
     return rounded(io.load_scores(spark, path))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hourwise.operators import columns as cols
 from hourwise.operators import filters as flt
-from hourwise.session import checkpoint_dir
+from hourwise.session import shared_dir
 from hourwise.sources import io
 
 
@@ -45,7 +45,7 @@ def test_validate_and_non_empty(spark):
 def test_load_dataset_dispatch_and_model_roundtrip(spark):
     with pytest.raises(ValueError):
         io.load_dataset(spark, "/tmp/x.xlsx")
-    base = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     model = spark.createDataFrame([("a", [1.0, 2.0])], "_sid string, beta array<double>")
     io.save_model(model, base + "/model")
     assert io.load_model(spark, base + "/model").first()["beta"] == [1.0, 2.0]

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hourwise import fixtures as fx
-from hourwise.session import checkpoint_dir
+from hourwise.session import shared_dir
 from hourwise.streaming.hourly import hourly_panel_stream
 from tests.conftest import SF0001
 
@@ -15,7 +15,7 @@ def test_stream_panel_matches_batch(spark):
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF0001)
     name = f"panel_{uuid.uuid4().hex[:8]}"
     q = (hourly_panel_stream(src, watermark="1 hour").writeStream.outputMode("append").format("memory")
-         .queryName(name).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}")
+         .queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     got = spark.table(name)
@@ -40,7 +40,7 @@ def test_score_stream_matches_batch_predict(spark):
     hist = spark.createDataFrame(rows, "series_id string, ds timestamp_ntz, y double")
     spec = ForecastSpec(n_changepoints=0, weekly=0, daily=1, yearly=0)
     model = mdl.fit(hist, spec)
-    base = f"{checkpoint_dir(spark)}/score-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/score-{uuid.uuid4().hex}"
     hist.select("series_id", "ds").write.parquet(base + "/in")
     src = spark.readStream.schema("series_id string, ds timestamp_ntz").parquet(base + "/in")
 

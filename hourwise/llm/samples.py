@@ -29,4 +29,5 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes:
         got = list(batches)
         yield pd.DataFrame({"model": [fit(pd.concat(got, ignore_index=True) if got else None)]})
 
-    return bytes(sample.coalesce(1).mapInPandas(run, "model binary").first()[0])
+    got = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return bytes(got[0]) if got else fit(None)

@@ -21,10 +21,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, trained on the labelled documents left here, rejects go."""
-    from hourwise.llm.toxicity import score_toxicity, toxicity_model
+    from hourwise.llm.toxicity import drop_toxic, toxicity_model
 
-    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, keep=docs.columns).filter("predicted = 0").select(*docs.columns)
+    return drop_toxic(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

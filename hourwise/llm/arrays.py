@@ -104,13 +104,17 @@ class Words:
 
 
 def words(p: Piece) -> Words:
-    n = len(p.buf)
+    return runs(BLANK[p.buf], p.off)
+
+
+def runs(blank: np.ndarray, off: np.ndarray) -> Words:
+    """Runs of positions that aren't ``blank``; a row's edge (``off``) ends a run too."""
+    n = len(blank)
     if not n:
         z = np.zeros(0, np.int64)
-        return Words(z, z, np.zeros(p.rows + 1, np.int64))
-    blank = BLANK[p.buf]
-    edge = np.zeros(n + 1, dtype=bool)  # a text begins or ends here
-    edge[p.off] = True
+        return Words(z, z, np.zeros(len(off), np.int64))
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[off] = True
     before = np.empty(n, dtype=bool)
     before[0] = True
     before[1:] = blank[:-1]
@@ -119,7 +123,7 @@ def words(p: Piece) -> Words:
     after[-1] = True
     after[:-1] = blank[1:]
     end = np.flatnonzero(~blank & (after | edge[1:])) + 1
-    return Words(start, end, np.searchsorted(start, p.off))
+    return Words(start, end, np.searchsorted(start, off))
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:

@@ -26,6 +26,15 @@ def op1_token_counts(spark, sf):
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_toxicity(spark, sf):
+    """Toxicity of every document, learned from labelled rows that are not held out."""
+    from hourwise.llm.samples import held_out
+    from hourwise.llm.toxicity import score_toxicity, toxicity_model
+
+    docs = table(spark, sf, "documents")
+    return score_toxicity(docs, toxicity_model(docs, table(spark, sf, "labels"))).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_secret_scans(spark, sf):
     """Secrets in every document: base patterns and strings that a vocabulary encodes badly."""
     import public_tokenizers
@@ -88,7 +97,7 @@ def op10_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "prob")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules)}
 
 
 def queries() -> dict[str, Callable]:

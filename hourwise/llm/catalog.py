@@ -26,6 +26,13 @@ def op1_token_counts(spark, sf):
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_ngram_join(spark, sf):
+    """Components of all documents under links of 5-word shingle similarity."""
+    from hourwise.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf, "documents"))
+
+
 def op5_toxicity(spark, sf):
     """Toxicity of every document, learned from labelled rows that are not held out."""
     from hourwise.llm.samples import held_out
@@ -97,7 +104,7 @@ def op10_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "prob")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op3_ngram_join, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules)}
 
 
 def queries() -> dict[str, Callable]:

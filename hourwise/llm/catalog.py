@@ -26,6 +26,13 @@ def op1_token_counts(spark, sf):
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_decontamination(spark, sf):
+    """Documents that hold a copy of a benchmark item."""
+    from hourwise.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op3_ngram_join(spark, sf):
     """Components of all documents under links of 5-word shingle similarity."""
     from hourwise.llm.ngram_join import ngram_components
@@ -33,6 +40,14 @@ def op3_ngram_join(spark, sf):
     return ngram_components(table(spark, sf, "documents"))
 
 
+def op4_license_scans(spark, sf):
+    """Paragraphs of all documents that state a licence."""
+    from hourwise.llm.licenses import LicenceClassifier, scan_licences
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return scan_licences(docs, LicenceClassifier(docs))
+
+
 def op5_toxicity(spark, sf):
     """Toxicity of every document, learned from labelled rows that are not held out."""
     from hourwise.llm.samples import held_out
@@ -104,7 +119,7 @@ def op10_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "prob")
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op3_ngram_join, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_join, op4_license_scans, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules)}
 
 
 def queries() -> dict[str, Callable]:

@@ -8,7 +8,8 @@ multiplied: overlaps of two rows are accumulated over their shared n-grams, for
 of both (the prefix that the bound leaves) and whose sizes allow the similarity.
 
 Groups of near copies are not expanded into all pairs: rounds compare each row with one pivot of each of its prefix
-n-grams and join what is linked; the last round compares all pairs that meet and aren't joined yet.
+n-grams and join what is linked; the last round compares all pairs that meet and aren't joined yet, if the n-grams
+that both have from there on suffice for the overlap that their sizes ask for.
 """
 
 from __future__ import annotations
@@ -220,22 +221,27 @@ def set_links(rows: DataFrame) -> DataFrame:
     """(node, component) over the rows of ``incidence``: components of the links at the similarity."""
     # unshared n-grams are the rarest, so of the prefix that the bound leaves they take their number away
     bound = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1 - (F.col("size") - F.size("grams"))
-    prefix = handed(rows.select("node", "size", F.explode(F.slice("grams", 1, bound.cast("int"))).alias("gram")), "prefixes")
+    prefix = handed(rows.select("node", "size", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", 1, bound.cast("int"))).alias("at", "gram")), "prefixes")
     state = handed(rows.select("node", F.col("node").alias("component")), "components")
-    fits = (F.col("size") * 100 >= F.col("p_size") * PERCENT) & (F.col("p_size") * 100 >= F.col("size") * PERCENT)
+    # the least overlap of a pair, from both sizes, and the most that their shared n-grams allow
+    least = F.ceil((F.col("size") + F.col("p_size")) * PERCENT / (100 + PERCENT))
+    fits = (F.col("size") * 100 >= F.col("p_size") * PERCENT) & (F.col("p_size") * 100 >= F.col("size") * PERCENT) & (F.least("shared", "p_shared") >= least)
+    # no overlap before the rarest common n-gram: from there on both have to have enough left
+    enough = F.least(F.col("shared") - F.col("at"), F.col("p_shared") - F.col("p_at")) >= least
     for k in range(PIVOT_ROUNDS + 1):
-        at = prefix.join(state, "node")
-        last = k == PIVOT_ROUNDS
-        mixed = at.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                       F.min_by(F.struct("node", "size", "component"), F.struct(F.xxhash64(F.lit(k), "node"), "node")).alias("p")).filter("low <> high")
-        open_ = handed(at.join(mixed.select("gram", "p"), "gram"), "open")
+        open_ = prefix.join(state, "node")
+        # the pivot: at first the row with the fewest n-grams of its own, then any
+        rank = F.struct(F.when(F.lit(k == 0), -F.col("shared") / F.col("size")).otherwise(F.lit(0.0)), F.xxhash64(F.lit(k), "node"), "node")
+        mixed = open_.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                          F.min_by(F.struct("node", "size", "shared", "component"), rank).alias("p")).filter("low <> high")
+        open_ = handed(open_.join(mixed.select("gram", "p"), "gram"), "open")
         if not open_.limit(1).count():
             break
-        if last:
-            other = open_.select("gram", F.col("node").alias("p_node"), F.col("size").alias("p_size"), F.col("component").alias("p_component"))
-            met = open_.drop("p").join(other, "gram").filter("node < p_node")
+        if k == PIVOT_ROUNDS:
+            other = open_.select(F.col("gram").alias("p_gram"), *(F.col(c).alias(f"p_{c}") for c in ("node", "size", "shared", "at", "component")))
+            met = open_.drop("p").join(other, (F.col("gram") == F.col("p_gram")) & (F.col("node") < F.col("p_node")) & enough)
         else:
-            met = open_.select("node", "size", "component", F.col("p.node").alias("p_node"), F.col("p.size").alias("p_size"), F.col("p.component").alias("p_component"))
+            met = open_.select("node", "size", "shared", "component", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "size", "shared", "component")))
         pairs = met.filter((F.col("component") != F.col("p_component")) & fits).select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
         links = handed(_linked(handed(pairs, "pairs"), rows), "links")
         if not links.limit(1).count():

@@ -30,8 +30,12 @@ GRAM = 5
 #: Similarity: 100 * overlap >= PERCENT * union.
 PERCENT = 75
 #: Entries of the incidence matrix in a column block on average, and rows of a row block.
-BLOCK_ENTRIES, BLOCK_ROWS = 4_000_000, 20_000
-PIVOT_ROUNDS = 2
+BLOCK_ENTRIES, BLOCK_ROWS = 2_500_000, 20_000
+#: Entries that a map task holds before it sends them on.
+HELD_ENTRIES = 1_000_000
+PIVOT_ROUNDS = 1
+#: Sets whose numbers are broadcast at most; more go by a shuffle join.
+BROADCAST_SETS = 500_000
 
 
 def gram_sets(p: Piece, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,8 +114,15 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _column_blocks(docs: DataFrame, text_col: str, n_blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a set's copies in this task are sent once
+        grams, owner, nodes, sizes, n, held = [], [], [], [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            h = np.concatenate(grams)
+            of = (h >> U64(40)) % U64(n_blocks)
+            rows = list(_blocks(of.astype(np.int32), n_blocks, np.concatenate(owner), h, np.concatenate(nodes), np.concatenate(sizes)))
+            return pa.RecordBatch.from_pylist(rows, schema=_arrow(False))
+
         for b in batches:
-            grams, owner, nodes, sizes, n = [], [], [], [], 0
             for p in pieces(b.column(0)):
                 h, row, size = gram_sets(p)
                 node = signatures(h, size)
@@ -121,17 +132,18 @@ def _column_blocks(docs: DataFrame, text_col: str, n_blocks: int) -> DataFrame:
                         seen.add(x)
                         new[r] = True
                 use = new[row]
-                number = np.cumsum(new) - 1 + n
+                number = (np.cumsum(new) - 1 + n).astype(np.int32)
                 grams.append(h[use])
                 owner.append(number[row[use]])
                 nodes.append(node[new])
                 sizes.append(size[new])
                 n += int(new.sum())
-            if n:
-                h = np.concatenate(grams)
-                of = (h >> U64(40)) % U64(n_blocks)
-                rows = list(_blocks(of.astype(np.int32), n_blocks, np.concatenate(owner), h, np.concatenate(nodes), np.concatenate(sizes)))
-                yield pa.RecordBatch.from_pylist(rows, schema=_arrow(False))
+                held += int(use.sum())
+                if held >= HELD_ENTRIES:
+                    yield packed()
+                    grams, owner, nodes, sizes, n, held = [], [], [], [], 0, 0
+        if held:
+            yield packed()
 
     return docs.select(text_col).mapInArrow(run, BLOCK)
 
@@ -179,7 +191,7 @@ def _shared_entries(n_row_blocks: int):
     return run
 
 
-ROW_SCHEMA = "node long, size long, grams array<long>, shared_by array<long>"
+ROW_SCHEMA = "node long, size long, grams array<long>"
 
 
 def _rows(group: pd.DataFrame) -> pd.DataFrame:
@@ -197,8 +209,7 @@ def _rows(group: pd.DataFrame) -> pd.DataFrame:
     owner, grams, by = owner[use], grams[use].view(np.int64), by[use]
     order = np.lexsort((grams, by, owner))
     ends = np.cumsum(np.bincount(owner, minlength=len(distinct))[good])[:-1]
-    split = lambda x: pd.Series(np.split(x[order], ends) if good.any() else [], dtype=object)
-    return pd.DataFrame({"node": distinct[good].view(np.int64), "size": size[good], "grams": split(grams), "shared_by": split(by)})
+    return pd.DataFrame({"node": distinct[good].view(np.int64), "size": size[good], "grams": pd.Series(np.split(grams[order], ends) if good.any() else [], dtype=object)})
 
 
 def incidence(docs: DataFrame, entries: int, sets: int, text_col: str = "text") -> DataFrame:
@@ -211,6 +222,8 @@ def incidence(docs: DataFrame, entries: int, sets: int, text_col: str = "text")
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``pairs`` whose accumulated overlap reaches the similarity."""
+    asked = handed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    rows = rows.join(F.broadcast(asked) if asked.count() <= BROADCAST_SETS else asked, "node", "left_semi")
     side = lambda x: rows.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("grams").alias(f"{x}_grams"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     overlap = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -229,7 +242,7 @@ def set_links(rows: DataFrame) -> DataFrame:
     # no overlap before the rarest common n-gram: from there on both have to have enough left
     enough = F.least(F.col("shared") - F.col("at"), F.col("p_shared") - F.col("p_at")) >= least
     for k in range(PIVOT_ROUNDS + 1):
-        open_ = prefix.join(state, "node")
+        open_ = prefix.join(state, "node") if k else prefix.withColumn("component", F.col("node"))
         # the pivot: at first the row with the fewest n-grams of its own, then any
         rank = F.struct(F.when(F.lit(k == 0), -F.col("shared") / F.col("size")).otherwise(F.lit(0.0)), F.xxhash64(F.lit(k), "node"), "node")
         mixed = open_.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"),

@@ -115,11 +115,14 @@ class LicenceClassifier:
         self.temperature = min(ranked)[1] if ranked else 1.0
 
     def predict(self, lines: DataFrame) -> DataFrame:
-        """``lines`` (with ``grams``) with ``family`` and its calibrated ``prob``."""
-        scored = self.model.transform(self.vocabulary.transform(lines))
-        prob = scored.withColumn("_p", _softmax(vector_to_array("rawPrediction"), self.temperature)).withColumn("prob", F.array_max("_p"))
+        """Those of ``lines`` (with ``grams``) that a family scores highest for, with ``family`` and its calibrated
+        ``prob``. They are written once, so that nothing is scored again for each use of a score."""
+        scored = self.model.setProbabilityCol("").transform(self.vocabulary.transform(lines))
+        named = scored.filter(F.col("prediction") != float(self.families.index(UNKNOWN)) if UNKNOWN in self.families else F.lit(True))
+        kept = handed(named.select(*lines.columns, F.col("prediction").cast("int").alias("_k"), vector_to_array("rawPrediction").alias("_m")), "licences")
         names = F.array(*(F.lit(x) for x in self.families))
-        return prob.withColumn("family", F.element_at(names, F.array_position("_p", F.col("prob")).cast("int"))).drop("_p", "rawPrediction", "probability", "prediction", "features")
+        return kept.withColumn("family", F.element_at(names, F.col("_k") + 1)).withColumn(
+            "prob", F.element_at(_softmax(F.col("_m"), self.temperature), F.col("_k") + 1)).drop("_k", "_m")
 
 
 def _softmax(margins: Column, temperature: float) -> Column:
@@ -134,12 +137,14 @@ def scan_licences(docs: DataFrame, classifier: LicenceClassifier, id_col: str =
     table gives an empty result; other columns are ignored.
     """
     lines = paragraphs(docs, id_col, text_col).withColumn("grams", grams(F.col("text")))
-    named = classifier.predict(lines).filter((F.col("family") != UNKNOWN) & (F.col("prob") >= PROBABILITY))
+    named = classifier.predict(lines).filter(F.col("prob") >= PROBABILITY)
+    # as many structs as there are templates
     every = F.array(*(F.struct((F.size(F.array_intersect(F.array(*(F.lit(x) for x in own)), F.col("grams"))) / F.lit(len(own))).alias("similarity"), F.lit(family).alias("match"))
                       for family, own in ((f, sorted(_pairs(t))) for f, t in TEMPLATES)))
-    best = named.withColumn("_best", F.array_max(every)).filter((F.col("_best.similarity") >= SIMILARITY))
-    own = F.exists(every, lambda x: (x["match"] == F.col("family")) & (x["similarity"] >= F.col("_best.similarity")))
-    return best.filter(own).select(F.col(id_col).alias("doc_id"), F.col("paragraph").cast("long").alias("paragraph"), "family", "prob", F.col("_best.similarity").alias("similarity"))
+    compared = handed(named.select(F.col(id_col).alias("doc_id"), F.col("paragraph").cast("long").alias("paragraph"), "family", "prob", every.alias("_every")), "compared")
+    best = F.array_max("_every")["similarity"]
+    own = F.exists("_every", lambda x: (x["match"] == F.col("family")) & (x["similarity"] >= best))
+    return compared.filter((best >= SIMILARITY) & own).select("doc_id", "paragraph", "family", "prob", best.alias("similarity"))
 
 
 def _pairs(text: str) -> set[str]:

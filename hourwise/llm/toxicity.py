@@ -215,14 +215,17 @@ def fit(sample: pd.DataFrame | None) -> bytes:
         return pickle.dumps(None)
     sample = sample.drop_duplicates("text", ignore_index=True)
     toxic = sample["label"].to_numpy()
-    size = sample["text"].str.len().sum() * 4 + 1
-    (p,) = pieces(pa.array(sample["text"], pa.large_string()), int(size))
-    letters, start, end, first = letter_words(p)
-    long = np.flatnonzero(end - start >= 3)
-    hashes = span_hashes(letters, start[long], end[long])
+    parts, rows = [], []
+    for p in pieces(pa.array(sample["text"], pa.large_string())):
+        letters, start, end, first = letter_words(p)
+        long = np.flatnonzero(end - start >= 3)
+        rows.append(p.lo + np.repeat(np.arange(p.rows), np.diff(first))[long])
+        parts.append((*_gathered(letters, start, end, long)[:1], (end - start)[long], span_hashes(letters, start[long], end[long])))
+    letters, size, hashes = (np.concatenate([x[k] for x in parts]) for k in range(3))
     distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-    row = np.repeat(np.arange(p.rows), np.diff(first))[long]
-    letters, start, end = _gathered(letters, start, end, long[one])
+    row = np.concatenate(rows)
+    start = np.cumsum(size) - size
+    letters, start, end = _gathered(letters, start, start + size, one)
     pairs = np.unique(row * len(distinct) + back)
     doc, word = pairs // len(distinct), pairs % len(distinct)
     # of near copies one is learned from: those whose two smallest hashes of words of 7 letters or more agree
@@ -251,7 +254,7 @@ def fit(sample: pd.DataFrame | None) -> bytes:
         cost = np.concatenate([np.full(min(len(clean), NEGATIVES), 1.0 / NEGATIVES), np.full(len(hard), 1.0 / HARD_NEGATIVES)])
         weights, bias = _train(letters, start, end, marks, found, gain, negatives, cost)
     # bias: a word's value is its margin
-    score = worst_words(p, weights) + bias
+    score = np.concatenate([worst_words(p, weights) for p in pieces(pa.array(sample["text"], pa.large_string()))]) + bias
     held = np.flatnonzero(aside) if len(np.unique(toxic[aside])) == 2 else np.arange(len(toxic))
     a, b = platt(np.clip(score[held], -3, 3), toxic[held])
     return pickle.dumps((weights, bias, a, b))

@@ -257,43 +257,43 @@ def same_row_concat(spark, sf):
 
 # ------------------------------------------------------------------ joins and appends
 
-CUT = "2024-01-20 00:00:00"
+# held-out part of the hourly panel: its last eleven days
+CUT = "(SELECT max(ds) - INTERVAL 264 HOUR FROM hbt)"
 
 
 @register("attach_features", f"""WITH {HWIDE},
-f AS (SELECT ds, lag(y, 1) OVER (ORDER BY ds) AS lag_1, lag(y, 24) OVER (ORDER BY ds) AS lag_24 FROM hw
-      WHERE ds >= TIMESTAMP '2024-01-08 00:00:00')
+f AS (SELECT ds, lag(y, 1) OVER (ORDER BY ds) AS lag_1, lag(y, 24) OVER (ORDER BY ds) AS lag_24 FROM hw)
 SELECT h.ds, {r('h.y')} AS y, h.n_click, {r('f.lag_1')} AS lag_1, {r('f.lag_24')} AS lag_24
 FROM hw h LEFT JOIN f ON h.ds = f.ds""")
 def attach_features(spark, sf):
     """Left join of only the new feature columns, key uniqueness checked first."""
     base = fx.hourly_wide(spark, sf).select("series_id", "ds", "y", "n_click")
-    feats = ordd.add_lags(base.filter(F.col("ds") >= F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")), "y", [1, 24])
+    feats = ordd.add_lags(base, "y", [1, 24])
     return rounded(jn.attach_features(base, feats, on=["series_id", "ds"]).drop("series_id"))
 
 
 @register("align_actuals", f"""WITH {HBT},
 fc AS (SELECT series_id, ds, lag(y, 24) OVER ({W_SER}) AS yhat FROM hbt)
 SELECT a.series_id, a.ds, {r('a.y')} AS y, {r('f.yhat')} AS yhat
-FROM hbt a JOIN fc f ON a.series_id = f.series_id AND a.ds = f.ds WHERE f.ds >= TIMESTAMP '{CUT}'""")
+FROM hbt a JOIN fc f ON a.series_id = f.series_id AND a.ds = f.ds WHERE f.ds >= {CUT}""")
 def align_actuals(spark, sf):
     """Actuals inner-joined with a (seasonal naive) forecast on (series, hour)."""
     actual = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
     fc = ordd.add_lags(actual, "y", [24]).select("series_id", "ds", F.col("lag_24").alias("yhat"))
-    fc = fc.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+    fc = fc.filter(F.col("ds") >= actual.agg(F.max("ds") - F.expr("INTERVAL 264 HOURS")).scalar())
     return rounded(jn.align_actuals(actual, fc))
 
 
 @register("append_rows", f"""WITH {HBT},
 fc AS (SELECT series_id, ds, lag(y, 24) OVER ({W_SER}) AS yhat FROM hbt)
-SELECT series_id, ds, {r('y')} AS y, NULL::DOUBLE AS yhat FROM hbt WHERE ds < TIMESTAMP '{CUT}'
+SELECT series_id, ds, {r('y')} AS y, NULL::DOUBLE AS yhat FROM hbt WHERE ds < {CUT}
 UNION ALL
-SELECT series_id, ds, NULL::DOUBLE AS y, {r('yhat')} AS yhat FROM fc WHERE ds >= TIMESTAMP '{CUT}'""")
+SELECT series_id, ds, NULL::DOUBLE AS y, {r('yhat')} AS yhat FROM fc WHERE ds >= {CUT}""")
 def append_rows(spark, sf):
     """History rows and forecast rows appended by name, missing columns NULL."""
     actual = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
     fc = ordd.add_lags(actual, "y", [24]).select("series_id", "ds", F.col("lag_24").alias("yhat"))
-    cut = F.lit(CUT).cast("timestamp_ntz")
+    cut = actual.agg(F.max("ds") - F.expr("INTERVAL 264 HOURS")).scalar()
     return rounded(jn.append_rows(actual.filter(F.col("ds") < cut), fc.filter(F.col("ds") >= cut)))
 
 
@@ -357,3 +357,58 @@ def history_in_range(spark, sf):
         return ordd.add_rolling(ordd.add_lags(d, "y", [1, 24]), "y", [6], stats=("mean",))
 
     return rounded(ordd.features_between(df, _RLO, _RHI, build, lookback_hours=24))
+
+
+# ------------------------------------------------------------------ further branches
+
+_XB_LAGS, _XB_WIN, _XB_EMA = (1, 24, 168), (6, 24), (12, 24)
+_XB = ("n_click", "n_view")
+
+
+@register("exogenous_bundle", f"""WITH RECURSIVE {HWIDE},
+xw AS (SELECT series_id, ds, n_click::DOUBLE AS n_click, n_view::DOUBLE AS n_view FROM hw),
+{ema_recursive_sql('xw', 'n_click', _XB_EMA, tuple(f'n_click_ema_{s}h' for s in _XB_EMA), p='a')},
+{ema_recursive_sql('xw', 'n_view', _XB_EMA, tuple(f'n_view_ema_{s}h' for s in _XB_EMA), p='b')}
+SELECT x.ds,
+  {', '.join(r(f'lag(x.{c}, {k}) OVER (ORDER BY x.ds)') + f' AS {c}_lag_{k}' for c in _XB for k in _XB_LAGS)},
+  {', '.join(r(f'CASE WHEN count(x.{c}) OVER (ORDER BY x.ds ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN {f}(x.{c}) OVER (ORDER BY x.ds ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END') + f' AS {c}_rolling_{s}_{n}h' for c in _XB for n in _XB_WIN for s, f in (('mean', 'avg'), ('std', 'stddev_samp')))},
+  {', '.join(f'a.n_click_ema_{s}h, b.n_view_ema_{s}h' for s in _XB_EMA)}
+FROM xw x JOIN ema_a a ON x.ds = a.ds JOIN ema_b b ON x.ds = b.ds""")
+def exogenous_bundle(spark, sf):
+    """Lags, rolling statistics and EMAs of two exogenous columns."""
+    from hourwise.plans.workflows import exogenous_features
+
+    df = fx.hourly_wide(spark, sf).select("series_id", "ds", *[F.col(c).cast("double").alias(c) for c in _XB])
+    return rounded(exogenous_features(df, _XB, _XB_LAGS, _XB_WIN, _XB_EMA).drop("series_id", *_XB))
+
+
+@register("attach_dedupe", f"""WITH {HBT},
+f AS (SELECT series_id, date_trunc('day', ds)::TIMESTAMP AS ds, n_events, y FROM hbt),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id, ds ORDER BY n_events, y) AS rn FROM f)
+SELECT h.series_id, h.ds, {r('k.n_events')} AS day_events, {r('k.y')} AS day_y
+FROM hbt h LEFT JOIN k ON h.series_id = k.series_id AND h.ds = k.ds AND k.rn = 1""")
+def attach_dedupe(spark, sf):
+    """J1 with a feature side that repeats keys: one existing row of each key is taken."""
+    base = fx.hourly_by_type(spark, sf)
+    feats = base.select("series_id", F.date_trunc("day", "ds").cast("timestamp_ntz").alias("ds"), F.col("n_events").cast("double").alias("day_events"), F.col("y").alias("day_y"))
+    return rounded(jn.attach_features(base.select("series_id", "ds"), feats, dedupe=True))
+
+
+@register("scaled_minmax", f"""WITH {HBT}, s AS (SELECT min(y) AS lo, max(y) AS hi FROM hbt)
+SELECT h.series_id, h.ds, {r('(h.y - s.lo) / (s.hi - s.lo)')} AS y FROM hbt h, s""")
+def scaled_minmax(spark, sf):
+    """Normalisation by minimum and maximum over all series."""
+    df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    return rounded(jn.scale_columns(df, ["y"], partition_cols=(), method="minmax"))
+
+
+@register("spectrum_rows", f"""WITH {HBT},
+d AS (SELECT series_id, date_trunc('day', ds)::TIMESTAMP AS day, hour(ds) AS t, y FROM hbt),
+n AS (SELECT series_id, day, t, y, row_number() OVER (PARTITION BY series_id, day ORDER BY t) - 1 AS p, count(*) OVER (PARTITION BY series_id, day) AS n FROM d),
+s AS (SELECT a.series_id, a.day, a.t, sum(b.y * cos({TWO_PI!r} * a.p * b.p / a.n)) AS re, -sum(b.y * sin({TWO_PI!r} * a.p * b.p / a.n)) AS im
+      FROM n a JOIN n b ON a.series_id = b.series_id AND a.day = b.day GROUP BY ALL)
+SELECT series_id, day, t::INTEGER AS t, {r('re', 4)} AS fft_re, {r('im', 4)} AS fft_im, {r('sqrt(re * re + im * im)', 4)} AS fft_abs FROM s""")
+def spectrum_rows(spark, sf):
+    """The whole spectrum of many short series (one per event type and day), attached to their rows."""
+    df = fx.hourly_by_type(spark, sf).select("series_id", F.date_trunc("day", "ds").cast("timestamp_ntz").alias("day"), F.hour("ds").alias("t"), "y")
+    return rounded(ex.spectrum(df, "y", ["series_id", "day"], "t").drop("y"), 4)

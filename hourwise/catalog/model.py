@@ -3,31 +3,39 @@ L7-L9)."""
 
 from __future__ import annotations
 
+import datetime
 import math
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from hourwise import fixtures as fx
-from hourwise.catalog import DAILY, GAPPY, HBT, NUDGE, r, register, rounded
+from hourwise.catalog import DAILY, GAPPY, HBT, HWIDE, NUDGE, r, register, rounded
 from hourwise.operators import missing as miss
 from hourwise.operators import ordered as ordd
-from hourwise.operators.filters import between_ts
+from hourwise.operators.filters import between_ts, data_bounds
 from hourwise.operators.mlselect import lasso_cv as _lasso_cv
 from hourwise.operators.mlselect import pca as _pca
 from hourwise.operators.mlselect import rfe_forest as _rfe
 from hourwise.plans import model as mdl
 from hourwise.plans.evaluate import compare, evaluate
 from hourwise.plans.recursive import forecast_recursive as _forecast_recursive
-from hourwise.plans.spec import CONFIG_A, ForecastSpec
-from hourwise.plans.workflows import prepare_future as _prepare_future
+from hourwise.plans.spec import CONFIG_A, CONFIG_B, CONFIG_B_LOCAL, ForecastSpec
+from hourwise.plans.workflows import engineer, prepare_future as _prepare_future
 from hourwise.plans.workflows import train, train_then_forecast as _ttf
 from hourwise.session import cut_lineage, scratch_path
 from hourwise.sources import io
 
 TWO_PI = 2.0 * math.pi
-CUT = "2024-01-20 00:00:00"
+# held-out part of the hourly panel: its last eleven days
+CUT = "(SELECT max(ds) - INTERVAL 264 HOUR FROM hbt)"
 LO2, HI2 = "2024-01-22 00:00:00", "2024-01-24 23:00:00"
+
+
+def cut_of(panel):
+    return panel.agg(F.max("ds") - F.expr("INTERVAL 264 HOURS")).scalar()
+
+
 W_SER = "PARTITION BY series_id ORDER BY ds"
 EH = "(epoch_us(ds) // 3600000000)::DOUBLE"
 
@@ -71,16 +79,16 @@ def design_matrix(spark, sf):
     return rounded(d.select("series_id", "ds", *cols))
 
 
-_OLS_SQL = f"""b AS (SELECT series_id, min({EH}) AS t0, max({EH}) AS t1 FROM hbt WHERE ds < TIMESTAMP '{CUT}' GROUP BY series_id),
+_OLS_SQL = f"""b AS (SELECT series_id, min({EH}) AS t0, max({EH}) AS t1 FROM hbt WHERE ds < {CUT} GROUP BY series_id),
 x AS (SELECT h.series_id, h.ds, h.y, ({EH} - b.t0) / (b.t1 - b.t0) AS t FROM hbt h JOIN b ON h.series_id = b.series_id),
 f AS (SELECT series_id, regr_intercept(y, t) AS intercept, regr_slope(y, t) AS slope,
              sqrt((regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t)) / regr_count(y, t)) AS sigma
-      FROM x WHERE ds < TIMESTAMP '{CUT}' GROUP BY series_id)"""
+      FROM x WHERE ds < {CUT} GROUP BY series_id)"""
 
 
 def _ols(spark, sf):
     df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
-    hist = df.filter(F.col("ds") < F.lit(CUT).cast("timestamp_ntz"))
+    hist = df.filter(F.col("ds") < cut_of(df))
     return df, mdl.fit(hist, OLS_SPEC)
 
 
@@ -97,11 +105,11 @@ def ols_trend(spark, sf):
 
 @register("predict_linear", f"""WITH {HBT}, {_OLS_SQL}
 SELECT x.series_id, x.ds, {r('f.intercept + f.slope * x.t', 4)} AS yhat FROM x JOIN f ON x.series_id = f.series_id
-WHERE x.ds >= TIMESTAMP '{CUT}'""")
+WHERE x.ds >= {CUT}""")
 def predict_linear(spark, sf):
     """Predictions of the fitted model for the rows after the cut (model row joined per series)."""
     df, model = _ols(spark, sf)
-    fut = df.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+    fut = df.filter(F.col("ds") >= cut_of(df))
     return rounded(mdl.predict(model, fut, OLS_SPEC, intervals=False).select("series_id", "ds", "yhat"), 4)
 
 
@@ -112,11 +120,11 @@ _Z = OLS_SPEC.z()
 SELECT x.series_id, x.ds, {r('f.intercept + f.slope * x.t', 4)} AS yhat,
        {r(f'(f.intercept + f.slope * x.t) - {_Z!r} * f.sigma', 4)} AS yhat_lower,
        {r(f'(f.intercept + f.slope * x.t) + {_Z!r} * f.sigma', 4)} AS yhat_upper
-FROM x JOIN f ON x.series_id = f.series_id WHERE x.ds >= TIMESTAMP '{CUT}'""")
+FROM x JOIN f ON x.series_id = f.series_id WHERE x.ds >= {CUT}""")
 def interval(spark, sf):
     """80 % interval ``yhat +/- z * sigma`` (residual noise of the fit)."""
     df, model = _ols(spark, sf)
-    fut = df.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+    fut = df.filter(F.col("ds") >= cut_of(df))
     return rounded(mdl.predict(model, fut, OLS_SPEC).select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper"), 4)
 
 
@@ -144,12 +152,12 @@ _NAIVE = f"""fc AS (SELECT series_id, ds, lag(y, 24) OVER ({W_SER}) AS yhat FROM
 def _naive(spark, sf):
     actual = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
     fc = ordd.add_lags(actual, "y", [24]).select("series_id", "ds", F.col("lag_24").alias("yhat"))
-    return actual, fc.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+    return actual, fc.filter(F.col("ds") >= cut_of(actual))
 
 
 _METRICS_SQL = f"""WITH {HBT}, {_NAIVE},
 pr AS (SELECT a.series_id, a.y, f.yhat FROM hbt a JOIN fc f ON a.series_id = f.series_id AND a.ds = f.ds
-       WHERE f.ds >= TIMESTAMP '{CUT}' AND a.y IS NOT NULL AND f.yhat IS NOT NULL)
+       WHERE f.ds >= {CUT} AND a.y IS NOT NULL AND f.yhat IS NOT NULL)
 SELECT series_id, {{m}} FROM pr GROUP BY series_id"""
 
 
@@ -197,45 +205,96 @@ def compare_actual(spark, sf):
     return rounded(compare(actual, fc, LO2, HI2))
 
 
-# ------------------------------------------------------------------ rows-only (no SQL twin)
+# ------------------------------------------------------------------ models on the regular panel
 
-FLAG_END, FLAG_CUTOFF = "2024-01-23 23:00:00", "2024-01-30 23:00:00"
 FLAG_REGS = ("lag_1", "lag_24", "rolling_mean_24h")
 FLAG_SPEC = ForecastSpec(n_changepoints=5, yearly=0, weekly=3, daily=4)
+HELD_OUT_HOURS = 168
 
 
 def flagship_panel(spark, sf):
-    """events -> hourly panel -> regular grid (positions from the grid) -> linear interpolation of gaps ->
-    target lags / rolling statistics (excluding the current hour).  The feature table is written once to the
-    shared checkpoint folder (the reference's features file hand-off) and read by training, forecasting and
-    evaluation."""
+    """(panel, end of training, last hour): events -> hourly panel -> regular grid (positions from the grid, inserted
+    hours marked) -> linear interpolation of gaps, training and held-out part each on their own -> target lags /
+    rolling statistics (excluding the current hour).  The feature table is written once to the shared folder (the
+    reference's features file hand-off) and read by training, forecasting and evaluation; the held-out part is the
+    data's last week."""
     panel = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
-    panel = miss.regularize(panel, flag=None, pos_col="_pos")
-    panel = ordd.interpolate_linear(panel, ["y"], pos_col="_pos")
+    hi = data_bounds(panel).first()["max_ds"]
+    if hi is None:
+        raise ValueError("the event panel is empty")
+    end = hi - datetime.timedelta(hours=HELD_OUT_HOURS)
+    panel = miss.regularize(panel, pos_col="_pos").withColumn("_train", F.col("ds") <= F.lit(str(end)).cast("timestamp_ntz"))
+    panel = ordd.interpolate_linear(panel, ["y"], partition_cols=["series_id", "_train"], pos_col="_pos")
     panel = ordd.add_history_features(panel, "y", [1, 24], [24], pos_col="_pos", exclude_current=True)
-    return cut_lineage(panel.drop("_pos"))
+    return cut_lineage(panel.drop("_pos", "_train"), "panel"), str(end), str(hi)
 
 
 @register("train_then_forecast")
 def train_then_forecast(spark, sf):
     """G13 + G14 (flagship): additive model per series (trend, weekly and daily seasonality, lag / rolling
-    regressors) fitted on history, predictions for the held-out last week, MAE / MSE / RMSE per series."""
-    _, metrics = _ttf(flagship_panel(spark, sf), FLAG_SPEC, FLAG_END, FLAG_CUTOFF, FLAG_REGS)
+    regressors) fitted on history, predictions for the held-out last week, MAE / MSE / RMSE per series over its
+    observed hours."""
+    panel, end, hi = flagship_panel(spark, sf)
+    _, metrics = _ttf(panel, FLAG_SPEC, end, hi, FLAG_REGS)
     return metrics
 
 
+@register("train_then_forecast_ols", f"""WITH {HBT},
+lim AS (SELECT max(ds) AS hi, max(ds) - INTERVAL {HELD_OUT_HOURS} HOUR AS cut FROM hbt),
+b AS (SELECT series_id, min({EH}) AS t0, max({EH}) AS t1 FROM hbt WHERE ds <= (SELECT cut FROM lim) GROUP BY series_id),
+x AS (SELECT h.series_id, h.ds, h.y, ({EH} - b.t0) / (b.t1 - b.t0) AS t FROM hbt h JOIN b ON h.series_id = b.series_id),
+f AS (SELECT series_id, regr_intercept(y, t) AS a, regr_slope(y, t) AS s FROM x WHERE ds <= (SELECT cut FROM lim) GROUP BY series_id),
+e AS (SELECT x.series_id, x.y, f.a + f.s * x.t AS yhat FROM x JOIN f ON x.series_id = f.series_id WHERE x.ds > (SELECT cut FROM lim))
+SELECT series_id, {r('avg(abs(y - yhat))', 4)} AS mae, {r('avg((y - yhat) * (y - yhat))', 4)} AS mse,
+       {r('sqrt(avg((y - yhat) * (y - yhat)))', 4)} AS rmse, count(*) AS n FROM e GROUP BY series_id""")
+def train_then_forecast_ols(spark, sf):
+    """G14 value check: the flagship's flow with an unpenalised straight line on the observed hours."""
+    panel = cut_lineage(fx.hourly_by_type(spark, sf).select("series_id", "ds", "y"), "panel")
+    hi = data_bounds(panel).first()["max_ds"]
+    _, metrics = _ttf(panel, OLS_SPEC, str(hi - datetime.timedelta(hours=HELD_OUT_HOURS)), str(hi), ())
+    return rounded(metrics, 4)
+
+
 @register("fit_additive")
 def fit_additive(spark, sf):
     """G3 + G5: additive local model, coefficients in long form."""
-    model, _, _ = train(flagship_panel(spark, sf), FLAG_SPEC, end=FLAG_END, regressors=FLAG_REGS)
+    panel, end, _ = flagship_panel(spark, sf)
+    model, _, _ = train(panel, FLAG_SPEC, end=end, regressors=FLAG_REGS)
     return mdl.coefficients(model)
 
 
+@register("fit_regressor", f"""WITH {HBT},
+l AS (SELECT series_id, ds, y, {EH} AS h, n_events::DOUBLE AS n FROM hbt),
+b AS (SELECT series_id, min(h) AS t0, max(h) AS t1, max(abs(y)) AS ys, avg(n) AS m, stddev_samp(n) AS s FROM l GROUP BY series_id),
+z AS (SELECT l.series_id, l.y / b.ys AS y, (h - t0) / (t1 - t0) AS t, (n - m) / s AS x FROM l JOIN b ON l.series_id = b.series_id),
+q AS (SELECT series_id, avg(y) AS my, avg(t) AS mt, avg(x) AS mx, covar_pop(t, t) AS tt, covar_pop(x, x) AS xx, covar_pop(t, x) AS tx,
+             covar_pop(t, y) AS ty, covar_pop(x, y) AS xy FROM z GROUP BY series_id),
+c AS (SELECT series_id, my, mt, mx, (ty * xx - xy * tx) / (tt * xx - tx * tx) AS bt, (xy * tt - ty * tx) / (tt * xx - tx * tx) AS bx FROM q)
+SELECT series_id, 'trend_m' AS term, {r('my - bt * mt - bx * mx', 4)} AS coef FROM c
+UNION ALL SELECT series_id, 'trend_k', {r('bt', 4)} FROM c UNION ALL SELECT series_id, 'reg_n_events', {r('bx', 4)} FROM c""")
+def fit_regressor(spark, sf):
+    """G3 + G5 value check: straight line and one standardised regressor, against the closed-form normal equations."""
+    df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y", F.col("n_events").cast("double").alias("n_events"))
+    return rounded(mdl.coefficients(mdl.fit(df, OLS_SPEC.with_regressors(["n_events"]))), 4)
+
+
+@register("fit_pooled", f"""WITH {HBT},
+b AS (SELECT min({EH}) AS t0, max({EH}) AS t1, max(abs(y)) AS ys FROM hbt),
+x AS (SELECT h.y, ({EH} - b.t0) / (b.t1 - b.t0) AS t FROM hbt h, b)
+SELECT 'trend_m' AS term, {r('regr_intercept(y, t)', 4)} AS coef FROM x UNION ALL SELECT 'trend_k', {r('regr_slope(y, t)', 4)} FROM x""")
+def fit_pooled(spark, sf):
+    """G2 value check: a pooled model's straight line over all series' rows."""
+    df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    model = mdl.fit(df, replace(OLS_SPEC, scope="global"))
+    out = model.select("y_scale", F.explode(F.arrays_zip("terms", "beta")).alias("e"))
+    return rounded(out.select(F.col("e.terms").alias("term"), (F.col("e.beta") * F.col("y_scale")).alias("coef")), 4)
+
+
 @register("fit_multiplicative")
 def fit_multiplicative(spark, sf):
-    """G1 + G5: multiplicative model (the first family's priors) fitted by Gauss-Newton, one Gram pass per step."""
-    spec = replace(CONFIG_A, yearly=0, n_changepoints=10)
-    model, _, _ = train(flagship_panel(spark, sf), spec, end=FLAG_END, regressors=("lag_24",))
+    """G1 + G5: the first family's configuration as it stands (multiplicative, 25 changepoints over all of the history,
+    yearly, weekly and daily seasons) on the long daily series, by Gauss-Newton, one Gram pass per step."""
+    model, _, _ = train(cut_lineage(fx.daily_orders(spark, sf).select("series_id", "ds", "y", "n_orders"), "daily"), CONFIG_A, regressors=("n_orders",))
     return mdl.coefficients(model)
 
 
@@ -243,10 +302,10 @@ def fit_multiplicative(spark, sf):
 def forecast_recursive(spark, sf):
     """Hour-by-hour recursive forecast of the held-out week; each prediction feeds the next hour's
     lag / rolling features."""
-    panel = flagship_panel(spark, sf)
-    model, spec, _ = train(panel, FLAG_SPEC, end=FLAG_END, regressors=FLAG_REGS)
-    hist = between_ts(panel, None, FLAG_END).select("series_id", "ds", "y")
-    fut = between_ts(panel, FLAG_END, FLAG_CUTOFF, closed="right").select("series_id", "ds")
+    panel, end, hi = flagship_panel(spark, sf)
+    model, spec, _ = train(panel, FLAG_SPEC, end=end, regressors=FLAG_REGS)
+    hist = between_ts(panel, None, end).select("series_id", "ds", "y")
+    fut = between_ts(panel, end, hi, closed="right").select("series_id", "ds")
     return rounded(_forecast_recursive(model, hist, fut, spec))
 
 
@@ -265,9 +324,22 @@ def lasso_cv(spark, sf):
 
 @register("rfe_forest")
 def rfe_forest(spark, sf):
-    """Recursive elimination with MLlib random forests down to 5 features."""
+    """Recursive elimination with MLlib random forests down to 10 features."""
+    frame, feats = _sel_frame(spark, sf)
+    return _rfe(frame, feats, "y", n_select=10)
+
+
+@register("consensus_three")
+def consensus_three(spark, sf):
+    """Features that Lasso, the forest elimination and binned mutual information all choose."""
+    from hourwise.catalog.selection import BINS
+    from hourwise.operators import selection as sel
+
     frame, feats = _sel_frame(spark, sf)
-    return _rfe(frame, feats, "y", n_select=5)
+    frame = cut_lineage(frame, "selection")
+    lasso = _lasso_cv(frame, feats, "y", folds=10).filter("selected")
+    forest = _rfe(frame, feats, "y", n_select=10).filter("rank = 1")
+    return sel.consensus(lasso, forest, sel.top_k(sel.mutual_info(frame, feats, "y", BINS), 10))
 
 
 @register("pca2")
@@ -277,45 +349,64 @@ def pca2(spark, sf):
     return rounded(_pca(df, ["n_click", "n_view", "n_error", "n_purchase"], 2).select("ds", "PCA_1", "PCA_2"))
 
 
+_PC4 = ("n_click", "n_view", "n_error", "n_purchase")
+
+
+@register("pca_norms", f"""WITH {HWIDE}, m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in _PC4)} FROM hw)
+SELECT ds, {r(' + '.join(f'({c} - m_{c}) * ({c} - m_{c})' for c in _PC4), 4)} AS norm2 FROM hw, m""")
+def pca_norms(spark, sf):
+    """L9 value check: all components together keep each centred row's length."""
+    df = fx.hourly_wide(spark, sf).select("ds", *_PC4)
+    out = _pca(df, list(_PC4), 4)
+    return rounded(out.select("ds", sum((F.col(f"PCA_{i}") ** 2 for i in range(2, 5)), F.col("PCA_1") ** 2).alias("norm2")), 4)
+
+
 @register("fit_global")
 def fit_global(spark, sf):
-    """The second family's configuration - additive, pooled over all series (global normalisation),
+    """The second family's configuration as it stands - additive, pooled over all series (global normalisation),
     40 changepoints over the first 95 % with L1 trend regularisation 0.1 and seasonality regularisation 0.1."""
-    from hourwise.plans.spec import CONFIG_B
-
-    spec = replace(CONFIG_B, yearly=0)
-    model, _, _ = train(flagship_panel(spark, sf), spec, end=FLAG_END, regressors=FLAG_REGS)
+    panel, end, _ = flagship_panel(spark, sf)
+    model, _, _ = train(panel, CONFIG_B, end=end, regressors=FLAG_REGS)
     return rounded(mdl.coefficients(model))
 
 
+@register("fit_config_b_local")
+def fit_config_b_local(spark, sf):
+    """G2, local variant: the second family's configuration fitted per series, on the long daily series."""
+    model, _, _ = train(cut_lineage(fx.daily_orders(spark, sf).select("series_id", "ds", "y"), "daily"), CONFIG_B_LOCAL, regressors=())
+    return mdl.coefficients(model)
+
+
 @register("train_auto")
 def train_auto(spark, sf):
-    """G13 (automatic mode): binned-MI selection with interactions over every numeric column of the wide
-    panel (+ target lags / rolling statistics), then an additive fit on the chosen features."""
+    """G13 (automatic mode): calendar, Fourier, lag, rolling and EMA features of the count columns, then binned-MI
+    selection with interactions over every numeric column, then an additive fit on the chosen features."""
     from hourwise.catalog.selection import MI_T
 
-    panel = fx.hourly_wide(spark, sf).drop("Day", "H")
-    panel = ordd.add_history_features(panel, "y", [1, 24], [24], exclude_current=True)
-    panel = cut_lineage(panel)
-    model, spec, _ = train(panel, FLAG_SPEC, end=FLAG_END, threshold=MI_T)
+    panel = cut_lineage(engineer(fx.hourly_wide(spark, sf), list(fx_counts()), degree2=("n_click", "n_view")), "engineered")
+    model, spec, _ = train(panel, FLAG_SPEC, threshold=MI_T)
     return rounded(mdl.coefficients(model))
 
 
+def fx_counts():
+    return [f"n_{t}" for t in fx.EVENT_TYPES]
+
+
 @register("model_roundtrip", f"""WITH {HBT}, {_OLS_SQL}
 SELECT x.series_id, x.ds, {r('f.intercept + f.slope * x.t', 4)} AS yhat FROM x JOIN f ON x.series_id = f.series_id
-WHERE x.ds >= TIMESTAMP '{CUT}'""")
+WHERE x.ds >= {CUT}""")
 def model_roundtrip(spark, sf):
     """The fitted coefficient table saved as Parquet in the shared folder, loaded back and used to predict."""
     df, model = _ols(spark, sf)
     path = scratch_path(spark, "model")
     io.save_model(model, path)
     loaded = io.load_model(spark, path)
-    fut = df.filter(F.col("ds") >= F.lit(CUT).cast("timestamp_ntz"))
+    fut = df.filter(F.col("ds") >= cut_of(df))
     return rounded(mdl.predict(loaded, fut, OLS_SPEC, intervals=False).select("series_id", "ds", "yhat"), 4)
 
 
 @register("forecast_roundtrip", f"""WITH {HBT}, {_NAIVE}
-SELECT series_id, ds, {r('yhat')} AS yhat FROM fc WHERE ds >= TIMESTAMP '{CUT}'""")
+SELECT series_id, ds, {r('yhat')} AS yhat FROM fc WHERE ds >= {CUT}""")
 def forecast_roundtrip(spark, sf):
     """A forecast frame written as header CSV and read back with its schema."""
     _, fc = _naive(spark, sf)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourwise import fixtures as fx
-from hourwise.catalog import DAILY, GAPPY, HBT, HWIDE, TEXT_DATES, r, register, regular_sql, rounded
+from hourwise.catalog import DAILY, GAPPY, HBT, HWIDE, ROUND_HOUR, TEXT_DATES, r, register, regular_sql, rounded
 from hourwise.functions import time as tf
 from hourwise.operators import calendar as cal
 from hourwise.operators import columns as cols
@@ -296,3 +296,49 @@ def csv_roundtrip(spark, sf):
     io.save_table(df, path, "csv")
     schema = "series_id string, ds timestamp_ntz, y double, n_orders bigint, qty double"
     return rounded(io.load_dataset(spark, path, schema=schema))
+
+
+# ------------------------------------------------------------------ column helpers and further branches
+
+
+@register("column_helpers", f"""WITH {HWIDE}
+SELECT ds, {r('y')} AS y, n_click, n_view FROM hw""")
+def column_helpers(spark, sf):
+    """Existing and required columns, duplicated names, numeric columns by prefix, range
+    and non-empty checks."""
+    df = fx.hourly_wide(spark, sf)
+    have = cols.existing_cols(df, ["ds", "y", "n_click", "n_view", "no_such_column"], warn=False)
+    cols.require_cols(df, have)
+    twice = cols.dedupe_columns(df.select(*have, F.lit(-1).alias("n_click"), F.col("n_view")))
+    chosen = cols.feature_name_filter(cols.numeric_cols(twice, exclude=("y",)), prefixes=("n_",))
+    flt.validate_range_from_data(twice, *twice.agg(F.min("ds"), F.max("ds")).first())
+    return rounded(flt.require_non_empty(twice).select("ds", "y", *chosen))
+
+
+@register("dataset_formats", f"""WITH {DAILY}
+SELECT series_id, ds, n_orders, {r('y')} AS y, {r("CASE WHEN n_orders % 2 = 0 THEN avg_discount END")} AS disc FROM daily""")
+def dataset_formats(spark, sf):
+    """S2 + S3: a table with NaN written as Parquet, then as ORC, each read back by its extension; NaN becomes NULL."""
+    df = fx.daily_orders(spark, sf).select("series_id", "ds", "n_orders", "y", F.when(F.col("n_orders") % 2 == 0, F.col("avg_discount")).otherwise(F.lit(float("nan"))).alias("disc"))
+    path = scratch_path(spark, "daily", ".parquet")
+    io.save_table(df, path, "parquet")
+    again = scratch_path(spark, "daily", ".orc")
+    io.save_table(io.load_dataset(spark, path), again, "orc")
+    return rounded(io.load_dataset(spark, again))
+
+
+@register("bfill_ffill_panel", f"""WITH {GAPPY}, {regular_sql('gappy')}
+SELECT series_id, ds, {r("coalesce(first_value(y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")} AS y FROM reg""")
+def bfill_ffill_panel(spark, sf):
+    """M3, the other order: backward fill, then forward fill of the trailing gap."""
+    df = miss.regularize(fx.hourly_gappy(spark, sf).select("series_id", "ds", "y"), flag=None)
+    return rounded(ordd.bfill_ffill(df, ["y"]))
+
+
+@register("regularize_offgrid", f"""WITH {HBT}, raw AS (SELECT event_type AS series_id, ts, value FROM events),
+g AS (SELECT series_id, {ROUND_HOUR.format(c='ts')} AS ds, avg(value) AS y FROM raw GROUP BY ALL), {regular_sql('g')}
+SELECT series_id, ds, {r('y')} AS y, is_filled FROM reg""")
+def regularize_offgrid(spark, sf):
+    """M7 on rows off the hour and repeated hours: rounded and averaged first, none lost."""
+    raw = fx.table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.col("ts").alias("ds"), F.col("value").alias("y"))
+    return rounded(miss.regularize(raw, off_grid="aggregate"))

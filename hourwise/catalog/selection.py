@@ -215,3 +215,23 @@ def scores_roundtrip(spark, sf):
     path = scratch_path(spark, "scores", ".csv")
     io.save_scores(_mi(spark, sf), path)
     return rounded(io.load_scores(spark, path))
+
+
+_WIDE = [(f"{c}__{k}", f'({c}::DOUBLE + {k} * "H") ') for c in ("n_click", "n_view", "n_error", "n_purchase", "n_signup") for k in range(10)]
+
+
+@register("corr_matrix_wide", f"""WITH {HWIDE}, w AS (SELECT {', '.join(f'{e} AS "{n}"' for n, e in _WIDE)} FROM hw),
+c AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(\"{a}\", \"{b}\") AS corr FROM w" for i, (a, _) in enumerate(_WIDE) for j, (b, _) in enumerate(_WIDE) if i < j)})
+SELECT feature_a, feature_b, {r('corr', 5)} AS corr FROM c""")
+def corr_matrix_wide(spark, sf):
+    """L2 over 50 columns, the same single pass as for few."""
+    df = fx.hourly_wide(spark, sf)
+    wide = df.select(*[(F.col(n.split("__")[0]).cast("double") + int(n.split("__")[1]) * F.col("H")).alias(n) for n, _ in _WIDE])
+    return rounded(sel.corr_matrix(wide, [n for n, _ in _WIDE]).drop("pos_a", "pos_b"), 5)
+
+
+@register("scores_ascending", f"""WITH {SEL}, {CORR_TARGET}
+SELECT feature, {r('score')} AS score, row_number() OVER (ORDER BY score, feature) AS rank FROM cs""")
+def scores_ascending(spark, sf):
+    """O2: ranked score table, smallest first."""
+    return rounded(sel.sort_scores(_corr(spark, sf), ascending=True))

@@ -47,7 +47,7 @@ def to_numeric(df: DataFrame, cols: Iterable[str] | None = None, report: bool =
     ).first()
     lost = {c: bad[c] for c in cols if bad[c]}
     for c, n in lost.items():
-        warnings.warn(f"Column {c!r} has {n} non-numeric values after conversion.")
+        warnings.warn(f"{n} values of {c!r} are not numbers and became NULL")
     return casted, lost
 
 

@@ -4,21 +4,13 @@ pandas (adjust=True, ignore_na=False): alpha = 2/(span+1), d = 1-alpha; at an ob
 
     ema(p) = sum_{i<=p observed} d^(p-i) x_i / sum_{i<=p observed} d^(p-i)
 
-(gaps keep their position); a missing row repeats the value of the last observed row, and rows before the
-first observation are missing.
+(gaps keep their position); a missing row repeats the value of the last observed row, and rows before the first
+observation are missing.
 
-Spark plan (exact to ~1e-16 relative, no Python):
-
-* The newest observation has weight 1, so observations more than ``L = ceil(19 / -log10 d)`` rows back weigh
-  < 1e-19 relative.  Each chunk of ``B`` positions is joined by an ``L``-row halo (``ordered.with_halo``).
-* Inside the window over (series, chunk) both sums are running sums of ``x * d^-(pos-base)`` and ``d^-(pos-base)``
-  (``base`` = first position the chunk can hold); their ratio is the EMA, the common factor cancels.
-  ``B + L`` is capped so ``d^-(B+L)`` stays below 1e280 (no overflow).
-* Missing rows repeat the last observed EMA: after all span passes one forward fill (``ordered.fill_multi``)
-  handles every (column, span) - per-chunk last values carried over the small chunk table, one join back.
-
-Each span needs its own (B, L), so spans run as successive window passes (a linear chain without joins);
-all columns of one span share a pass.
+Plan: a series is cut into chunks of ``B`` positions. One aggregate gives each chunk's two sums as seen from its last
+position; a carry over the small chunk table (one row per chunk, numpy per series) gives the average and its weight
+before each chunk; one window over (series, chunk) continues from there. Every observation counts, whatever its age;
+no row is copied, and all columns and spans share the passes. ``B`` keeps ``d^-B`` below 1e200 for the smallest span.
 """
 
 from __future__ import annotations
@@ -26,71 +18,118 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions.names import ema_name
-from hourwise.operators.ordered import CHUNK, DEFAULT_CHUNK, OWN, _cols, ensure_pos, fill_multi, windowed, with_halo
+from hourwise.operators.ordered import CHUNK, DEFAULT_CHUNK, _cols, ensure_pos
+
 
+def decay(span: float) -> float:
+    return 1.0 - 2.0 / (float(span) + 1.0)
 
-def ema_plan(span: float, chunk: int = DEFAULT_CHUNK) -> tuple[float, int, int]:
-    """(d, look-back L, chunk B) for one span."""
-    alpha = 2.0 / (float(span) + 1.0)
-    d = 1.0 - alpha
-    if d <= 0.0:
-        return 0.0, 0, int(chunk)
-    x = -math.log10(d)
-    look = int(math.ceil(19.0 / x))
-    cap = int(math.floor(280.0 / x)) - look
-    b = max(1, min(max(int(chunk), look), cap))
-    return d, look, b
+
+def chunk_rows(spans: Sequence[float], chunk: int = DEFAULT_CHUNK) -> int:
+    """Positions of a chunk: at most ``chunk``, and ``d^-B`` stays below 1e200."""
+    d = [decay(s) for s in spans if decay(s) > 0.0]
+    return max(1, min([int(chunk), *(int(200.0 / -math.log10(x)) for x in d)]))
 
 
 def add_ema(df: DataFrame, cols, spans: Sequence[int], partition_cols=("series_id",), order_col: str = "ds",
             chunk: int = DEFAULT_CHUNK, pos_col: str | None = None, prefix_names: bool | None = None,
             exclude_current: bool = False) -> DataFrame:
-    """``ema_{span}h`` (one column) or ``{col}_ema_{span}h`` (several).
+    """``ema_{span}h`` (one column) or ``{col}_ema_{span}h`` (several). NaN counts as missing.
 
     ``exclude_current`` gives the EMA as of the previous row (no target leakage, D11).
     """
-    cols = _cols(cols)
-    pc = _cols(partition_cols)
+    cols, pc, spans = _cols(cols), _cols(partition_cols), list(spans)
+    if not cols or not spans:
+        return df
     single = (len(cols) == 1) if prefix_names is None else not prefix_names
     base_cols = df.columns
     df, pos, created = ensure_pos(df, pc, order_col, pos_col)
-    # 1) one window pass per span: EMA at observed rows (a linear chain, no joins)
-    specs = []
-    for span in spans:
-        names = [ema_name(None if single else c, span) for c in cols]
-        obs = [f"_obs_{n}" for n in names]
-        df = _ema_pass(df, cols, obs, span, pc, pos, chunk)
-        specs += [(o, "forward", n, False) for o, n in zip(obs, names)]
-    # 2) missing rows repeat the last observed EMA: one forward fill for every (column, span), one carry join
-    df = fill_multi(df, specs, pc, order_col, "chunked", chunk, pos).drop(*[o for o, _, _, _ in specs])
-    if exclude_current:
-        names = [ema_name(None if single else c, s) for c in cols for s in spans]
-        tmp = {n: f"_cur_{i}" for i, n in enumerate(names)}
-        df = df.withColumnsRenamed(tmp)
-        df = windowed(df, lambda w: [F.lag(F.col(t), 1).over(w).alias(n) for n, t in tmp.items()],
-                      pc, order_col, 1, pos_col=pos).drop(*tmp.values())
-    new = [c for c in df.columns if c not in base_cols and not (created and c == pos)]
-    return df.select(*[F.col(f"`{c}`") for c in base_cols + new])
-
-
-def _ema_pass(df: DataFrame, cols: list[str], out_names: list[str], span: float, pc: list[str], pos: str,
-              chunk: int) -> DataFrame:
-    """EMA at observed rows (NULL elsewhere) for one span: halo window over (series, chunk)."""
-    d, look, b = ema_plan(span, chunk)
-    halo = with_halo(df, pos, look, b)
-    w = Window.partitionBy(*pc, CHUNK).orderBy(pos)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    if d > 0.0:
-        base = F.col(CHUNK) * F.lit(b) - F.lit(look)
-        wgt = F.pow(F.lit(1.0 / d), (F.col(pos) - base).cast("double"))
-        obs = [F.when(F.col(c).isNotNull(),
-                      F.sum(F.when(F.col(c).isNotNull(), F.col(c) * wgt)).over(run)
-                      / F.sum(F.when(F.col(c).isNotNull(), wgt)).over(run)) for c in cols]
-    else:  # span 1: the EMA is the observation itself
-        obs = [F.when(F.col(c).isNotNull(), F.col(c).cast("double")) for c in cols]
-    out = halo.select("*", *[o.alias(n) for o, n in zip(obs, out_names)]).filter(F.col(CHUNK) == F.col(OWN))
-    return out.drop(CHUNK, OWN)
+    b = chunk_rows(spans, chunk)
+    pairs = [(c, s) for c in cols for s in spans]
+    at = df.withColumn(CHUNK, F.floor(F.col(pos) / F.lit(b)).cast("bigint"))
+    inside = (F.col(pos) - F.col(CHUNK) * F.lit(b)).cast("double")
+    x = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in cols}
+    # a chunk's sums as seen from its last position
+    age = F.lit(float(b - 1)) - inside
+    ends = []
+    for i, (c, s) in enumerate(pairs):
+        w = F.when(x[c].isNotNull(), F.pow(F.lit(decay(s)), age) if decay(s) > 0 else (age == 0).cast("double"))
+        ends += [F.coalesce(F.sum(x[c] * w), F.lit(0.0)).alias(f"_s{i}"), F.coalesce(F.sum(w), F.lit(0.0)).alias(f"_w{i}")]
+    newest = [F.max_by(x[c], F.when(x[c].isNotNull(), F.col(pos))).alias(f"_x{j}") for j, c in enumerate(cols)]
+    ends = at.groupBy(*pc, CHUNK).agg(*ends, *newest)
+    carry = _carry(ends, pc, [s for _, s in pairs], [cols.index(c) for c, _ in pairs], b)
+    joined = at.join(carry, [*pc, CHUNK], "left")
+    run = Window.partitionBy(*pc, CHUNK).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1 if exclude_current else 0)
+    out = []
+    for i, (c, s) in enumerate(pairs):
+        d, name = decay(s), ema_name(None if single else c, s)
+        before, weight = F.col(f"_m{i}"), F.col(f"_w{i}")
+        if d > 0:
+            # weights as seen from the chunk's first position, growing; the ratio is the same
+            w = F.when(x[c].isNotNull(), F.pow(F.lit(1.0 / d), inside))
+            top, all_ = F.sum(x[c] * w).over(run), F.sum(w).over(run)
+            value = F.when(all_.isNull(), before).when(before.isNull(), top / all_).otherwise(
+                (top + before * weight * F.lit(d)) / (all_ + weight * F.lit(d)))
+        else:  # span 1: the last observation itself
+            value = F.coalesce(F.last(x[c], ignorenulls=True).over(run), before)
+        out.append(value.alias(name))
+    new = {ema_name(None if single else c, s) for c, s in pairs}
+    keep = [F.col(f"`{c}`") for c in base_cols if c not in new]
+    return joined.select(*keep, *out)
+
+
+def _carry(ends: DataFrame, pc: list[str], spans: list[float], col_of: list[int], b: int) -> DataFrame:
+    """For each chunk the average (``_m``, NULL before the first observation) and weight (``_w``) after the last
+    position before it."""
+    d = np.array([decay(s) for s in spans])
+    n = len(spans)
+    names = [f"_m{i}" for i in range(n)] + [f"_w{i}" for i in range(n)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK)
+        top, all_ = pdf[[f"_s{i}" for i in range(n)]].to_numpy(float), pdf[[f"_w{i}" for i in range(n)]].to_numpy(float)
+        newest = pdf[[f"_x{j}" for j in col_of]].to_numpy(float)
+        at = pdf[CHUNK].to_numpy()
+        mean, weight = np.full(n, np.nan), np.zeros(n)
+        out = np.empty((len(pdf), 2 * n))
+        for k in range(len(pdf)):
+            if k:  # chunks without a row lie between
+                weight = weight * np.power(d, float(b) * (at[k] - at[k - 1] - 1))
+            out[k] = np.concatenate([mean, weight])
+            old = weight * np.power(d, float(b))
+            both = old + all_[k]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                new = np.where(old > 0, (np.nan_to_num(mean) * old + top[k]) / both, top[k] / both)
+            seen = ~np.isnan(newest[k])
+            # an observation so old that its weight is 0 in doubles still is the last one
+            mean = np.where(seen, np.where(both > 0, new, newest[k]), mean)
+            weight = both
+        res = pdf[[*pc, CHUNK]].reset_index(drop=True)
+        values = pd.DataFrame(out, columns=names)
+        return pd.concat([res, values.astype(object).where(values.notna(), None) if values.isna().any().any() else values], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in ends.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*pc, CHUNK]) + ", " + ", ".join(f"{c} double" for c in names)
+    return ends.groupBy(*pc).applyInPandas(run, schema)
+
+
+def ema_state(df: DataFrame, col: str, spans: Sequence[int], partition_cols=("series_id",), order_col: str = "ds",
+              pos_col: str | None = None) -> DataFrame:
+    """(partition_cols, ``_es{span}``, ``_ew{span}``): both sums of each span as seen from a series' last row; one
+    aggregate with map-side sums, every row counts."""
+    pc = _cols(partition_cols)
+    df, pos, _ = ensure_pos(df, pc, order_col, pos_col)
+    ends = df.groupBy(*pc).agg(F.max(pos).alias("_end"))
+    x = F.when(~F.isnan(F.col(col).cast("double")), F.col(col).cast("double"))
+    aggs = []
+    for s in spans:
+        age = (F.col("_end") - F.col(pos)).cast("double")
+        w = F.when(x.isNotNull(), F.pow(F.lit(decay(s)), age))
+        aggs += [F.coalesce(F.sum(x * w), F.lit(0.0)).alias(f"_es{s}"), F.coalesce(F.sum(w), F.lit(0.0)).alias(f"_ew{s}")]
+    return df.join(ends, pc).groupBy(*pc).agg(*aggs)

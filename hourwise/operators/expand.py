@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourwise.operators.joins import with_constants
 from hourwise.functions.names import is_derived
 from hourwise.operators.ordered import _cols, seq_index
 
@@ -84,13 +85,33 @@ def dft(df: DataFrame, col: str = "y", ks: Sequence[int] = (1, 2, 3), partition_
     (size fixed by the argument) and reduced by (series, k) with map-side partial sums.
     """
     pc = _cols(partition_cols)
-    indexed = seq_index(df, pc, order_col, out="_t", mode=mode).withColumn("_one", F.lit(1))
-    n = indexed.groupBy(*pc, "_one").agg(F.count(F.lit(1)).alias("_n"))
+    indexed = seq_index(df, pc, order_col, out="_t", mode=mode)
+    size = F.count(F.lit(1)).alias("_n")
     x = F.coalesce(F.col(col).cast("double"), F.lit(0.0))
-    rows = indexed.select(*pc, "_one", "_t", x.alias("_x")).join(n if pc else F.broadcast(n), [*pc, "_one"], "inner")
+    rows = indexed.select(*pc, "_t", x.alias("_x"))
+    rows = rows.join(df.groupBy(*pc).agg(size), pc, "inner") if pc else with_constants(rows, df.agg(size))
     # one output row per requested frequency: a fixed-size explode, not a join
     freq = rows.select(*pc, "_t", "_x", "_n", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
-    ang = F.lit(TWO_PI) * F.col("k") * F.col("_t") / F.col("_n")
+    # whole turns are taken off in integers first, so that long series keep their digits
+    ang = F.lit(TWO_PI) * F.pmod(F.col("k") * F.col("_t"), F.col("_n")) / F.col("_n")
     prod = freq.select(*pc, "k", (F.col("_x") * F.cos(ang)).alias("_c"), (F.col("_x") * F.sin(ang)).alias("_s"))
     agg = prod.groupBy(*pc, "k").agg(F.sum("_c").alias("re"), (-F.sum("_s")).alias("im"))
     return agg.select(*pc, "k", "re", "im", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("magnitude"))
+
+
+def spectrum(df: DataFrame, col: str, partition_cols: Sequence[str], order_col: str = "ds", prefix: str = "fft") -> DataFrame:
+    """X8, row-attached: each row gets the Fourier coefficient (missing -> 0) whose number is the row's position in its
+    series: ``{prefix}_re``, ``{prefix}_im``, ``{prefix}_abs``. For many short series: a series is one group of one
+    task (``dft`` gives chosen frequencies of long ones)."""
+    import numpy as np
+
+    pc = list(partition_cols)
+    names = [f"{prefix}_{x}" for x in ("re", "im", "abs")]
+
+    def run(pdf):
+        pdf = pdf.sort_values(order_col)
+        z = np.fft.fft(pdf[col].astype(float).fillna(0.0).to_numpy())
+        return pdf.assign(**dict(zip(names, (z.real, z.imag, np.abs(z)))))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + ", ".join(f"{n} double" for n in names)
+    return df.groupBy(*pc).applyInPandas(run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourwise.operators.joins import with_constants
 from hourwise.functions import time as tf
 
 
@@ -40,7 +41,7 @@ def validate_range(start, end, min_ts=None, max_ts=None) -> None:
     if s > e:
         raise ValueError(f"start {s} is after end {e}")
     if (min_ts is not None and s < p(min_ts)) or (max_ts is not None and e > p(max_ts)):
-        raise ValueError(f"Date range [{s}, {e}] is out of bounds.")
+        raise ValueError(f"the range {s} to {e} reaches outside the data")
 
 
 def data_bounds(df: DataFrame, col: str = "ds", group_cols: Iterable[str] = ()) -> DataFrame:
@@ -101,11 +102,10 @@ def remove_outliers(df: DataFrame, col: str = "y", z: float = 3.0, partition_col
     Rows whose value is NULL are kept (they have no z-score), like the reference's index-based drop.
     """
     pc = list(partition_cols)
-    keyed = df.withColumn("_one", F.lit(1))
-    stats = keyed.groupBy(*pc, "_one").agg(F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))
-    # global statistics are one row: broadcast (proven size); per-series tables are left to AQE's runtime
-    # size check (broadcast when small, else a shuffle join with skew splitting)
-    joined = keyed.join(stats if pc else F.broadcast(stats), [*pc, "_one"], "left").drop("_one")
+    aggs = [F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd")]
+    # per-series tables are left to AQE's runtime size check (broadcast when small, else a shuffle join with skew
+    # splitting); global statistics are a scalar subquery
+    joined = df.join(df.groupBy(*pc).agg(*aggs), pc, "left") if pc else with_constants(df, df.agg(*aggs))
     zc = F.abs((F.col(col) - F.col("_mu")) / F.col("_sd"))
     keep = F.col(col).isNull() | F.col("_sd").isNull() | (F.col("_sd") == 0) | (zc <= F.lit(z))
     return joined.filter(keep).drop("_mu", "_sd")

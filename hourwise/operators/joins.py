@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row frame, as a scalar subquery (no join; NULLs if that frame is empty)."""
+    return df.withColumn("_const", one_row.select(F.struct("*")).scalar()).select("*", "_const.*").drop("_const")
+
+
 def _keys(on) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
@@ -24,13 +29,14 @@ def attach_features(df: DataFrame, feats: DataFrame, on=("series_id", "ds"), che
     """Left equi-join of only the *new* feature columns.
 
     Shuffle join on the key (AQE turns it into a broadcast when the measured feature side is small).
-    ``dedupe`` keeps one row per key (the one with the smallest values) instead of raising.
+    ``dedupe`` keeps one existing row per key (the smallest, columns compared in their order) instead of raising.
     """
     keys = _keys(on)
     new = [c for c in feats.columns if c not in df.columns and c not in keys]
     side = feats.select(*keys, *[F.col(f"`{c}`") for c in new])
     if dedupe:
-        side = side.groupBy(*keys).agg(*[F.min(F.col(f"`{c}`")).alias(c) for c in new])
+        row = F.struct(*[F.col(f"`{c}`") for c in new]) if new else F.struct(F.lit(1))
+        side = side.groupBy(*keys).agg(F.min(row).alias("_row")).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in new])
     elif check_unique:
         assert_unique(side, keys)
     return df.join(side, keys, "left")
@@ -65,15 +71,16 @@ def scale_columns(df: DataFrame, cols: Sequence[str], partition_cols: Sequence[s
     The statistics table has one row per series; it is joined back on the series key.
     """
     pc = list(partition_cols)
-    keyed = df.withColumn("_one", F.lit(1))
     aggs = []
     for i, c in enumerate(cols):
         if method == "standard":
             aggs += [F.avg(c).alias(f"_a{i}"), F.stddev_samp(c).alias(f"_b{i}")]
         else:
             aggs += [F.min(c).alias(f"_a{i}"), (F.max(c) - F.min(c)).alias(f"_b{i}")]
-    stats = keyed.groupBy(*pc, "_one").agg(*aggs)
-    j = keyed.join(stats if pc else F.broadcast(stats), [*pc, "_one"], "inner")  # global stats: one row
+    if pc:
+        j = df.join(df.groupBy(*pc).agg(*aggs), pc, "inner")
+    else:  # one row of constants: a scalar subquery, no join
+        j = with_constants(df, df.agg(*aggs))
     out = []
     for c in df.columns:
         if c in cols:

@@ -32,7 +32,7 @@ def null_counts_by_month(df: DataFrame, cols: Sequence[str], ts: str = "ds", gro
 def missing_dates(df: DataFrame, col: str, ts: str = "ds") -> DataFrame:
     """Distinct timestamps where ``col`` is missing (empty frame when the column has no gap)."""
     if col not in df.columns:
-        raise KeyError(f"Column {col} does not exist in the dataframe.")
+        raise KeyError(f"no column named {col!r}")
     return df.filter(F.col(col).isNull()).select(ts).distinct()
 
 
@@ -59,14 +59,27 @@ def hour_range(spark, start, end, step_hours: int = 1) -> DataFrame:
 
 
 def regularize(df: DataFrame, partition_cols: Sequence[str] = ("series_id",), ts: str = "ds", step_hours: int = 1,
-               flag: str | None = "is_filled", pos_col: str | None = None) -> DataFrame:
+               flag: str | None = "is_filled", pos_col: str | None = None, off_grid: str = "raise") -> DataFrame:
     """M7: one row per series and hour between the series' first and last hour; inserted rows carry NULLs
-    (and ``flag = 1``).  Timestamps must already be on the hour (``round_hour``).
+    (and ``flag = 1``).  Timestamps must be on the hour (``round_hour``) and unique within a series:
+    with ``off_grid="raise"`` the job fails, with their number, if rows are off the hour, without a time or repeated;
+    ``off_grid="aggregate"`` rounds to the hour, drops rows without a time and keeps of each (series, hour) the
+    averages of numeric columns and the smallest value of others.
 
     ``pos_col`` also emits the 0-based row position, free on a regular grid ((hour - first hour) / step);
     ordered operators given ``pos_col`` then skip their own position pass."""
     pc = _cols(partition_cols)
-    bounds = df.groupBy(*pc).agg(tf.epoch_hours(F.min(ts)).alias("lo_h"), tf.epoch_hours(F.max(ts)).alias("hi_h"))
+    if off_grid == "aggregate":
+        numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+        rest = [c for c in df.columns if c not in (*pc, ts)]
+        df = df.withColumn(ts, tf.round_hour(ts)).filter(F.col(ts).isNotNull()).groupBy(*pc, ts).agg(
+            *[(F.avg(F.col(f"`{c}`")) if c in numeric else F.min(F.col(f"`{c}`"))).alias(c) for c in rest]).select(*df.columns)
+    hours = df.groupBy(*pc, ts).agg(F.count(F.lit(1)).alias("_n"))
+    off = F.when(F.col(ts).isNull() | (tf.round_hour(ts) != F.col(ts)), F.col("_n")).otherwise(F.col("_n") - 1)
+    ends = hours.groupBy(*pc).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum(off).alias("_off"))
+    message = F.concat(F.col("_off").cast("string"), F.lit(" rows are off the hour, without a time or repeated; round and aggregate them first (off_grid='aggregate')"))
+    bounds = ends.select(*pc, F.when(F.col("_off") > 0, F.raise_error(message).cast("bigint")).otherwise(tf.epoch_hours("_lo")).alias("lo_h"),
+                         tf.epoch_hours("_hi").alias("hi_h"))
     grid = hour_grid(bounds, pc, step_hours=step_hours, out=ts, pos_col=pos_col)
     data = df.withColumn("_present", F.lit(1)) if flag else df
     joined = grid.join(data, [*pc, ts], "left")

@@ -16,22 +16,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourwise.operators.joins import with_constants
 from hourwise.operators.ordered import seq_index
 from hourwise.plans.model import gram
 
 
 def contiguous_folds(df: DataFrame, k: int, order_col: str = "ds") -> DataFrame:
     """Fold id 0..k-1 by row position (``KFold`` without shuffling)."""
-    idx = seq_index(df, (), order_col, out="_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    j = idx.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")  # one row
+    # equal times are put in order by the rows' values; identical rows are interchangeable
+    idx = seq_index(df, (), order_col, out="_pos", tiebreak=[c for c in df.columns if c != order_col], bucket_width=None)
+    j = with_constants(idx, df.agg(F.count(F.lit(1)).alias("_n")))
     # sklearn KFold: the first n % k folds hold one extra row
     base = F.floor(F.col("_n") / F.lit(k))
     extra = F.col("_n") % F.lit(k)
     big = (base + 1) * extra
     fold = F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (base + 1))).otherwise(
         extra + F.floor((F.col("_pos") - big) / base))
-    return j.withColumn("_fold", fold.cast("int")).drop("_one", "_n", "_pos")
+    return j.withColumn("_fold", fold.cast("int")).drop("_n", "_pos")
 
 
 def _cd_path(C: np.ndarray, c: np.ndarray, n: float, alphas: np.ndarray, tol: float = 1e-4, max_iter: int = 1000):
@@ -104,17 +105,19 @@ def lasso_cv(df: DataFrame, cols: Sequence[str], target: str = "y", folds: int =
     return g.groupBy("_grp").applyInPandas(fn, schema)
 
 
-def rfe_forest(df: DataFrame, cols: Sequence[str], target: str = "y", n_select: int = 10, num_trees: int = 30,
-               max_depth: int = 5, seed: int = 42) -> DataFrame:
+def rfe_forest(df: DataFrame, cols: Sequence[str], target: str = "y", n_select: int = 10, num_trees: int = 100,
+               max_depth: int = 12, seed: int = 42) -> DataFrame:
     """Recursive feature elimination with MLlib random forests, one feature per round; returns
     ``(feature, rank)`` (rank 1 = kept, larger = eliminated earlier)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
+    from hourwise.session import cut_lineage
+
     remaining = list(cols)
     ranks: dict[str, int] = {}
-    base = df.select(target, *remaining).na.drop().persist()
-    try:
+    base = cut_lineage(df.select(target, *remaining).na.drop(), "rfe")
+    if remaining:
         rank = len(remaining) - n_select + 1
         while len(remaining) > n_select:
             va = VectorAssembler(inputCols=remaining, outputCol="_features")
@@ -128,8 +131,6 @@ def rfe_forest(df: DataFrame, cols: Sequence[str], target: str = "y", n_select:
             remaining.remove(worst)
         for c in remaining:
             ranks[c] = 1
-    finally:
-        base.unpersist()
     return df.sparkSession.createDataFrame([(c, ranks[c]) for c in cols], "feature string, rank int")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hourwise.operators.joins import with_constants
 from hourwise.functions import time as tf
 from hourwise.functions.names import lag_name, rolling_mean_name, rolling_std_name
 
@@ -70,13 +71,12 @@ def seq_index(
     if mode == "plain":
         w = Window.partitionBy(*pc).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    keyed = df.withColumn("_k", order_key(df, order_col)).withColumn("_one", F.lit(1))
+    keyed = df.withColumn("_k", order_key(df, order_col))
     if bucket_width is None:
-        dens = keyed.groupBy(*pc, "_one").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_k").alias("_k0"),
-                                              F.max("_k").alias("_k1"))
+        dens = keyed.groupBy(*pc).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_k").alias("_k0"), F.max("_k").alias("_k1"))
         width = F.greatest((F.col("_k1") - F.col("_k0")) * F.lit(float(bucket_rows)) / F.col("_cnt"), F.lit(1e-9))
-        dens = dens.select(*pc, "_one", "_k0", width.alias("_w"))
-        keyed = keyed.join(dens if pc else F.broadcast(dens), [*pc, "_one"], "inner")
+        dens = dens.select(*pc, "_k0", width.alias("_w"))
+        keyed = keyed.join(dens, pc, "inner") if pc else with_constants(keyed, dens)
         bucket = F.floor((F.col("_k") - F.col("_k0")) / F.col("_w"))
     else:
         bucket = F.floor(F.col("_k") / F.lit(float(bucket_width)))
@@ -87,7 +87,7 @@ def seq_index(
     joined = keyed.join(offsets, [*pc, "_bkt"], "inner")
     w = Window.partitionBy(*pc, "_bkt").orderBy(*order)
     res = joined.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-    return res.drop("_bkt", "_off", "_k", "_one", "_k0", "_w")
+    return res.drop("_bkt", "_off", "_k", "_k0", "_w")
 
 
 def ensure_pos(df: DataFrame, pc: list[str], order_col: str, pos_col: str | None = None) -> tuple[DataFrame, str, bool]:
@@ -206,17 +206,6 @@ def add_history_features(df: DataFrame, cols, lags: Sequence[int] = (), windows:
 # ---------------------------------------------------------------- fills with unbounded look-back
 
 
-def _chunk_carry(summary: DataFrame, pc: list[str], cols: list[str], forward: bool) -> DataFrame:
-    """Carry per-chunk last (forward) / first (backward) values across the chunk table."""
-    if forward:
-        w = Window.partitionBy(*pc).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        agg = [F.last(F.col(c), ignorenulls=True).over(w).alias(f"_carry_{i}") for i, c in enumerate(cols)]
-    else:
-        w = Window.partitionBy(*pc).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
-        agg = [F.first(F.col(c), ignorenulls=True).over(w).alias(f"_carry_{i}") for i, c in enumerate(cols)]
-    return summary.select(*pc, CHUNK, *agg)
-
-
 def fill_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, bool]], partition_cols=("series_id",),
                order_col="ds", mode="chunked", chunk=DEFAULT_CHUNK, pos_col=None) -> DataFrame:
     """Several fills in one pass.  ``specs`` = (source column, "forward" | "backward", output name, exclusive).
@@ -421,7 +410,7 @@ def features_between(df: DataFrame, lo, hi, build: Callable[[DataFrame], DataFra
     Rows of ``[lo - lookback_hours, hi]`` go into ``build`` (lags / rolling / EMA ...), so the range filter is a
     plain comparison that reaches the scan; afterwards only ``[lo, hi]`` is kept.  Exact when the frame is on a
     regular hourly grid (``regularize`` first) and ``lookback_hours`` covers the largest look-back of ``build``
-    (for an EMA: ``ema.ema_plan(span)[1]`` rows, beyond which weights are < 1e-19).
+    (an EMA never forgets: its caller chooses how small a weight may be left out).
     """
     from hourwise.functions import time as tf
 

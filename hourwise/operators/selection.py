@@ -6,14 +6,17 @@ produce them are single aggregates over the wide frame (map-side partial aggrega
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions.names import is_derived
 from hourwise.operators.expand import interactions
+from hourwise.operators.joins import with_constants
+from hourwise.operators.reduce import FANIN, sum_arrays
 
 
 def _q(c: str):
@@ -27,74 +30,46 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str = "y") -> D
     return wide.unpivot([], cols, "feature", "score")
 
 
-GRAM_CORR_MIN_COLS = 40
-
-
-def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """L2: upper-triangle Pearson matrix in long form ``(feature_a, feature_b, pos_a, pos_b, corr)``,
-    pairwise-complete rows (pandas ``corr``).
+    pairwise-complete rows (pandas ``corr``; NaN counts as missing, NULL where a column is constant).
 
-    ``method="aggregate"``: one aggregate of p(p-1)/2 ``corr`` buffers.  ``method="gram"`` (default above
-    ``GRAM_CORR_MIN_COLS`` columns): one pass of per-partition masked cross-product matrices on mean-centred
-    values, tree-summed like the model Gram - O(p^2) numbers per task however many pairs.
+    One pass: each task adds up masked cross products of the mean-centred columns, O(p^2) numbers however many rows;
+    the tasks' sums are merged in two steps and turned into correlations where the last one lies.
     """
     cols = list(cols)
-    if method == "gram" or (method == "auto" and len(cols) > GRAM_CORR_MIN_COLS):
-        return _corr_gram(df, cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.agg(*[F.corr(_q(cols[i]).cast("double"), _q(cols[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs])
-    entries = [F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                        F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), F.col(f"c{i}_{j}").alias("corr"))
-               for i, j in pairs]
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
-
-def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    from hourwise.plans.model import _sum_arrays, fan_in
-
     p = len(cols)
-    means = df.agg(*[F.avg(_q(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(cols)]).withColumn("_one", F.lit(1))
-    centred = df.withColumn("_one", F.lit(1)).join(F.broadcast(means), "_one").select(  # one row of means
-        *[(_q(c).cast("double") - F.col(f"_m{i}")).alias(f"_x{i}") for i, c in enumerate(cols)])
+    value = lambda c: F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double"))
+    means = df.agg(*[F.avg(value(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
     names = [f"_x{i}" for i in range(p)]
+    centred = with_constants(df.select(*[value(c).alias(f"_v{i}") for i, c in enumerate(cols)]), means).select(
+        *[(F.col(f"_v{i}") - F.col(f"_m{i}")).alias(n) for i, n in enumerate(names)])
 
     def partial(batches):
-        acc = None
+        acc = np.zeros((4, p, p))
         for pdf in batches:
-            if pdf.empty:
-                continue
             x = pdf[names].to_numpy(dtype=float)
             m = (~np.isnan(x)).astype(float)
             x0 = np.nan_to_num(x)
-            part = np.stack([m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0])
-            acc = part if acc is None else acc + part
-        if acc is not None:
-            yield pd.DataFrame({"s": [acc.ravel()]})
-
-    parts = centred.mapInPandas(partial, "s array<double>").withColumn("_part", F.spark_partition_id())
-    n_parts, covered = max(1, centred.rdd.getNumPartitions()), 1
-    k = fan_in(4 * p * p)
-    while True:  # bounded fan-in tree (k partials, ~64 MB of arrays per task), as for the model Gram
-        covered *= k
-        parts = parts.groupBy(F.floor(F.col("_part") / F.lit(k)).alias("_part")).agg(_sum_arrays("s", 4 * p * p).alias("s"))
-        if covered >= n_parts:
-            break
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sx, sq, cxy = np.asarray(pdf["s"].iloc[0], dtype=float).reshape(4, p, p)
-        out = []
-        for i in range(p):
-            for j in range(i + 1, p):
-                den = (n[i, j] * sq[i, j] - sx[i, j] ** 2) * (n[i, j] * sq[j, i] - sx[j, i] ** 2)
-                r = (n[i, j] * cxy[i, j] - sx[i, j] * sx[j, i]) / np.sqrt(den) if den > 0 else None
-                out.append((cols[i], cols[j], i, j, r))
-        return pd.DataFrame(out, columns=["feature_a", "feature_b", "pos_a", "pos_b", "corr"])
-
-    schema = "feature_a string, feature_b string, pos_a int, pos_b int, corr double"
-    return parts.drop("_part").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(finish, schema)
+            acc += np.stack([m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0])
+        yield pd.DataFrame({"s": [acc.ravel()]})
+
+    def finish(batches):
+        for pdf in batches:
+            if pdf.empty or pdf["s"].iloc[0] is None or len(pdf["s"].iloc[0]) == 0:
+                continue
+            n, sx, sq, cxy = np.asarray(pdf["s"].iloc[0], dtype=float).reshape(4, p, p)
+            out = []
+            for i in range(p):
+                for j in range(i + 1, p):
+                    vx, vy = n[i, j] * sq[i, j] - sx[i, j] ** 2, n[i, j] * sq[j, i] - sx[j, i] ** 2
+                    flat = min(vx, vy) <= 1e-12 * max(n[i, j] * max(sq[i, j], sq[j, i]), 1e-300)
+                    out.append((cols[i], cols[j], i, j, None if flat else (n[i, j] * cxy[i, j] - sx[i, j] * sx[j, i]) / np.sqrt(vx * vy)))
+            yield pd.DataFrame(out, columns=["feature_a", "feature_b", "pos_a", "pos_b", "corr"])
+
+    parts = centred.mapInPandas(partial, "s array<double>").withColumn("_part", F.spark_partition_id() % FANIN)
+    merged = parts.groupBy("_part").agg(sum_arrays("s", 4 * p * p).alias("s")).agg(sum_arrays("s", 4 * p * p).alias("s"))
+    return merged.mapInPandas(finish, "feature_a string, feature_b string, pos_a int, pos_b int, corr double")
 
 
 def prune_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.9, corr: DataFrame | None = None) -> DataFrame:
@@ -130,30 +105,35 @@ def mutual_info(df: DataFrame, cols: Sequence[str], target: str = "y", bins: int
     ``sum p(x,y) ln(p(x,y) / (p(x) p(y)))`` minus the Miller-Madow bias ``(K_xy - K_x - K_y + 1) / (2n)``,
     clipped at 0.  Rows with a missing value in the feature or target are skipped per feature.
 
-    Plan: one min/max aggregate (one row, broadcast) joined on a constant key; features unpivoted to
-    ``(feature, bx, by)`` and counted with map-side partial aggregation - the shuffle carries at most
-    ``features * bins^2`` rows per task; one more small shuffle groups each feature's <= bins^2 cells, and the
-    marginals and the sum are higher-order functions over that bounded array.
+    Plan: one min/max aggregate as a scalar subquery; every task counts its cells (feature, bx, by) in one NumPy array
+    of features x bins^2, so the shuffle carries at most that many rows per task; one more small shuffle groups each
+    feature's <= bins^2 cells, and the marginals and the sum are higher-order functions over that bounded array.
     """
     cols = list(cols)
-    b = int(bins)
+    b, p = int(bins), len(cols)
     allc = cols + [target]
-    stats = df.agg(*[F.min(_q(c).cast("double")).alias(f"_mn{i}") for i, c in enumerate(allc)],
-                   *[F.max(_q(c).cast("double")).alias(f"_mx{i}") for i, c in enumerate(allc)]).withColumn("_one", F.lit(1))
-    keyed = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")  # one row of min / max
+    value = lambda c: F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double"))
+    stats = df.agg(*[F.min(value(c)).alias(f"_mn{i}") for i, c in enumerate(allc)], *[F.max(value(c)).alias(f"_mx{i}") for i, c in enumerate(allc)])
 
-    def bin_of(i, c):
-        x = _q(c).cast("double")
-        mn, mx = F.col(f"_mn{i}"), F.col(f"_mx{i}")
+    def bin_of(i):
+        x, mn, mx = F.col(f"_v{i}"), F.col(f"_mn{i}"), F.col(f"_mx{i}")
         raw = F.floor((x - mn) / (mx - mn) * F.lit(float(b)))
-        return F.when(x.isNull(), None).when(mx == mn, F.lit(0)).otherwise(F.least(raw, F.lit(b - 1))).cast("int")
-
-    ti = len(cols)
-    binned = keyed.select(bin_of(ti, target).alias("_by"),
-                          F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(i, c).alias("bx"))
-                                              for i, c in enumerate(cols)])).alias("_e"))
-    cells = (binned.select("_e.feature", "_e.bx", "_by").filter(F.col("bx").isNotNull() & F.col("_by").isNotNull())
-             .groupBy("feature", "bx", "_by").agg(F.count(F.lit(1)).alias("c")))
+        return F.coalesce(F.when(x.isNull(), None).when(mx == mn, F.lit(0)).otherwise(F.least(raw, F.lit(b - 1))).cast("int"), F.lit(-1)).alias(f"_b{i}")
+
+    binned = with_constants(df.select(*[value(c).alias(f"_v{i}") for i, c in enumerate(allc)]), stats).select(*[bin_of(i) for i in range(p + 1)])
+
+    def count(batches):
+        acc = np.zeros((p, b * b), dtype=np.int64)
+        for pdf in batches:
+            y = pdf[f"_b{p}"].to_numpy()
+            for i in range(p):
+                x = pdf[f"_b{i}"].to_numpy()
+                ok = (x >= 0) & (y >= 0)
+                acc[i] += np.bincount(x[ok] * b + y[ok], minlength=b * b)
+        at = np.nonzero(acc)
+        yield pd.DataFrame({"feature": np.array(cols, dtype=object)[at[0]], "bx": (at[1] // b).astype(np.int32), "_by": (at[1] % b).astype(np.int32), "c": acc[at]})
+
+    cells = binned.mapInPandas(count, "feature string, bx int, _by int, c long").groupBy("feature", "bx", "_by").agg(F.sum("c").alias("c"))
     # one group per feature holding its <= bins^2 cells (bounded); marginals, K counts and the MI sum are
     # higher-order functions over that small array - one shuffle instead of a window per marginal
     per = cells.groupBy("feature").agg(F.collect_list(F.struct("bx", "_by", "c")).alias("cells"))
@@ -235,8 +215,3 @@ def union_sets(*feature_sets: DataFrame) -> DataFrame:
     for s in feature_sets[1:]:
         out = out.union(s.select("feature"))
     return out.distinct()
-
-
-def default_bins(n_rows: int) -> int:
-    """A bin count that keeps ~5 rows per cell on average: min(32, floor(sqrt(n/5)))."""
-    return max(2, min(32, int(math.floor(math.sqrt(n_rows / 5.0)))))

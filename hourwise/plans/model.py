@@ -9,14 +9,14 @@ Model per series (``scope="local"``) or pooled (``"global"``), y scaled by max |
 ``S`` = Fourier terms of absolute epoch hours; ``R`` = regressors, standardised unless binary.
 
 Plan:
-* one small per-series statistics aggregate (time range, y scale, regressor mean / std) joined back;
+* one small per-series statistics aggregate (time range, y scale, regressor mean / std) joined back; a pooled model's
+  one row is a scalar subquery;
 * the design vector is an ``array<double>`` column built from JVM expressions;
-* ``mapInPandas`` folds each partition into partial Grams ``X'X, X'y, y'y, n`` per series (numpy);
-  partials are summed by a tree of bounded ``groupBy`` levels with ``aggregate(collect_list, zip_with)``
-  (fan-in ``FANIN``), so no task ever holds more than ``FANIN`` partials - also for one hot series;
-* the penalised normal equations are solved per series in ``applyInPandas`` over the one-row Gram
-  (ridge for Gaussian priors, IRLS for the Laplace prior of the hinges, noise variance re-estimated
-  from the same Gram); multiplicative mode runs Gauss-Newton, one Jacobian Gram pass per iteration.
+* each task sorts its rows by series and folds them into one partial Gram ``X'X, X'y, y'y, n`` per series (numpy);
+  partials are merged by (series, task mod ``FANIN``), then always by series;
+* the penalised normal equations are solved where each series' Gram row lies (ridge for Gaussian priors, reweighted
+  ridge for the Laplace prior of the hinges, noise variance re-estimated from the same Gram; ``converged`` says
+  whether this came to rest); multiplicative mode runs Gauss-Newton, one Jacobian Gram pass per iteration.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.functions import time as tf
+from hourwise.operators.joins import with_constants
+from hourwise.operators.reduce import FANIN, sum_arrays
 from hourwise.plans.spec import ForecastSpec
 
-FANIN = 64
 GLOBAL_ID = "__global__"
 TWO_PI = 2.0 * math.pi
 
@@ -42,6 +43,14 @@ def _key(df: DataFrame, spec: ForecastSpec, series_col: str) -> DataFrame:
     return df.withColumn("_sid", F.col(series_col).cast("string"))
 
 
+def _with_model(keyed: DataFrame, table: DataFrame, spec: ForecastSpec, series_col: str) -> DataFrame:
+    """Rows with the columns of their series' row of ``table``; NULLs where a series has none. A pooled model's one
+    row is a scalar subquery, not a join on a constant."""
+    if spec.scope == "global" or series_col not in keyed.columns:
+        return with_constants(keyed, table.drop("_sid"))
+    return keyed.join(table, "_sid", "left")
+
+
 def history_stats(df: DataFrame, spec: ForecastSpec, series_col: str = "series_id", y: str = "y") -> DataFrame:
     """Per-series constants of the model (one row per series)."""
     keyed = _key(df, spec, series_col)
@@ -49,7 +58,7 @@ def history_stats(df: DataFrame, spec: ForecastSpec, series_col: str = "series_i
             F.max(F.abs(F.col(y))).alias("y_scale"), F.count(F.col(y)).alias("n_obs")]
     for i, r in enumerate(spec.regressors):
         c = F.col(f"`{r}`").cast("double")
-        binary = (F.min(c) >= 0) & (F.max(c) <= 1) & (F.count_distinct(c) <= 2)
+        binary = F.bool_and(c.isin(0.0, 1.0))
         aggs += [F.when(binary, F.lit(0.0)).otherwise(F.avg(c)).alias(f"_rm{i}"),
                  F.when(binary | (F.stddev_samp(c) == 0) | F.stddev_samp(c).isNull(), F.lit(1.0)).otherwise(F.stddev_samp(c)).alias(f"_rs{i}")]
     st = keyed.groupBy("_sid").agg(*aggs)
@@ -79,13 +88,13 @@ def design_columns(spec: ForecastSpec) -> dict[str, Column]:
 
 
 def design_frame(df: DataFrame, stats: DataFrame, spec: ForecastSpec, series_col: str = "series_id",
-                 y: str | None = "y") -> DataFrame:
+                 y: str | None = "y", also: tuple[str, ...] = ()) -> DataFrame:
     """(``_sid``, ds, t, trend_x, seas_x, reg_x, x[, y_s]) with the model constants joined per series."""
     keyed = _key(df, spec, series_col)
-    j = keyed.join(stats, "_sid", "inner")
+    j = _with_model(keyed, stats, spec, series_col)
     d = design_columns(spec)
     cols = [F.col("_sid"), F.col("ds"), d["t"].alias("t"), d["trend_x"].alias("trend_x"), d["seas_x"].alias("seas_x"),
-            d["reg_x"].alias("reg_x"), F.col("y_scale")]
+            d["reg_x"].alias("reg_x"), F.col("y_scale"), *also]
     if series_col in df.columns and series_col != "_sid":
         cols.insert(1, F.col(series_col))
     if y is not None and y in df.columns:
@@ -97,73 +106,52 @@ def design_frame(df: DataFrame, stats: DataFrame, spec: ForecastSpec, series_col
 # ---------------------------------------------------------------- Gram
 
 
-MAX_SERIES_PER_PARTIAL = 1024
-
-
 def _partial_gram_fn(p: int):
-    """Fold a partition into per-series partial Grams; when a partition holds more than
-    ``MAX_SERIES_PER_PARTIAL`` series the partials are flushed early (task memory stays ~1024 * p^2 doubles)."""
-
-    def emit(acc):
-        return pd.DataFrame({
-            "_sid": list(acc.keys()),
-            "xtx": [v[0].ravel() for v in acc.values()],
-            "xty": [v[1] for v in acc.values()],
-            "yty": [v[2] for v in acc.values()],
-            "n": [v[3] for v in acc.values()],
-        })
+    """Fold a partition, whose rows come sorted by series, into one partial Gram per series: one p x p accumulator at
+    a time, whatever the number of series."""
 
     def fn(batches):
-        acc: dict = {}
+        sid, acc = None, None
+
+        def done():
+            return pd.DataFrame({"_sid": [sid], "xtx": [acc[0].ravel()], "xty": [acc[1]], "yty": [acc[2]], "n": [acc[3]]})
+
         for pdf in batches:
             if pdf.empty:
                 continue
-            for sid, g in pdf.groupby("_sid", sort=False):
-                X = np.stack(g["x"].to_numpy())
-                yv = g["y_s"].to_numpy(dtype=float)
-                w = g["w"].to_numpy(dtype=float) if "w" in g else None
-                Xw = X * w[:, None] if w is not None else X
-                a = acc.get(sid)
-                part = (Xw.T @ X, Xw.T @ yv, float((yv * (w if w is not None else 1.0)) @ yv), float(len(g)))
-                acc[sid] = part if a is None else (a[0] + part[0], a[1] + part[1], a[2] + part[2], a[3] + part[3])
-            if len(acc) > MAX_SERIES_PER_PARTIAL:
-                yield emit(acc)
-                acc = {}
-        if acc:
-            yield emit(acc)
+            ids = pdf["_sid"].to_numpy()
+            x, y = np.stack(pdf["x"].to_numpy()), pdf["y_s"].to_numpy(dtype=float)
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
+            for lo, hi in zip(edges, edges[1:]):
+                if acc is not None and ids[lo] != sid:
+                    yield done()
+                    acc = None
+                if acc is None:
+                    sid, acc = ids[lo], [np.zeros((p, p)), np.zeros(p), 0.0, 0.0]
+                own = x[lo:hi]
+                acc[0] += own.T @ own
+                acc[1] += own.T @ y[lo:hi]
+                acc[2] += float(y[lo:hi] @ y[lo:hi])
+                acc[3] += float(hi - lo)
+        if acc is not None:
+            yield done()
     return fn
 
 
 GRAM_SCHEMA = "_sid string, xtx array<double>, xty array<double>, yty double, n double"
 
 
-def fan_in(array_len: int, budget_bytes: float = 64e6) -> int:
-    """Partials merged per group: at most ``FANIN``, and at most ~``budget_bytes`` of arrays per task."""
-    return max(2, min(FANIN, int(budget_bytes // (8.0 * max(1, array_len)))))
-
-
-def _sum_arrays(col: str, size: int) -> Column:
-    zero = F.array_repeat(F.lit(0.0), size)
-    return F.aggregate(F.collect_list(col), zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-
-
 def gram(design: DataFrame, p: int) -> DataFrame:
-    """Per-series ``X'X`` (flattened), ``X'y``, ``y'y``, ``n`` of a frame with ``_sid, x, y_s`` (and optional
-    row weight ``w``)."""
-    cols = ["_sid", "x", "y_s"] + (["w"] if "w" in design.columns else [])
-    rows = design.select(*cols).filter(F.col("y_s").isNotNull())
-    parts = rows.mapInPandas(_partial_gram_fn(p), GRAM_SCHEMA).withColumn("_part", F.spark_partition_id())
-    n_parts = max(1, rows.rdd.getNumPartitions())
-    k = fan_in(p * p + p)
-    covered = 1
-    while True:  # each level merges at most k partials per series (k <= FANIN, ~64 MB of arrays)
-        covered *= k
-        parts = parts.groupBy("_sid", F.floor(F.col("_part") / F.lit(k)).alias("_part")).agg(
-            _sum_arrays("xtx", p * p).alias("xtx"), _sum_arrays("xty", p).alias("xty"),
-            F.sum("yty").alias("yty"), F.sum("n").alias("n"))
-        if covered >= n_parts:
-            break
-    return parts.drop("_part")
+    """Per-series ``X'X`` (flattened), ``X'y``, ``y'y``, ``n`` of a frame with ``_sid, x, y_s``.
+
+    One partial per task and series (a local sort, no shuffle of rows); partials are merged by (series, task mod
+    ``FANIN``) and then by series, always."""
+    rows = design.select("_sid", "x", "y_s").filter(F.col("y_s").isNotNull()).sortWithinPartitions("_sid")
+    parts = rows.mapInPandas(_partial_gram_fn(p), GRAM_SCHEMA).withColumn("_part", F.spark_partition_id() % FANIN)
+    for keys in (["_sid", "_part"], ["_sid"]):
+        parts = parts.groupBy(*keys).agg(sum_arrays("xtx", p * p).alias("xtx"), sum_arrays("xty", p).alias("xty"),
+                                         F.sum("yty").alias("yty"), F.sum("n").alias("n"))
+    return parts
 
 
 # ---------------------------------------------------------------- solve
@@ -190,52 +178,64 @@ def _penalties(spec: ForecastSpec, n: float, sigma2: float) -> tuple[np.ndarray,
     return ridge, l1
 
 
-def solve_penalized(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, spec: ForecastSpec,
-                    ridge_only: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Penalised least squares from sufficient statistics; returns (beta, residual variance)."""
+def solve_penalized(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, spec: ForecastSpec) -> tuple[np.ndarray, float, bool]:
+    """Penalised least squares from sufficient statistics; returns (beta, residual variance, converged): the noise
+    variance that the penalties use and the reweighted L1 part are iterated to a fixed point."""
     p = len(xty)
     sigma2 = max(yty / max(n, 1.0) - (xty[0] / max(n, 1.0)) ** 2, 1e-12) if p else 1.0
-    beta = np.zeros(p)
-    for _ in range(4):  # noise variance re-estimation
-        ridge, l1 = _penalties(spec, n, sigma2) if ridge_only is None else (ridge_only, np.zeros(p))
-        b = beta.copy()
-        for _ in range(50):  # IRLS for the L1 part
-            lam = ridge + l1 / (2.0 * np.maximum(np.abs(b), 1e-6))
-            A = xtx + np.diag(lam) + 1e-10 * np.eye(p)
-            nb = np.linalg.solve(A, xty)
-            if np.max(np.abs(nb - b)) < 1e-10:
-                b = nb
-                break
-            b = nb
-        beta = b
+    beta, converged = np.zeros(p), False
+    for _ in range(VARIANCE_ROUNDS):
+        ridge, l1 = _penalties(spec, n, sigma2)
+        beta, inner = _reweighted(xtx, xty, ridge, l1, beta)
         sse = float(yty - 2.0 * beta @ xty + beta @ xtx @ beta)
         new = max(sse / max(n, 1.0), 1e-12)
-        if abs(new - sigma2) <= 1e-9 * max(sigma2, 1e-12) or not np.any(l1) and ridge_only is not None:
-            sigma2 = new
-            break
+        same = abs(new - sigma2) <= 1e-9 * max(sigma2, 1e-12)
         sigma2 = new
-    return beta, sigma2
+        if same or not (np.any(l1) or np.any(ridge)):
+            converged = inner
+            break
+    return beta, sigma2, converged
 
 
-MODEL_SCHEMA = ("_sid string, beta array<double>, sigma double, sse double, n double")
+#: Rounds after which a fit is reported as not converged.
+VARIANCE_ROUNDS, L1_ROUNDS = 50, 500
 
 
-def _solve_fn(spec: ForecastSpec, p: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            xtx = np.asarray(row["xtx"], dtype=float).reshape(p, p)
-            xty = np.asarray(row["xty"], dtype=float)
-            beta, s2 = solve_penalized(xtx, xty, float(row["yty"]), float(row["n"]), spec)
-            out.append((row["_sid"], beta.tolist(), math.sqrt(s2), s2 * float(row["n"]), float(row["n"])))
-        return pd.DataFrame(out, columns=["_sid", "beta", "sigma", "sse", "n"])
-    return fn
+def _reweighted(a: np.ndarray, b: np.ndarray, ridge: np.ndarray, l1: np.ndarray, start: np.ndarray, shift=0.0) -> tuple[np.ndarray, bool]:
+    """Minimiser of x'ax/2 - b'x with ridge and L1 on (shift + x), the L1 part by reweighted ridge steps."""
+    x = start.copy()
+    for _ in range(L1_ROUNDS):
+        lam = ridge + l1 / (2.0 * np.maximum(np.abs(shift + x), 1e-6))
+        new = np.linalg.solve(a + np.diag(lam) + 1e-10 * np.eye(len(b)), b - lam * shift)
+        close = np.max(np.abs(new - x), initial=0.0) < 1e-9 * max(1.0, float(np.max(np.abs(new), initial=0.0)))
+        x = new
+        if close or not np.any(l1):
+            return x, True
+    return x, False
+
+
+MODEL_SCHEMA = "_sid string, beta array<double>, sigma double, sse double, n double, converged boolean"
+
+
+def _solve(grams: DataFrame, spec: ForecastSpec, p: int) -> DataFrame:
+    """Solve each series' normal equations where its one Gram row lies."""
+
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for sid, xtx, xty, yty, n in pdf[["_sid", "xtx", "xty", "yty", "n"]].itertuples(index=False):
+                beta, s2, ok = solve_penalized(np.asarray(xtx, dtype=float).reshape(p, p), np.asarray(xty, dtype=float), float(yty), float(n), spec)
+                out.append((sid, beta.tolist(), math.sqrt(s2), s2 * n, n, ok))
+            yield pd.DataFrame(out, columns=["_sid", "beta", "sigma", "sse", "n", "converged"])
+
+    return grams.mapInPandas(fn, MODEL_SCHEMA)
 
 
 def _model_table(coefs: DataFrame, stats: DataFrame, spec: ForecastSpec) -> DataFrame:
     terms = F.array(*[F.lit(t) for t in spec.term_names()])
-    return coefs.join(stats, "_sid", "inner").select(
-        "_sid", terms.alias("terms"), "beta", "sigma", "n", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints",
+    joined = with_constants(coefs, stats.drop("_sid", "n_obs")) if spec.scope == "global" else coefs.join(stats, "_sid", "inner")
+    return joined.select(
+        "_sid", terms.alias("terms"), "beta", "sigma", "n", "converged", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints",
         F.lit(spec.mode).alias("mode"))
 
 
@@ -246,9 +246,7 @@ def fit(df: DataFrame, spec: ForecastSpec, series_col: str = "series_id", y: str
     design = design_frame(df, stats, spec, series_col, y)
     p = len(spec.term_names())
     if spec.mode == "additive":
-        g = gram(design, p)
-        coefs = g.groupBy("_sid").applyInPandas(_solve_fn(spec, p), MODEL_SCHEMA)
-        return _model_table(coefs, stats, spec)
+        return _model_table(_solve(gram(design, p), spec, p), stats, spec)
     return _fit_multiplicative(design, stats, spec, p)
 
 
@@ -267,58 +265,57 @@ def _fit_multiplicative(design: DataFrame, stats: DataFrame, spec: ForecastSpec,
     n_trend, n_seas, n_reg = spec.blocks()
     design = cut_lineage(design.select("_sid", "ds", "trend_x", F.concat("seas_x", "reg_x").alias("f_x"), "y_s"))
     trend_spec = replace(spec, yearly=0, weekly=0, daily=0, seasonalities=(), regressors=(), mode="additive")
-    t0 = _solve_block(design.withColumn("x", F.col("trend_x")), trend_spec, n_trend, None)
+    t0 = _solve(gram(design.withColumn("x", F.col("trend_x")), n_trend), trend_spec, n_trend)
     params = cut_lineage(t0.select("_sid", F.col("beta").alias("theta"),
                                    F.array_repeat(F.lit(0.0), n_seas + n_reg).alias("phi"), "n"))
-    prev_sse = None
-    sigma_tab = None
+    prev_sse, done = None, False
     for _ in range(spec.max_rounds):
         g = _dot("trend_x", "theta")
         sfac = F.lit(1.0) + _dot("f_x", "phi")
-        jac = design.join(params.select("_sid", "theta", "phi"), "_sid").select(
+        jac = _with_params(design, params.select("_sid", "theta", "phi"), spec).select(
             "_sid", F.concat(F.transform("trend_x", lambda v: v * sfac), F.transform("f_x", lambda v: v * g)).alias("x"),
             (F.col("y_s") - g * sfac).alias("y_s"))
-        gm = gram(jac, p).join(params.select("_sid", "theta", "phi"), "_sid")
-        step = gm.groupBy("_sid").applyInPandas(_gn_step_fn(spec, n_trend, n_seas, n_reg), GN_SCHEMA)
-        step = cut_lineage(step)
-        sse = step.agg(F.sum("sse")).first()[0]
-        params = step.select("_sid", "theta", "phi", "n")
-        sigma_tab = step.select("_sid", "sigma")
+        gm = _with_params(gram(jac, p), params.select("_sid", "theta", "phi"), spec)
+        step = cut_lineage(gm.mapInPandas(_gn_step_fn(spec, n_trend, n_seas, n_reg), GN_SCHEMA), "gauss-newton")
+        sse = step.agg(F.sum("sse")).first()[0] or 0.0
+        params = step
         if prev_sse is not None and abs(prev_sse - sse) <= spec.tol * max(prev_sse, 1e-12):
+            done = True
             break
         prev_sse = sse
-    both = params.join(sigma_tab, "_sid").select("_sid", F.concat("theta", "phi").alias("beta"), "sigma", "n")
+    both = params.select("_sid", F.concat("theta", "phi").alias("beta"), "sigma", "n", (F.col("converged") & F.lit(done)).alias("converged"))
     return _model_table(both, stats, spec)
 
 
-GN_SCHEMA = "_sid string, theta array<double>, phi array<double>, sigma double, sse double, n double"
+def _with_params(df: DataFrame, params: DataFrame, spec: ForecastSpec) -> DataFrame:
+    return with_constants(df, params.drop("_sid")) if spec.scope == "global" else df.join(params, "_sid")
+
+
+GN_SCHEMA = "_sid string, theta array<double>, phi array<double>, sigma double, sse double, n double, converged boolean"
+
+
+#: Share of the Gram's diagonal that is added to it in a Gauss-Newton step; it changes the path, not the end.
+DAMPING = 1e-3
 
 
 def _gn_step_fn(spec: ForecastSpec, n_trend: int, n_seas: int, n_reg: int):
     """One Gauss-Newton step per series from the Jacobian Gram: minimise ||r - J d||^2 + penalties on the
-    updated parameters (ridge; L1 on the hinges by IRLS on the same Gram)."""
+    updated parameters (ridge; L1 on the hinges)."""
     p = n_trend + n_seas + n_reg
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            jtj = np.asarray(row["xtx"], dtype=float).reshape(p, p)
-            jtr = np.asarray(row["xty"], dtype=float)
-            rtr, n = float(row["yty"]), float(row["n"])
-            cur = np.concatenate([np.asarray(row["theta"], dtype=float), np.asarray(row["phi"], dtype=float)])
-            sigma2 = max(rtr / max(n, 1.0), 1e-12)  # SSE at the current parameters
-            ridge, l1 = _penalties(spec, n, sigma2)
-            d = np.zeros(p)
-            for _ in range(50):  # IRLS for the L1 part, on the updated parameters cur + d
-                lam = ridge + l1 / (2.0 * np.maximum(np.abs(cur + d), 1e-6))
-                nd = np.linalg.solve(jtj + np.diag(lam) + 1e-10 * np.eye(p), jtr - lam * cur)
-                if np.max(np.abs(nd - d)) < 1e-10:
-                    d = nd
-                    break
-                d = nd
-            new = cur + d
-            out.append((row["_sid"], new[:n_trend].tolist(), new[n_trend:].tolist(), math.sqrt(sigma2), rtr, n))
-        return pd.DataFrame(out, columns=["_sid", "theta", "phi", "sigma", "sse", "n"])
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for sid, xtx, xty, yty, n, theta, phi in pdf[["_sid", "xtx", "xty", "yty", "n", "theta", "phi"]].itertuples(index=False):
+                cur = np.concatenate([np.asarray(theta, dtype=float), np.asarray(phi, dtype=float)])
+                sigma2 = max(float(yty) / max(n, 1.0), 1e-12)  # SSE at the current parameters
+                ridge, l1 = _penalties(spec, n, sigma2)
+                jtj = np.asarray(xtx, dtype=float).reshape(p, p)
+                # damped where trend and seasons explain the same (a daily season of daily data)
+                d, ok = _reweighted(jtj + DAMPING * np.diag(np.diag(jtj)), np.asarray(xty, dtype=float), ridge, l1, np.zeros(p), cur)
+                new = cur + d
+                out.append((sid, new[:n_trend].tolist(), new[n_trend:].tolist(), math.sqrt(sigma2), float(yty), n, ok))
+            yield pd.DataFrame(out, columns=["_sid", "theta", "phi", "sigma", "sse", "n", "converged"])
 
     return fn
 
@@ -327,44 +324,17 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda u, v: u * v), F.lit(0.0), lambda acc, z: acc + z)
 
 
-def _solve_block(design: DataFrame, spec: ForecastSpec, p: int, factor_blocks) -> DataFrame:
-    g = gram(design, p)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            xtx = np.asarray(row["xtx"], dtype=float).reshape(p, p)
-            xty = np.asarray(row["xty"], dtype=float)
-            n = float(row["n"])
-            ridge = None
-            if factor_blocks is not None:
-                n_seas, n_reg = factor_blocks
-                s2 = max(float(row["yty"]) / max(n, 1.0), 1e-12)
-                ridge = np.zeros(p)
-                if spec.seasonality_reg is not None:
-                    ridge[:n_seas] = spec.seasonality_reg * n
-                elif spec.seasonality_prior_scale is not None:
-                    ridge[:n_seas] = s2 / spec.seasonality_prior_scale ** 2
-                if spec.regressor_prior_scale is not None:
-                    ridge[n_seas:] = s2 / spec.regressor_prior_scale ** 2
-            beta, s2 = solve_penalized(xtx, xty, float(row["yty"]), n, spec, ridge)
-            out.append((row["_sid"], beta.tolist(), math.sqrt(s2), s2 * n, n))
-        return pd.DataFrame(out, columns=["_sid", "beta", "sigma", "sse", "n"])
-
-    return g.groupBy("_sid").applyInPandas(fn, MODEL_SCHEMA)
-
-
 # ---------------------------------------------------------------- predict
 
 
 def predict(model: DataFrame, future: DataFrame, spec: ForecastSpec, series_col: str = "series_id",
             intervals: bool = True) -> DataFrame:
     """G6 + G7: components and ``yhat`` for rows carrying ``ds`` (and the regressors); the model table
-    (one row per series) is joined on the series key.  Interval: ``yhat +/- z * sigma`` (residual noise)."""
-    stats = model.select("_sid", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints")
-    d = design_frame(future, stats, spec, series_col, y=None)
+    (one row per series) is joined on the series key.  Interval: ``yhat +/- z * sigma`` (residual noise).
+    Rows of a series without a model stay, with NULL predictions (``without_model`` lists these series)."""
+    table = model.select("_sid", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints", "beta", "sigma")
+    d = design_frame(future, table, spec, series_col, y=None, also=("beta", "sigma"))
     keep = [c for c in d.columns if c in (series_col,)]
-    d = d.join(model.select("_sid", "beta", "sigma"), "_sid", "inner")
     n_trend, n_seas, n_reg = spec.blocks()
     b = F.col("beta")
 
@@ -390,6 +360,12 @@ def predict(model: DataFrame, future: DataFrame, spec: ForecastSpec, series_col:
     return out.drop("_sig")
 
 
+def without_model(model: DataFrame, future: DataFrame, series_col: str = "series_id") -> DataFrame:
+    """Series of ``future`` that have no row in the model table (``predict`` gives them NULLs)."""
+    return future.select(series_col).distinct().join(
+        model.select(F.col("_sid").alias(series_col)), series_col, "left_anti")
+
+
 def coefficients(model: DataFrame) -> DataFrame:
     """Model table in long form ``(series, term, coef)`` for reports and the rows-only check."""
     return model.select("_sid", F.explode(F.arrays_zip("terms", "beta")).alias("e")).select(

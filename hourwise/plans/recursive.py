@@ -5,24 +5,28 @@ After each step the prediction becomes the target of that hour, and the target f
 Target features must have been built with ``exclude_current=True`` (lags always are), so a feature of hour t
 never uses y(t).  Other regressors come from the future rows.
 
-Plan: recursion is sequential in time, so the parallelism is across series.  For each series only a bounded
-tail of the history is needed (largest lag / window, and the EMA look-back where older weights are < 1e-19);
-``cogroup`` brings tail + future rows + the series' model row together and ``applyInPandas`` runs the loop.
+Plan: recursion is sequential in time, so the parallelism is across series.  A series needs its last rows (as many as
+the largest lag or window; counted in rows, like the batch operators) and both sums of each EMA over all of its
+history (``ema_state``); ``cogroup`` brings these, the future rows and the series' model row together.  Trend, seasons
+and exogenous regressors of all future rows are computed at once; only the target features go step by step.
+
+A missing regressor takes its last value in the series, else 0.  Series without a model row keep their rows, with NULL
+predictions.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions import time as tf
-from hourwise.operators.ema import ema_plan
-from hourwise.plans.model import GLOBAL_ID, TWO_PI
+from hourwise.operators.ema import decay, ema_state
+from hourwise.operators.joins import with_constants
+from hourwise.plans.model import TWO_PI
 from hourwise.plans.spec import ForecastSpec
 
 _LAG = re.compile(r"^lag_(\d+)$")
@@ -39,34 +43,22 @@ def _target_feature(name: str):
     return None
 
 
-def tail_length(spec: ForecastSpec) -> int:
-    need = 1
-    for r in spec.regressors:
-        f = _target_feature(r)
-        if f is None:
-            continue
-        kind, k = f
-        if kind == "ema":
-            _, look, _ = ema_plan(k)
-            need = max(need, look + 1)
-        else:
-            need = max(need, k + 1)
-    return need
+def _spans(spec: ForecastSpec) -> list[int]:
+    return sorted({f[1] for f in map(_target_feature, spec.regressors) if f and f[0] == "ema"})
+
+
+def tail_rows(spec: ForecastSpec) -> int:
+    """Rows of history that lags and rolling windows of the next hour can reach."""
+    return max([1, *(f[1] for f in map(_target_feature, spec.regressors) if f and f[0] != "ema")])
 
 
-def design_row(model: dict, spec: ForecastSpec, hour: float, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """numpy twin of ``model.design_columns`` for one hour (epoch hours)."""
-    t = (hour - model["t0"]) / (model["t1"] - model["t0"])
-    cps = np.asarray(model["changepoints"], dtype=float)
-    trend = np.concatenate([[1.0, t], np.maximum(0.0, t - cps)])
-    seas = []
-    for _, period, order in spec.seasonal_terms():
-        for i in range(1, order + 1):
-            ang = (TWO_PI * i / period) * hour
-            seas += [math.sin(ang), math.cos(ang)]
-    rm = np.asarray(model["reg_mean"], dtype=float)
-    rs = np.asarray(model["reg_std"], dtype=float)
-    return trend, np.asarray(seas, dtype=float), (regs - rm) / rs if len(regs) else np.zeros(0)
+def design_blocks(model: dict, spec: ForecastSpec, hours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """numpy twin of ``model.design_columns``: trend and seasonal rows of all ``hours`` (epoch hours)."""
+    t = (hours - model["t0"]) / (model["t1"] - model["t0"])
+    hinges = np.maximum(0.0, t[:, None] - np.asarray(model["changepoints"], dtype=float)[None, :])
+    trend = np.column_stack([np.ones(len(t)), t, hinges])
+    seas = [f(TWO_PI * i / period * hours) for _, period, order in spec.seasonal_terms() for i in range(1, order + 1) for f in (np.sin, np.cos)]
+    return trend, np.column_stack(seas) if seas else np.zeros((len(t), 0))
 
 
 def _step_features(buf: list[float], ema_state: dict, names: list[str]) -> dict[str, float]:
@@ -89,47 +81,53 @@ def _step_features(buf: list[float], ema_state: dict, names: list[str]) -> dict[
 
 def _ema_push(ema_state: dict, x: float) -> None:
     for span, (s, w) in list(ema_state.items()):
-        d = 1.0 - 2.0 / (span + 1.0)
+        d = decay(span)
         if np.isnan(x):
             ema_state[span] = (d * s, d * w)
         else:
             ema_state[span] = (d * s + x, d * w + 1.0)
 
 
+OUT = ["ds", "yhat", "yhat_lower", "yhat_upper"]
+
+
 def _recursive_fn(spec: ForecastSpec, series_col: str):
     regs = list(spec.regressors)
-    target_feats = [r for r in regs if _target_feature(r) is not None]
-    spans = sorted({k for r in target_feats for kind, k in [_target_feature(r)] if kind == "ema"})
-    n_trend, n_seas, n_reg = spec.blocks()
+    target = [r for r in regs if _target_feature(r) is not None]
+    spans = _spans(spec)
+    n_trend, n_seas, _ = spec.blocks()
     z = spec.z()
 
     def fn(key, rows: pd.DataFrame, mdl: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or mdl.empty:
-            return pd.DataFrame(columns=[series_col, "ds", "yhat", "yhat_lower", "yhat_upper"])
+        fut = rows[rows["_future"] == 1].sort_values("ds")
+        if fut.empty:
+            return pd.DataFrame(columns=[series_col, *OUT])
+        if mdl.empty or mdl["beta"].iloc[0] is None:
+            return pd.DataFrame({series_col: fut[series_col], "ds": fut["ds"], "yhat": None, "yhat_lower": None, "yhat_upper": None})
         m = mdl.iloc[0].to_dict()
         beta = np.asarray(m["beta"], dtype=float)
-        rows = rows.sort_values("ds")
-        hist = rows[rows["_future"] == 0]
-        fut = rows[rows["_future"] == 1]
-        buf = [float(v) if v is not None else np.nan for v in hist["y"].tolist()]
-        ema_state = {s: (0.0, 0.0) for s in spans}
-        for v in buf:
-            _ema_push(ema_state, v)
-        out = []
-        for _, r in fut.iterrows():
-            feats = _step_features(buf, ema_state, target_feats)
-            rv = np.asarray([feats[c] if c in feats else float(r[c]) for c in regs], dtype=float)
-            trend, seas, regx = design_row(m, spec, float(r["_h"]), rv)
-            tr = float(trend @ beta[:n_trend])
-            se = float(seas @ beta[n_trend:n_trend + n_seas]) if n_seas else 0.0
-            rg = float(np.nan_to_num(regx) @ beta[n_trend + n_seas:]) if n_reg else 0.0
-            ys = tr * (1.0 + se + rg) if spec.mode == "multiplicative" else tr + se + rg
-            yhat = ys * float(m["y_scale"])
-            sig = float(m["sigma"]) * float(m["y_scale"])
-            out.append((r[series_col], r["ds"], yhat, yhat - z * sig, yhat + z * sig))
-            buf.append(yhat)
-            _ema_push(ema_state, yhat)
-        return pd.DataFrame(out, columns=[series_col, "ds", "yhat", "yhat_lower", "yhat_upper"])
+        mean, std = np.asarray(m["reg_mean"], dtype=float), np.asarray(m["reg_std"], dtype=float)
+        hist = rows[rows["_future"] == 0].sort_values("ds")
+        buf = hist["y"].to_numpy(dtype=float).tolist()
+        state = {s: (float(hist[f"_es{s}"].iloc[0]), float(hist[f"_ew{s}"].iloc[0])) if len(hist) else (0.0, 0.0) for s in spans}
+        trend, seas = design_blocks(m, spec, fut["_h"].to_numpy(dtype=float))
+        trend, seas = trend @ beta[:n_trend], seas @ beta[n_trend:n_trend + n_seas]
+        exo = {r: fut[r].astype(float).ffill().bfill().fillna(0.0).to_numpy() for r in regs if r not in target}
+        weight = dict(zip(regs, beta[n_trend + n_seas:]))
+        at = {r: i for i, r in enumerate(regs)}
+        known = sum((weight[r] * (exo[r] - mean[at[r]]) / std[at[r]] for r in exo), np.zeros(len(fut)))
+        last = dict.fromkeys(target, 0.0)
+        out = np.empty(len(fut))
+        for k in range(len(fut)):
+            now = _step_features(buf, state, target)
+            last.update((r, v) for r, v in now.items() if not np.isnan(v))
+            reg = known[k] + sum(weight[r] * (last[r] - mean[at[r]]) / std[at[r]] for r in target)
+            out[k] = trend[k] * (1.0 + seas[k] + reg) if spec.mode == "multiplicative" else trend[k] + seas[k] + reg
+            out[k] *= float(m["y_scale"])
+            buf.append(out[k])
+            _ema_push(state, out[k])
+        sig = z * float(m["sigma"]) * float(m["y_scale"])
+        return pd.DataFrame({series_col: fut[series_col].to_numpy(), "ds": fut["ds"].to_numpy(), "yhat": out, "yhat_lower": out - sig, "yhat_upper": out + sig})
 
     return fn
 
@@ -137,22 +135,20 @@ def _recursive_fn(spec: ForecastSpec, series_col: str):
 def forecast_recursive(model: DataFrame, history: DataFrame, future: DataFrame, spec: ForecastSpec,
                        series_col: str = "series_id") -> DataFrame:
     """``history`` (series, ds, y) and ``future`` (series, ds, exogenous regressors) -> hourly predictions."""
-    tail = tail_length(spec)
-    last = history.groupBy(series_col).agg(tf.epoch_hours(F.max("ds")).alias("_last"))
-    hist = (history.join(last, series_col)
-            .filter(tf.epoch_hours("ds") > F.col("_last") - F.lit(tail))
-            .select(series_col, "ds", F.col("y").cast("double").alias("y"), F.lit(0).alias("_future")))
+    newest = Window.partitionBy(series_col).orderBy(F.col("ds").desc())
+    hist = history.select(series_col, "ds", F.col("y").cast("double").alias("y"), F.lit(0).alias("_future"))
+    tail = hist.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= tail_rows(spec)).drop("_n")
+    spans = _spans(spec)
+    if spans:
+        tail = tail.join(ema_state(hist, "y", spans, [series_col]), series_col, "left")
     exo = [r for r in spec.regressors if _target_feature(r) is None]
     fut = future.select(series_col, "ds", *[F.col(f"`{c}`").cast("double").alias(c) for c in exo],
                         F.lit(None).cast("double").alias("y"), F.lit(1).alias("_future"))
-    rows = hist.unionByName(fut, allowMissingColumns=True).withColumn("_h", tf.epoch_hours("ds").cast("double"))
-    if spec.scope == "global":
-        # a pooled model still recurses per series: attach its one row to every series key (equi-join on
-        # the constant model key; the key table has one row per series)
-        keys = rows.select(series_col).distinct().withColumn("_sid", F.lit(GLOBAL_ID))
-        mdl = keys.join(model, "_sid").withColumn("_sid", F.col(series_col).cast("string")).drop(series_col)
+    rows = tail.unionByName(fut, allowMissingColumns=True).withColumn("_h", tf.epoch_hours("ds").cast("double"))
+    rows = rows.withColumn("_sid", F.col(series_col).cast("string"))
+    if spec.scope == "global":  # a pooled model still recurses per series: its one row goes to every series
+        mdl = with_constants(rows.select("_sid").distinct(), model.drop("_sid"))
     else:
         mdl = model
-    rows = rows.withColumn("_sid", F.col(series_col).cast("string"))
     schema = f"{series_col} string, ds timestamp_ntz, yhat double, yhat_lower double, yhat_upper double"
     return rows.groupBy("_sid").cogroup(mdl.groupBy("_sid")).applyInPandas(_recursive_fn(spec, series_col), schema)

@@ -3,8 +3,8 @@ seasonality + linear regressors, additive or multiplicative)."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field, replace
+from statistics import NormalDist
 
 HOURS_PER_DAY = 24.0
 # Seasonal periods in hours and the default Fourier orders (yearly 10, weekly 3, daily 4).
@@ -68,27 +68,7 @@ class ForecastSpec:
 
     def z(self) -> float:
         """Two-sided normal quantile of the interval width."""
-        return _norm_ppf(0.5 + self.interval_width / 2.0)
-
-
-def _norm_ppf(p: float) -> float:
-    """Inverse standard normal CDF (Acklam's rational approximation, |err| < 1.2e-9)."""
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
-         -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
-         -1.328068155288572e01)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00,
-         4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
-    lo = 0.02425
-    if p < lo:
-        q = math.sqrt(-2 * math.log(p))
-        return (((((c[0] * q + c[1]) * q + c[2]) * q + c[3]) * q + c[4]) * q + c[5]) / ((((d[0] * q + d[1]) * q + d[2]) * q + d[3]) * q + 1)
-    if p > 1 - lo:
-        return -_norm_ppf(1 - p)
-    q = p - 0.5
-    rr = q * q
-    return (((((a[0] * rr + a[1]) * rr + a[2]) * rr + a[3]) * rr + a[4]) * rr + a[5]) * q / (((((b[0] * rr + b[1]) * rr + b[2]) * rr + b[3]) * rr + b[4]) * rr + 1)
+        return NormalDist().inv_cdf(0.5 + self.interval_width / 2.0)
 
 
 # G1: the first family's configuration (multiplicative, changepoints over all of the history).

@@ -95,7 +95,6 @@ def test_features_between_equals_full_computation(spark):
 
     from pyspark.sql import functions as F
 
-    from hourwise.operators.ema import ema_plan
     from hourwise.operators.missing import regularize
 
     df = regularize(_panel(spark, 10, n=300), flag=None)
@@ -104,7 +103,7 @@ def test_features_between_equals_full_computation(spark):
     def build(d):
         return add_ema(ordd.add_history_features(d, "y", [1, 24], [6]), "y", [3])
 
-    look = max(24, 6, ema_plan(3)[1])
+    look = 24 + 60  # the EMA of span 3 halves a weight each row: 60 rows leave less than 1e-18
     got = _pdf(ordd.features_between(df, lo, hi, build, look), ["lag_24", "rolling_mean_6h", "ema_3h"])
     full = build(df).filter((F.col("ds") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ds") <= F.lit(hi).cast("timestamp_ntz")))
     exp = _pdf(full, ["lag_24", "rolling_mean_6h", "ema_3h"])

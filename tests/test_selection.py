@@ -67,7 +67,7 @@ def test_lasso_cv_keeps_signal(spark):
     assert abs(res["a"]["coef"] - 2.0) < 0.2 and abs(res["c"]["coef"] + 1.5) < 0.2
 
 
-def test_corr_matrix_gram_equals_aggregate(spark):
+def test_corr_matrix_equals_pandas(spark):
     rng = np.random.default_rng(4)
     n, p = 400, 6
     base = rng.normal(100, 5, (n, 1))
@@ -76,9 +76,10 @@ def test_corr_matrix_gram_equals_aggregate(spark):
     pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(p)])
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None)).repartition(7)
     cols = list(pdf.columns)
-    a = sel.corr_matrix(df, cols, method="aggregate").toPandas().sort_values(["pos_a", "pos_b"]).reset_index(drop=True)
-    g = sel.corr_matrix(df, cols, method="gram").toPandas().sort_values(["pos_a", "pos_b"]).reset_index(drop=True)
-    assert (a[["feature_a", "feature_b"]].values == g[["feature_a", "feature_b"]].values).all()
-    assert np.allclose(a["corr"].astype(float), g["corr"].astype(float), atol=1e-10)
     exp = pdf.corr()
-    assert abs(g.loc[0, "corr"] - exp.iloc[0, 1]) < 1e-10
+    for r in sel.corr_matrix(df, cols).collect():
+        assert abs(r["corr"] - exp.loc[r["feature_a"], r["feature_b"]]) < 1e-10
+    nan = spark.createDataFrame([(1.0, 1.0, 5.0), (2.0, float("nan"), 5.0), (3.0, 5.0, 5.0), (4.0, 7.5, 5.0)], "a double, b double, c double")
+    got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in sel.corr_matrix(nan, ["a", "b", "c"]).collect()}
+    want = nan.toPandas()[["a", "b"]].corr().iloc[0, 1]
+    assert abs(got["a", "b"] - want) < 1e-12 and got["a", "c"] is None

@@ -70,9 +70,10 @@ def pairs(words: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Distinct words and word pairs; words are runs of letters and digits in lower case."""
+    """Words and word pairs; words are runs of letters and digits in lower case. (A lambda's variable holds the words,
+    so that the text is split once.)"""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}0-9]+"), "")
-    return F.array_distinct(F.concat(words, pairs(words)))
+    return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, pairs(w))), 1)
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 from hourwise.llm.store import handed, table
 
 
+#: 8 MB of ids.
+BROADCAST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``rejected``; rows with a NULL id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Rows of ``docs`` whose doc_id isn't in ``rejected``; rows with a NULL id stay. Up to ``BROADCAST_IDS`` ids go to
+    the documents, more meet them in a shuffle join."""
+    ids = handed(rejected.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "rejected")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

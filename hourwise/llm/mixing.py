@@ -143,11 +143,12 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SL
     start, end = F.greatest(F.col("_off"), F.col("block") * block), F.least(F.col("_off") + F.col("size"), (F.col("block") + 1) * block)
     piece = spread.select("source_key", "block", "doc_id", "_off", (start - F.col("_off")).alias("word_start"), (end - F.col("_off")).alias("word_end"))
     uses = filled.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("_uses"))
-    taken = piece.join(uses, ["source_key", "block"]).groupBy("source_key", "_off").agg(
+    # both sides grow with the corpus: the planner, which can't know how many slots are filled, must not broadcast one
+    taken = piece.join(uses.hint("merge"), ["source_key", "block"]).groupBy("source_key", "_off").agg(
         F.sum((F.col("word_end") - F.col("word_start")) * F.col("_uses")).alias("taken"))
     # a row with words is alone at its offset; rows without words take nothing
     rows = placed.withColumn("_at", F.when(F.col("size") > 0, F.col("_off"))).join(
-        taken.withColumnRenamed("_off", "_at"), ["source_key", "_at"], "left")
+        taken.withColumnRenamed("_off", "_at").hint("merge"), ["source_key", "_at"], "left")
     about = targets.select("source_key", "source_size", "target")
     about = F.broadcast(about) if about.count() <= SOURCES_BROADCAST else about
     documents = rows.join(about, "source_key").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -14,15 +14,28 @@ from pyspark.sql import functions as F
 from hourwise.llm.store import handed, table
 
 
-#: 8 MB of ids.
+#: 8 MB of row numbers.
 BROADCAST_IDS = 1_000_000
+ROW = "_pipeline_row"
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``rejected``; rows with a NULL id stay. Up to ``BROADCAST_IDS`` ids go to
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row (``ROW``): its file's, by path, and its place there, so that it is the same
+    wherever the rows are read. What isn't a plain read of files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = handed(docs, "keyed")
+    placed = docs.withColumns({f"{ROW}_file": F.col("_metadata.file_path"), f"{ROW}_place": F.col("_metadata.row_index")})
+    files = sorted(r[0] for r in placed.select(f"{ROW}_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], f"{ROW}_file string, {ROW}_first long")
+    row = (F.col(f"{ROW}_first") + F.col(f"{ROW}_place")).alias(ROW)
+    return placed.join(F.broadcast(numbers), f"{ROW}_file").select(*(F.col(f"`{c}`") for c in docs.columns), row)
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose number isn't in ``rejected``, without the number. Up to ``BROADCAST_IDS`` numbers go to
     the documents, more meet them in a shuffle join."""
-    ids = handed(rejected.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = handed(rejected.select(ROW).distinct(), "rejected")
+    return keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in keyed.columns if c != ROW))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,18 +59,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.75 or more, the one with the smallest doc_id stays."""
+    """Of each group of rows linked by a similarity of 0.75 or more, one stays: the one with the smallest doc_id, of
+    rows that repeat it the first. Rows without a doc_id are in groups like all others and come after those with one."""
     from hourwise.llm.ngram_join import ngram_components
 
-    classes = ngram_components(docs)
-    return _without(docs, classes.filter(F.col("component_id") != F.col("doc_id")))
+    keyed = _keyed(docs)
+    ranked = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    classes = ngram_components(keyed.select(ranked.alias("doc_id"), "text"))
+    return _without(keyed, classes.filter(F.col("component_id.row") != F.col("doc_id.row")).select(F.col("doc_id.row").alias(ROW)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of ``benchmark`` go."""
+    """Rows that hold a passage of ``benchmark`` go; other rows with the same doc_id stay."""
     from hourwise.llm.decontam import find_leaks
 
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

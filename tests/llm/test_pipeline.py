@@ -64,3 +64,22 @@ def test_empty_and_odd_documents(spark, texts, tmp_path):
         frame(spark, [], "item_id long, text string").write.parquet(str(tmp_path / f"d{len(rows)}" / "benchmark.parquet"))
         out = cp.run(spark, str(tmp_path / f"d{len(rows)}")).collect()
         assert (len(out) > 0) == (len(rows) > 0)
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    """Repeated rows, rows without an id and rows that share one id with other texts."""
+    one, two, item = (" ".join(f"{w}{k}" for k in range(40)) for w in ("left", "right", "item"))
+    other = "a text of its own under an id that others have"
+    texts = [(5, one), (5, one), (5, one + " end"), (3, one), (None, one), (None, two), (None, two + " end"), (5, other), (None, None), (None, None), (7, two + " " + item), (7, other + " too")]
+    rows = [(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(texts)]
+    frame(spark, [(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame(spark, rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "rows"))
+    for docs in (frame(spark, rows, SCHEMA), spark.read.parquet(str(tmp_path / "rows"))):
+        single = cp.near_duplicates(spark, docs, str(tmp_path))
+        assert single.columns == COLUMNS
+        kept = sorted(int(r[3][1:]) for r in _rows(single))
+        assert [k for k in kept if k not in (5, 6)] == [3, 7, 8, 9, 10] and len(kept) == 6
+        same = [r for r in _rows(cp.near_duplicates(spark, frame(spark, [rows[0], rows[0], rows[1]], SCHEMA), str(tmp_path)))]
+        assert len(same) == 1 and same[0][:2] == (5, one)
+    leaky = [(None, "x " + item, "en", "s0", 1), (None, other, "en", "s1", 1), (7, two + " " + item, "en", "s2", 1), (7, other, "en", "s3", 1), (8, item, "en", "s4", 1), (8, item, "en", "s4", 1)]
+    assert sorted(r[3] for r in _rows(cp.decontamination(spark, frame(spark, leaky, SCHEMA), str(tmp_path)))) == ["s1", "s3"]

@@ -81,6 +81,23 @@ def test_secret_spans(spark, texts):
     assert found[24] == [("random", 4, 28)] and found[25] == [] and [k for k, _, _ in found[23]] == ["assign", "access", "hex"]
 
 
+def test_random_strings_of_any_form(spark):
+    import public_tokenizers
+
+    from hourwise.llm.secrets import scan_secrets
+
+    secret = "ZxKqLwVbNmRtYpQsHgJdFcXz"
+    rows = {1: (f"see {secret} there", secret), 2: ("key x7Kp2Qz9Vw end", "x7Kp2Qz9Vw"), 3: ("/home/production/services/configuration/x7Kp2Qz9Vw", "x7Kp2Qz9Vw"),
+            4: ("documentation_of_the_service=ZxKqLwVbNmRt", "ZxKqLwVbNmRt"), 5: ("ZxKqLw-VbNmRt+YpQsHg/JdFcXz", "ZxKqLw-VbNmRt+YpQsHg/JdFcXz"),
+            6: ("an international understanding, self-explanatory and up-to-date: documentation/introduction_chapter_2", None), 7: ("2024-01-02 1234567890123456 2001-12-31/17", None),
+            8: ("/items/123e4567-e89b-12d3-a456-426614174000/details 5d41402abc4b2a76b9719d911017c592X"[:-1], "hex"), 9: (f"secret=aaaaaa/bb {secret}", secret)}
+    got = scan_secrets(frame(spark, [(i, t) for i, (t, _) in rows.items()]), catalog.tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    for r in got:
+        text, want = rows[r["doc_id"]]
+        found = [text[s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "random"]
+        assert found == ([] if want in (None, "hex") else [want]), (text, found)
+
+
 def _counts(t):
     t = t or ""
     w = WORD.findall(t)

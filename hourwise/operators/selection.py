@@ -63,8 +63,9 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             for i in range(p):
                 for j in range(i + 1, p):
                     vx, vy = n[i, j] * sq[i, j] - sx[i, j] ** 2, n[i, j] * sq[j, i] - sx[j, i] ** 2
-                    flat = min(vx, vy) <= 1e-12 * max(n[i, j] * max(sq[i, j], sq[j, i]), 1e-300)
-                    out.append((cols[i], cols[j], i, j, None if flat else (n[i, j] * cxy[i, j] - sx[i, j] * sx[j, i]) / np.sqrt(vx * vy)))
+                    # each column against its own magnitude: the other's scale says nothing about it
+                    flat = vx <= 1e-12 * n[i, j] * sq[i, j] or vy <= 1e-12 * n[i, j] * sq[j, i]
+                    out.append((cols[i], cols[j], i, j, None if flat else (n[i, j] * cxy[i, j] - sx[i, j] * sx[j, i]) / np.sqrt(vx) / np.sqrt(vy)))
             yield pd.DataFrame(out, columns=["feature_a", "feature_b", "pos_a", "pos_b", "corr"])
 
     parts = centred.mapInPandas(partial, "s array<double>").withColumn("_part", F.spark_partition_id() % FANIN)

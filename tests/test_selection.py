@@ -83,3 +83,18 @@ def test_corr_matrix_equals_pandas(spark):
     got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in sel.corr_matrix(nan, ["a", "b", "c"]).collect()}
     want = nan.toPandas()[["a", "b"]].corr().iloc[0, 1]
     assert abs(got["a", "b"] - want) < 1e-12 and got["a", "c"] is None
+
+
+def test_corr_of_columns_far_apart_in_scale(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, 500)
+    pdf = pd.DataFrame({"tiny": 1e-8 * base, "huge": 1e8 * (base + rng.normal(0, 1, 500)), "rate": 0.4 + 1e-9 * rng.normal(0, 1, 500), "twin": 1e100 * base, "flat": 0.1})
+    df = spark.createDataFrame(pdf).repartition(5)
+    cols, exp = list(pdf.columns), pdf.corr()
+    for r in sel.corr_matrix(df, cols).collect():
+        if "flat" in (r["feature_a"], r["feature_b"]):
+            assert r["corr"] is None
+        else:
+            assert abs(r["corr"] - exp.loc[r["feature_a"], r["feature_b"]]) < 1e-6
+    assert {r["feature"] for r in sel.prune_correlated(df, cols, 0.9).collect()} == {"tiny", "huge", "rate", "flat"}
+    assert {(r["feature_a"], r["feature_b"]) for r in sel.moderate_pairs(sel.corr_matrix(df, cols)).collect()} == {("tiny", "huge"), ("huge", "twin")}

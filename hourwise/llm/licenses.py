@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier (operator 4), on DataFrame and SQL functions only.
 
-Paragraphs (lines) become sets of words and word pairs. A multinomial logistic regression with elastic-net penalty is
+Paragraphs (lines, and windows of lines for notices that are wrapped) become sets of words and word pairs. A multinomial logistic regression with elastic-net penalty is
 trained on licence templates, bare and inside paragraphs of the corpus, against paragraphs of the corpus (class
 unknown); the penalty leaves most weights at 0. Its scores are divided by the temperature that gives the least log
 loss on a fifth of the examples kept aside. A predicted family counts if its probability reaches ``PROBABILITY`` and
@@ -21,6 +21,8 @@ from hourwise.llm.store import handed
 
 UNKNOWN = "unknown"
 PROBABILITY, SIMILARITY = 0.5, 0.6
+#: Lines that a wrapped notice may take: the longest template at 35 columns.
+WINDOW_LINES = 8
 #: Paragraphs of the corpus that the classifier is trained on, about.
 SAMPLE_PARAGRAPHS = 4000
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
@@ -82,6 +84,43 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.filter(F.col("text").rlike(r"\p{L}"))
 
 
+#: Words that ordinary texts hold too: ``marks`` takes them last.
+COMMON = frozenset("by under following provided general international source public project included published subject specific version conditions this work is the of and to in it you or any be".split())
+
+
+def marks() -> list[str]:
+    """Words of the templates, rare and long ones first, so many that no text without them has ``SIMILARITY`` of the pairs of
+    any template."""
+    chosen: set[str] = set()
+    for _, text in TEMPLATES:
+        own = _pairs(text)
+        for word in sorted({w for x in own for w in x.split()}, key=lambda w: (w not in chosen, w in COMMON, -len(w), w)):
+            if sum(not chosen.isdisjoint(x.split()) for x in own) > (1 - SIMILARITY) * len(own) + 1e-9:
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
+def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, _row, paragraph, n_lines, text): every line with a letter, and the windows of 2 to ``WINDOW_LINES``
+    lines with letters or digits in a row that hold one of ``marks``; ``_row`` tells rows of ``docs`` apart."""
+    letter, mark = r"\p{L}", rf"(?iu)(?<![\p{{L}}0-9])(?:{'|'.join(marks())})(?![\p{{L}}0-9])"
+    split = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.split(F.col(text_col), "\n").alias("_lines"), F.col(text_col).rlike(mark).alias("_marked"))
+    lines = F.col("_lines")
+    one = F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), F.lit(1).alias("n_lines"), x.alias("text")))
+    # a window belongs to its first line with a mark: ``before`` lines stand in front of that
+    shapes = F.array(*(F.struct(F.lit(before).alias("before"), F.lit(n).alias("n")) for n in range(2, WINDOW_LINES + 1) for before in range(n)))
+    cut = lambda i, s, n: F.slice(lines, F.greatest(i - s["before"] + 1, F.lit(1)), n)
+    fits = lambda i, s: ((i >= s["before"]) & (i - s["before"] + s["n"] <= F.size(lines)) & F.forall(cut(i, s, s["n"]), lambda x: x.rlike(r"[\p{L}0-9]"))
+                         & ~F.exists(cut(i, s, s["before"]), lambda x: x.rlike(mark)))
+    around = lambda i: F.transform(F.filter(shapes, lambda s: fits(i, s)), lambda s: F.struct(
+        (i - s["before"]).alias("paragraph"), s["n"].alias("n_lines"), F.concat_ws(" ", cut(i, s, s["n"])).alias("text")))
+    marked = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(mark))
+    wrapped = F.when(F.col("_marked") & (F.size(lines) > 1), F.flatten(F.transform(marked, around))).otherwise(F.slice(one, 1, 0))
+    every = split.filter(lines.isNotNull()).select(id_col, "_row", F.inline(F.concat(one, wrapped)))
+    return every.filter(F.col("text").rlike(letter))
+
+
 class LicenceClassifier:
     """Vocabulary, weights and temperature, fitted on the templates and a bounded sample of paragraphs."""
 
@@ -132,20 +171,36 @@ def _softmax(margins: Column, temperature: float) -> Column:
 
 
 def scan_licences(docs: DataFrame, classifier: LicenceClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, family, prob, similarity): every paragraph (line, from 0) with a confirmed licence family.
-
-    Every line of every text is classified; NULL and empty texts have none; repeated rows are scanned each; an empty
-    table gives an empty result; other columns are ignored.
+    """(doc_id, paragraph, family, prob, similarity): every paragraph with a confirmed licence family, by its first line
+    (from 0).
+
+    Every line of every text is classified, and every window of 2 to ``WINDOW_LINES`` consecutive lines with letters
+    or digits that can reach the similarity, for notices wrapped over lines (comment marks don't count as words). Of windows
+    that overlap, the most similar, then shortest, is given out, unless it overlaps a confirmed line of its family or a
+    more similar one; of the confirmed lines all but those in a more similar window of another family (the first line
+    of a GPL 3 notice fits GPL 2 as well). NULL and empty texts have none; repeated rows are
+    scanned each; an empty table gives an empty result; other columns are ignored.
     """
-    lines = paragraphs(docs, id_col, text_col).withColumn("grams", grams(F.col("text")))
-    named = classifier.predict(lines).filter(F.col("prob") >= PROBABILITY)
     # as many structs as there are templates
     every = F.array(*(F.struct((F.size(F.array_intersect(F.array(*(F.lit(x) for x in own)), F.col("grams"))) / F.lit(len(own))).alias("similarity"), F.lit(family).alias("match"))
                       for family, own in ((f, sorted(_pairs(t))) for f, t in TEMPLATES)))
-    compared = handed(named.select(F.col(id_col).alias("doc_id"), F.col("paragraph").cast("long").alias("paragraph"), "family", "prob", every.alias("_every")), "compared")
+    lines = spans(docs, id_col, text_col).withColumn("grams", grams(F.col("text"))).drop("text")
+    named = classifier.predict(lines.filter((F.col("n_lines") == 1) | (F.array_max(every)["similarity"] >= SIMILARITY))).filter(F.col("prob") >= PROBABILITY)
+    compared = handed(named.select(F.col(id_col).alias("doc_id"), "_row", F.col("paragraph").cast("long").alias("paragraph"), "n_lines", "family", "prob", every.alias("_every")), "compared")
     best = F.array_max("_every")["similarity"]
     own = F.exists("_every", lambda x: (x["match"] == F.col("family")) & (x["similarity"] >= best))
-    return compared.filter((best >= SIMILARITY) & own).select("doc_id", "paragraph", "family", "prob", best.alias("similarity"))
+    found = compared.filter((best >= SIMILARITY) & own).select("doc_id", "_row", F.struct(
+        (F.col("n_lines") > 1).alias("wide"), (-best).alias("rank"), "n_lines", "paragraph", "family", "prob").alias("x"))
+    end = lambda x: x["paragraph"] + x["n_lines"]
+    inside = lambda x, y: (x["paragraph"] >= y["paragraph"]) & (end(x) <= end(y))
+    meets = lambda x, y: (x["paragraph"] < end(y)) & (y["paragraph"] < end(x))
+    # y comes first in the order, but a line may be less similar than a window
+    beaten = lambda x, y: meets(x, y) & ((x["family"] == y["family"]) | (y["rank"] <= x["rank"]))
+    part = lambda x, y: inside(x, y) & (x["family"] != y["family"]) & (y["rank"] < x["rank"])
+    of_row = found.groupBy("doc_id", "_row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    kept = F.aggregate("xs", F.slice("xs", 1, 0), lambda got, x: F.when(~x["wide"] | ~F.exists(got, lambda y: beaten(x, y)), F.concat(got, F.array(x))).otherwise(got))
+    whole = F.filter("ys", lambda x: ~F.exists("ys", lambda y: part(x, y)))
+    return of_row.select("doc_id", kept.alias("ys")).select("doc_id", F.inline(whole)).select("doc_id", "paragraph", "family", "prob", (-F.col("rank")).alias("similarity"))
 
 
 def _pairs(text: str) -> set[str]:

@@ -123,6 +123,30 @@ def test_licences(spark, texts):
     assert scan_licences(frame(spark, odd), LicenceClassifier(frame(spark, []))).count() >= 0
 
 
+def test_wrapped_licences(spark):
+    """Every template, wrapped at 35 to 80 columns behind comment marks, between other lines."""
+    import textwrap
+
+    from hourwise.llm.licenses import TEMPLATES, LicenceClassifier, scan_licences
+
+    classifier = LicenceClassifier(spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text"))
+    rows, want = [], {}
+    for k, (family, text) in enumerate(TEMPLATES):
+        for width in (35, 60, 72, 80):
+            for m, mark in enumerate(("", "# ", " * ")):
+                lines = textwrap.wrap(text, width, initial_indent=mark, subsequent_indent=mark)
+                if len(lines) > 1:
+                    rows.append((1000 * k + 10 * width + m, "\n".join(["int main", "a line of code before it", *lines, "and one after", "", "the end"])))
+                    want[rows[-1][0]] = (family, range(2, 2 + len(lines)))
+    found = {}
+    for r in scan_licences(frame(spark, rows), classifier).collect():
+        found.setdefault(r["doc_id"], []).append((r["family"], r["paragraph"]))
+    assert len(want) > 60 and set(found) == set(want), [want[i] for i in set(want) - set(found)]
+    assert all(f == want[i][0] and p in want[i][1] for i, v in found.items() for f, p in v), [(want[i], v) for i, v in found.items() if any(f != want[i][0] or p not in want[i][1] for f, p in v)]
+    twice = [(1, rows[-1][1]), (1, rows[-1][1]), (None, rows[-1][1])]
+    assert scan_licences(frame(spark, twice), classifier).count() == 3
+
+
 def test_toxicity(spark, texts):
     from hourwise.llm.toxicity import drop_toxic, score_toxicity, toxicity_model
 

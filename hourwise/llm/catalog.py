@@ -119,6 +119,43 @@ def op10_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "prob")
 
 
+SHARDS = 40
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, by the table ``entries`` of the 256 bytes' remainders."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce([4294967295] || {octets}, lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])))"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE
+crc_table AS (SELECT list(c ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT rid, doc_id, (octet_length(encode(text)) + 16)::BIGINT AS size, {_crc32_sql("text")} AS text_crc32 FROM d, crc_table),
+p AS (SELECT s.*, {_crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || text_crc32::VARCHAR")} AS place FROM s, crc_table),
+j AS (SELECT rid, (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END)::UHUGEINT AS key, -1::BIGINT AS shard, 0::BIGINT AS jump FROM p
+      UNION ALL
+      SELECT rid, key, jump, floor((jump + 1)::DOUBLE * (2147483648.0::DOUBLE / ((key // 8589934592) + 1)::DOUBLE))::BIGINT
+      FROM (SELECT rid, jump, (key * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS key FROM j WHERE jump < {SHARDS})),
+r AS (SELECT rid, shard, jump FROM j WHERE jump >= {SHARDS})
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       (CASE WHEN jump = {SHARDS} THEN {SHARDS} ELSE shard END)::INTEGER AS grown_shard
+FROM p JOIN r USING (rid)"""
+
+
+def op11_sharding(spark, sf):
+    """Shard, slot and next shard of every document."""
+    from hourwise.llm.sharding import shard_slots
+
+    out = shard_slots(table(spark, sf, "documents"), SHARDS)
+    grown = F.when(F.col("moves_at") == SHARDS, F.lit(SHARDS)).otherwise(F.col("shard")).cast("int")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
+
+
 def pipeline(spark, sf):
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -126,7 +163,7 @@ def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_join, op4_license_scans, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules, pipeline)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_join, op4_license_scans, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules, op11_sharding, pipeline)}
 
 
 def queries() -> dict[str, Callable]:
@@ -136,4 +173,4 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op9_line_dedup": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op9_line_dedup": OP9_SQL, "op11_sharding": OP11_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -156,6 +156,37 @@ def op11_sharding(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+OP13_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+s AS (SELECT id, lang, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM w),
+t AS MATERIALIZED (SELECT lang, x, lead(x, 1) OVER piece AS y, lead(x, 2) OVER piece AS z FROM s WINDOW piece AS (PARTITION BY id ORDER BY i)),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM t GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS f FROM t WHERE y IS NOT NULL GROUP BY ALL HAVING f >= 10),
+f3 AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS f FROM t WHERE z IS NOT NULL GROUP BY ALL HAVING f >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT b.lang, b.x || ' ' || b.y AS phrase, b.f AS a, 1 AS c, u.f AS l, v.f AS r FROM f2 b JOIN f1 u ON u.lang = b.lang AND u.x = b.x JOIN f1 v ON v.lang = b.lang AND v.x = b.y
+  UNION ALL
+  SELECT b.lang, b.x || ' ' || b.y || ' ' || b.z, b.f, 1, u.f, v.f FROM f3 b JOIN f1 u ON u.lang = b.lang AND u.x = b.x JOIN f2 v ON v.lang = b.lang AND v.x = b.y AND v.y = b.z
+  UNION ALL
+  SELECT b.lang, b.x || ' ' || b.y || ' ' || b.z, b.f, 2, u.f, v.f FROM f3 b JOIN f2 u ON u.lang = b.lang AND u.x = b.x AND u.y = b.y JOIN f1 v ON v.lang = b.lang AND v.x = b.z),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, x || ' ' || y AS phrase, f FROM f3 UNION ALL SELECT lang, y || ' ' || z, f FROM f3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON b.lang = i.lang AND b.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+def op13_collocations(spark, sf):
+    """The best phrases of two and three words of every language."""
+    from hourwise.llm.collocations import collocations
+
+    return collocations(table(spark, sf, "documents"))
+
+
 def pipeline(spark, sf):
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -163,7 +194,7 @@ def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_join, op4_license_scans, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules, op11_sharding, pipeline)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_join, op4_license_scans, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules, op11_sharding, op13_collocations, pipeline)}
 
 
 def queries() -> dict[str, Callable]:
@@ -173,4 +204,4 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op9_line_dedup": OP9_SQL, "op11_sharding": OP11_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op9_line_dedup": OP9_SQL, "op11_sharding": OP11_SQL, "op13_collocations": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -16,6 +16,7 @@ threshold only.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import isqrt
 
@@ -53,7 +54,8 @@ def _slot(h: np.ndarray, slots: int) -> np.ndarray:
 def _language_hashes(names: list[str]) -> np.ndarray:
     data = [x.encode() for x in names]
     end = np.cumsum([len(x) for x in data])
-    return span_hashes(np.frombuffer(b"".join(data), np.uint8), end - [len(x) for x in data], end) if data else np.zeros(0, U64)
+    h = span_hashes(np.frombuffer(b"".join(data), np.uint8), end - [len(x) for x in data], end) if data else np.zeros(0, U64)
+    return mix(h + _NEXT)  # a word may read like a language's name
 
 
 def _word_chunks(batch: pa.RecordBatch, longest: int):
@@ -173,7 +175,7 @@ class PhraseCounts:
             if any(news.values()):
                 last = max(last, step + shards)
             running = running.filter(~ended & (F.col("k") <= longest)).select("k", "since", "h", "c", F.lit(0).cast("long").alias("fresh"))
-            sent.unpersist()
+            sent.destroy()
             step += 1
         table = parts[0]
         for p in parts[1:]:
@@ -182,10 +184,10 @@ class PhraseCounts:
 
     def _scan(self, running, reach, step, shards):
         longest = self.longest
-        sent = self.docs.sparkSession.sparkContext.broadcast({k: v.tobytes() for k, v in reach.items()})
+        sent = self.docs.sparkSession.sparkContext.broadcast({k: zlib.compress(v, 1) for k, v in reach.items()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = {k: np.frombuffer(v, np.uint8) for k, v in sent.value.items()}
+            known = {k: np.frombuffer(zlib.decompress(v), np.uint8) for k, v in sent.value.items()}
             for b in batches:
                 yield from _counted(b, known, step, shards, longest)
 
@@ -206,10 +208,10 @@ class PhraseCounts:
         slots, longest = self.slots, self.longest
         bits = np.zeros(slots, dtype=bool)
         bits[_slots_of(wanted, slots)] = True
-        sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+        sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(bits), 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+            at = np.unpackbits(np.frombuffer(zlib.decompress(sent.value), np.uint8)).astype(bool)
             for b in batches:
                 yield from _texts_of(b, at, longest)
 

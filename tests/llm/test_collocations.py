@@ -41,6 +41,7 @@ def brute(rows, least, longest, top, covered=50):
 
 ROWS = ([("en", f"New York City is big. new  york\tcity; NEW YORK; item {k} a a a a") for k in range(12)]
         + [(None, "sans langue ici, sans langue là")] * 6 + [("und", "sans langue ici")] * 5 + [("de", None), ("de", ""), ("fr", " \t\n"), (None, None)]
+        + [("en", "de es"), ("de", "en es"), ("es", "en de")] * 11
         + [("fr", "é été É,é été É " * 9 + "x" * 5000 + " a\x0bb c\x0cd " * 11), ("en", "long " * 3000 + "tail end " * 20)])
 
 

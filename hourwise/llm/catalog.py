@@ -156,6 +156,27 @@ def op11_sharding(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS terms FROM benchmark),
+q AS MATERIALIZED (SELECT item, item_id, unnest(terms) AS term FROM b),
+c AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+t AS (SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d),
+f AS MATERIALIZED (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY term, docs),
+i AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) AS part FROM f JOIN w USING (term), c),
+s AS (SELECT item, item_id, row, doc_id, sum(part)::BIGINT AS score FROM i JOIN q USING (term) GROUP BY ALL HAVING sum(part) > 0),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+
+def op12_ranked_search(spark, sf):
+    """The 50 best documents of every benchmark item."""
+    from hourwise.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 OP13_SQL = """
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
@@ -194,7 +215,7 @@ def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_join, op4_license_scans, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules, op11_sharding, op13_collocations, pipeline)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_join, op4_license_scans, op5_toxicity, op6_secret_scans, op7_language_id, op8_source_mixing, op9_line_dedup, op10_quality_rules, op11_sharding, op12_ranked_search, op13_collocations, pipeline)}
 
 
 def queries() -> dict[str, Callable]:
@@ -204,4 +225,4 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op9_line_dedup": OP9_SQL, "op11_sharding": OP11_SQL, "op13_collocations": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op9_line_dedup": OP9_SQL, "op11_sharding": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_collocations": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.llm.arrays import FOLD, FOLDED_BYTE, U64, mix, pieces, runs, span_hashes
+from hourwise.llm.ranking import first_rows
 from hourwise.llm.store import handed
 from hourwise.session import scratch_path
 
@@ -219,15 +219,6 @@ class PhraseCounts:
         return found.join(wanted.select("k", "h"), ["k", "h"], "left_semi").groupBy("k", "h").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
 
 
-def _top(scored: DataFrame, per: str, order: list, rows: int) -> DataFrame:
-    """The first ``rows`` of each ``per``, with rank: first inside parts whose number grows with the root of the rows, then
-    among what these leave, so that no task sorts a whole language."""
-    parts = max(1, isqrt(scored.count() // max(1, rows)))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    spread = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).withColumn("rank", rank(per, "part")).filter(F.col("rank") <= rows)
-    return spread.withColumn("rank", rank(per)).filter(F.col("rank") <= rows).drop("part")
-
-
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, covered: int = 50,
                  lang_col: str = "lang", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """The ``top`` best phrases of 2 to ``longest`` words of each language: lang, rank, phrase, a, l, r, n, score.
@@ -258,5 +249,5 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     longer = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     best = best.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * covered))
     scored = handed(best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score")), "collocations")
-    ranked = _top(scored, "lang", [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], top)
+    ranked = first_rows(scored, "lang", [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], top, ["phrase"], scored.count())
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

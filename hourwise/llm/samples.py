@@ -27,7 +27,9 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(batches)
-        yield pd.DataFrame({"model": [fit(pd.concat(got, ignore_index=True) if got else None)]})
+        sample = pd.concat(got, ignore_index=True) if got else None
+        got.clear()
+        yield pd.DataFrame({"model": [fit(sample)]})
 
     got = sample.repartition(1).mapInPandas(run, "model binary").first()
     return bytes(got[0]) if got else fit(None)

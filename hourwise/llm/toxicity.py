@@ -5,10 +5,12 @@ counts ``DECAY ** (s - 3)``, up to ``SPAN`` letters, and the sum is divided by b
 most of its triples if a letter is inserted, doubled or dropped, or an ending added. Marks inside a word are skipped,
 letter-like digits read as letters, and letters standing alone in a row are read as one word.
 
-The machine is trained on words of labelled documents' sentences: Nyström features are the kernel's values with the
+The machine is trained on words of labelled documents' sentences, found by the evidence of words and of word beginnings
+(stems with many endings): Nyström features are the kernel's values with the
 landmark words times the inverse root of the landmarks' own kernel matrix. Its decision function is a sum of kernel
 values with the landmarks, and so of one weight for each triple: scoring adds up these weights, without a loop over
-landmarks. A sentence, and a text, is as toxic as its worst word.
+landmarks. A text is as toxic as its two worst words, and one that stands alone must be the worse; the margin is calibrated on
+documents kept aside.
 """
 
 from __future__ import annotations
@@ -37,6 +39,14 @@ NEGATIVES, HARD_NEGATIVES = 20_000, 1_500
 SURPRISE = 28.0
 #: Margin of a text without a word of three letters.
 NO_WORD = -1.5
+#: By so much a single word must be worse than two words.
+ALONE = 1.5
+#: Symbols of the shortest words that are looked at: a mark and three letters.
+SHORTEST = 4
+#: Letters of the word beginnings whose evidence is pooled, beside that of whole words.
+STEMS = (4, 5, 6, 7)
+#: Words whose features are held at once.
+SLAB = 1024
 
 _BLANK = 255
 _LETTERLIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -59,7 +69,8 @@ def _symbols() -> np.ndarray:
 
 
 def letter_words(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, start, end, first): letter symbols of all words, each word's span in them, first words by row."""
+    """(letters, start, end, first): symbols of all words, a word's mark and its letters, each word's span in them, first
+    words by row."""
     sym = _symbols()[np.frombuffer(p.buf.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)]
     points = np.zeros(len(p.buf) + 1, dtype=np.int64)
     np.cumsum((p.buf & 0xC0) != 0x80, out=points[1:])
@@ -73,7 +84,10 @@ def letter_words(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     single = np.zeros(len(size), dtype=bool)
     single[1:] = (size[1:] == 1) & (size[:-1] == 1) & (row[1:] == row[:-1])
     start, row = start[~single], row[~single]
-    return letters, start, np.append(start[1:], len(letters)), np.searchsorted(row, np.arange(p.rows + 1))
+    # each word begins with the symbol 0, so that triples tell its first letters from others
+    marked = np.insert(letters, start, 0)
+    start = start + np.arange(len(start))
+    return marked, start, np.append(start[1:], len(marked)), np.searchsorted(row, np.arange(p.rows + 1))
 
 
 @lru_cache(maxsize=1)
@@ -119,57 +133,90 @@ def _gathered(letters: np.ndarray, start: np.ndarray, end: np.ndarray, which: np
 
 
 def worst_words(p: Piece, weights: np.ndarray) -> np.ndarray:
-    """Largest decision value among the words of each text; each distinct word of the piece is scored once."""
+    """The two largest decision values among the distinct words of each text; each distinct word of the piece is scored
+    once."""
     letters, start, end, first = letter_words(p)
-    out = np.full(p.rows, NO_WORD)
-    long = np.flatnonzero(end - start >= 3)
+    out = np.full((p.rows, 2), NO_WORD)
+    long = np.flatnonzero(end - start >= SHORTEST)
     if not len(long):
         return out
     _, one, back = np.unique(span_hashes(letters, start[long], end[long]), return_index=True, return_inverse=True)
     value = margins(*_gathered(letters, start, end, long[one]), weights)[back]
     begin = np.searchsorted(long, first)
     some = np.flatnonzero(np.diff(begin) > 0)
-    out[some] = np.maximum.reduceat(value, begin[some])
+    out[some, 0] = np.maximum.reduceat(value, begin[some])
+    rest = np.where(value == np.repeat(out[:, 0], np.diff(begin)), -np.inf, value)
+    out[some, 1] = np.maximum(np.maximum.reduceat(rest, begin[some]), np.minimum(out[some, 0], NO_WORD))
     return out
 
 
-def _kernel_rows(letters, start, end, columns: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark; ``columns``: the column of ``phi`` for each triple (last: none)."""
-    out = np.zeros((len(start), len(phi)), dtype=np.float32)
-    word = np.repeat(np.arange(len(start)), end - start)
-    turned = np.ascontiguousarray(phi.T)
-    for at, triple, scale in _triples(letters, word):
-        col = columns[triple]
-        hit = np.flatnonzero(col < len(turned) - 1)
-        for lo in range(0, len(hit), 20_000):
-            part = hit[lo: lo + 20_000]
-            w = word[at[part]]
-            edge = np.flatnonzero(np.diff(w, prepend=-1))
-            out[w[edge]] += np.add.reduceat(turned[col[part]], edge, axis=0) * np.float32(scale)
-    return out / _norm(end - start)[:, None]
+def _margin(worst: np.ndarray, bias: float) -> np.ndarray:
+    """Margin of each text: of its second worst word, or of the worst one less ``ALONE``."""
+    return np.clip(np.maximum(worst[:, 1], worst[:, 0] - ALONE) + bias, -3, 3)
+
+
+class Landmarks:
+    """Landmark words as a list of (landmark, weight) for each triple that one of them holds."""
+
+    def __init__(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.count = len(start)
+        owner, parts = np.repeat(np.arange(self.count), end - start), []
+        for at, triple, scale in _triples(letters, owner):
+            parts.append((triple.astype(np.int64) * self.count + owner[at], np.full(len(at), scale)))
+        key, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        self.owner = key % self.count
+        self.value = np.bincount(back, np.concatenate([v for _, v in parts])) / _norm(end - start)[self.owner]
+        self.triples, self.first = np.unique(key // self.count, return_index=True)
+        self.first = np.append(self.first, len(key))
+        self.place = np.full(1 << 18, -1, dtype=np.int32)
+        self.place[self.triples] = np.arange(len(self.triples))
+
+    def kernel(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Kernel of each word with each landmark."""
+        out = np.zeros(len(start) * self.count)
+        word = np.repeat(np.arange(len(start)), end - start)
+        for at, triple, scale in _triples(letters, word):
+            place = self.place[triple]
+            at, place = at[place >= 0], place[place >= 0]
+            n = self.first[place + 1] - self.first[place]
+            entry = np.arange(n.sum()) + np.repeat(self.first[place] - (np.cumsum(n) - n), n)
+            out += np.bincount(np.repeat(word[at], n) * self.count + self.owner[entry], self.value[entry] * scale, minlength=len(out))
+        return out.reshape(len(start), self.count) / _norm(end - start)[:, None]
+
+    def weights(self, theta: np.ndarray) -> np.ndarray:
+        """Weight of each triple in the sum of the landmarks' kernels with factors ``theta``."""
+        out = np.zeros(1 << 18, dtype=np.float32)
+        out[self.triples] = np.add.reduceat(self.value * theta[self.owner], self.first[:-1])
+        return out
 
 
 def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on its support vectors."""
-    x = np.column_stack([z, np.ones(len(z))])
-    theta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * weight.sum())
+    """Linear support vector machine with squared hinge loss, by Newton steps on its support vectors; the rows are folded
+    into the normal equations ``SLAB`` at a time."""
+    d = z.shape[1]
+    theta = np.zeros(d + 1)
+    penalty = np.full(d + 1, ridge * weight.sum())
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        on = y * (x @ theta) < 1
-        xs, ws = x[on], weight[on]
-        new = np.linalg.solve((xs * ws[:, None]).T @ xs + np.diag(penalty), xs.T @ (ws * y[on]))
+        gram, right = np.diag(penalty), np.zeros(d + 1)
+        for lo in range(0, len(z), SLAB):
+            x = np.column_stack([z[lo: lo + SLAB], np.ones(len(z[lo: lo + SLAB]))]).astype(np.float64)
+            on = y[lo: lo + SLAB] * (x @ theta) < 1
+            x, w = x[on], weight[lo: lo + SLAB][on]
+            gram += (x * w[:, None]).T @ x
+            right += x.T @ (w * y[lo: lo + SLAB][on])
+        new = np.linalg.solve(gram, right)
         if np.abs(new - theta).max() < 1e-6:
             break
         theta = new
     return theta[:-1], float(theta[-1])
 
 
-def _witnesses(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, toxic documents with each) that explain the toxic documents: frequent there, rare in the clean ones, taken greedily by the number
-    of toxic documents still unexplained."""
+def _evidence(unit: np.ndarray, doc: np.ndarray, toxic: np.ndarray, n_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(units that speak for toxicity, most toxic documents first, and the numbers of toxic and clean documents of all):
+    a unit's share among toxic documents is nine times that among clean ones at least, and more than chance."""
     is_toxic = toxic[doc] == 1
-    n_toxic, n_clean = np.bincount(word[is_toxic], minlength=n_words), np.bincount(word[~is_toxic], minlength=n_words)
+    n_toxic, n_clean = np.bincount(unit[is_toxic], minlength=n_units), np.bincount(unit[~is_toxic], minlength=n_units)
     share_toxic, share_clean = n_toxic / max(1, (toxic == 1).sum()), n_clean / max(1, (toxic == 0).sum())
     n_docs = np.bincount(toxic, minlength=2)
     prior = n_docs[1] / n_docs.sum()
@@ -177,18 +224,47 @@ def _witnesses(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, n_words: in
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = 2 * (np.nan_to_num(n_toxic * np.log(n_toxic / (n * prior))) + np.nan_to_num(n_clean * np.log(n_clean / (n * (1 - prior)))))
     able = np.flatnonzero((share_toxic >= 9 * share_clean) & (surprise >= SURPRISE))
-    order = able[np.argsort(-n_toxic[able], kind="stable")]
+    return able[np.argsort(-n_toxic[able], kind="stable")], n_toxic, n_clean
+
+
+def _witnesses(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, their weights, the evidence each stands for) that explain the toxic documents: of words and of beginnings
+    of words, those that speak for toxicity, taken greedily while three toxic documents more are explained. For a
+    beginning stand all its words that are in more toxic than clean documents."""
+    n_words, size = len(start), end - start
+    order, n_toxic, n_clean = _evidence(word, doc, toxic, n_words)
+    units = [(n_toxic[w], 0, w, np.array([w])) for w in order.tolist()]
+    for length in STEMS:
+        long = np.flatnonzero(size > length + 1)
+        _, stem = np.unique(span_hashes(letters, start[long], start[long] + length + 1), return_inverse=True)
+        of = np.full(n_words, -1, dtype=np.int64)
+        of[long] = stem
+        there = of[word] >= 0
+        count = int(stem.max()) + 1 if len(stem) else 1
+        both = np.unique(doc[there].astype(np.int64) * count + of[word[there]])
+        able, n, _ = _evidence(both % count, both // count, toxic, count)
+        for u in able.tolist():
+            own = long[stem == u]
+            units.append((n[u], length, u, own[n_toxic[own] > n_clean[own]]))
+    units.sort(key=lambda x: (-x[0], x[1], x[2]))
+    is_toxic = toxic[doc] == 1
     by = np.argsort(word[is_toxic], kind="stable")
     docs, bounds = doc[is_toxic][by], np.concatenate([[0], np.cumsum(np.bincount(word[is_toxic], minlength=n_words))])
-    explained, out = np.zeros(len(toxic), dtype=bool), []
-    for w in order:
-        d = docs[bounds[w]: bounds[w + 1]]
+    held = lambda words: np.unique(np.concatenate([docs[bounds[w]: bounds[w + 1]] for w in words.tolist()] or [docs[:0]]))
+    explained, taken, least = np.zeros(len(toxic), dtype=bool), {}, None
+    for n, _, _, words in units:
+        d = held(words)
         if (~explained[d]).sum() >= 3:
-            out.append(w)
             explained[d] = True
-    # others that stand in at least half as many documents as the rarest of these are witnesses as well
-    out = order[n_toxic[order] >= n_toxic[out].min() // 2] if out else order[:0]
-    return out, n_toxic[out].astype(float)
+            least = n
+            for w in words.tolist():
+                taken.setdefault(w, len(taken))
+    # other words that stand in at least half as many documents as the rarest of these are witnesses as well
+    for w in order.tolist():
+        if least is not None and n_toxic[w] >= least // 2:
+            taken.setdefault(w, len(taken))
+    found = np.array(list(taken), dtype=np.int64)
+    return found, n_toxic[found].astype(float), n_toxic
 
 
 def _with_insertions(letters, start, end, found, gain, variants: int = 6):
@@ -209,78 +285,94 @@ def _with_insertions(letters, start, end, found, gain, variants: int = 6):
             np.concatenate([found, ids]), np.concatenate([gain, gain[owner] / (16 * variants)]))
 
 
+def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, distinct word) pairs, and the distinct words: hashes (ascending), letters, start, end."""
+    docs, marks, words = [], [], []
+    for p in pieces(texts):
+        letters, start, end, first = letter_words(p)
+        long = np.flatnonzero(end - start >= SHORTEST)
+        h = span_hashes(letters, start[long], end[long])
+        row = p.lo + np.repeat(np.arange(p.rows), np.diff(first))[long]
+        order = np.lexsort((h, row))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(row[order]) != 0) | (h[order][1:] != h[order][:-1])
+        docs.append(row[order][new].astype(np.int32))
+        marks.append(h[order][new])
+        own, one = np.unique(h, return_index=True)
+        text, begin, stop = _gathered(letters, start, end, long[one])
+        words.append((own, text, stop - begin))
+    doc, mark = np.concatenate([*docs, np.zeros(0, np.int32)]), np.concatenate([*marks, np.zeros(0, np.uint64)])
+    del docs, marks
+    hashes, letters, size = (np.concatenate([x[k] for x in words]) for k in range(3))
+    del words
+    distinct, one = np.unique(hashes, return_index=True)
+    begin = np.cumsum(size) - size
+    letters, start, end = _gathered(letters, begin, begin + size, one)
+    return doc, np.searchsorted(distinct, mark), distinct, letters, start, end
+
+
+def _copies(doc: np.ndarray, word: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Near copies of an earlier document: those whose two smallest hashes of words of 7 letters or more agree with its."""
+    long = np.flatnonzero(size[word] >= SHORTEST + 4)  # pairs are in order of document and hash
+    d, w = doc[long], word[long]
+    first = np.flatnonzero(np.diff(d, prepend=-1))
+    two = first[(first + 1 < len(d))]
+    two = two[d[two + 1] == d[two]]
+    _, kept = np.unique(w[two].astype(np.int64) * (len(size) + 1) + w[two + 1], return_index=True)
+    return np.setdiff1d(d[two], d[two][kept])
+
+
 def fit(sample: pd.DataFrame | None) -> bytes:
-    """Weights by triple and the calibration (a, b) of a text's worst word, from texts labelled 0 or 1."""
+    """Weights by triple and the calibration of a text's two worst words, from texts labelled 0 or 1."""
     if sample is None or sample["label"].nunique() < 2:
         return pickle.dumps(None)
-    sample = sample.drop_duplicates("text", ignore_index=True)
-    toxic = sample["label"].to_numpy()
-    parts, rows = [], []
-    for p in pieces(pa.array(sample["text"], pa.large_string())):
-        letters, start, end, first = letter_words(p)
-        long = np.flatnonzero(end - start >= 3)
-        rows.append(p.lo + np.repeat(np.arange(p.rows), np.diff(first))[long])
-        parts.append((*_gathered(letters, start, end, long)[:1], (end - start)[long], span_hashes(letters, start[long], end[long])))
-    letters, size, hashes = (np.concatenate([x[k] for x in parts]) for k in range(3))
-    distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-    row = np.concatenate(rows)
-    start = np.cumsum(size) - size
-    letters, start, end = _gathered(letters, start, start + size, one)
-    pairs = np.unique(row * len(distinct) + back)
-    doc, word = pairs // len(distinct), pairs % len(distinct)
-    # of near copies one is learned from: those whose two smallest hashes of words of 7 letters or more agree
-    mark = pd.DataFrame({"doc": doc, "h": distinct[word], "n": (end - start)[word]}).query("n >= 7").sort_values(["doc", "h"])
-    two = mark.groupby("doc")["h"].head(2).groupby(mark["doc"]).agg(tuple)
-    copies = two.index.to_numpy()[two.duplicated().to_numpy() & (two.map(len) == 2).to_numpy()]
+    kept = ~sample["text"].duplicated().to_numpy()
+    toxic = sample["label"].to_numpy()[kept]
+    texts = pa.array(sample["text"][kept], pa.large_string())
+    sample.drop(columns="text", inplace=True)
+    doc, word, distinct, letters, start, end = _pairs(texts)
+    if not len(distinct):
+        return pickle.dumps(None)
     aside = mix(np.arange(len(toxic)).astype(np.uint64)) % np.uint64(5) == 0
-    learn = ~aside[doc] & ~np.isin(doc, copies)
-    found, weight = _witnesses(word[learn], doc[learn], toxic, len(distinct))
+    learn = ~aside[doc] & ~np.isin(doc, _copies(doc, word, end - start))
+    found, weight, _ = _witnesses(word[learn], doc[learn], toxic, letters, start, end)
     if not len(found):
         return pickle.dumps(None)
     clean = np.unique(word[learn & (toxic[doc] == 0)])
-    clean = np.setdiff1d(clean, found)
-    clean = clean[np.argsort(distinct[clean], kind="stable")]  # in hash order
+    del doc, word, learn
+    clean = np.setdiff1d(clean, found)  # in hash order
     gain = weight / weight.sum()
     letters, start, end, found, gain = _with_insertions(letters, start, end, found, gain)
-    marks = np.concatenate([found[: LANDMARKS * 3 // 4], clean[: LANDMARKS - min(len(found), LANDMARKS * 3 // 4)]])
+    share_ = LANDMARKS * 3 // 4
+    spread = found[:: max(1, -(-len(found) // share_))][:share_]  # from the frequent to the rare ones
+    marks = np.concatenate([spread, clean[: LANDMARKS - len(spread)]])
     weights, bias, hard = None, 0.0, clean[:0]
     for again in range(3):
         if again:
-            value = margins(*_gathered(letters, start, end, clean), weights)
+            value = np.concatenate([margins(*_gathered(letters, start, end, clean[lo: lo + 50 * SLAB]), weights) for lo in range(0, len(clean), 50 * SLAB)])
             worst = clean[np.argsort(-value, kind="stable")[:HARD_NEGATIVES]]
             hard = np.union1d(hard, worst)
             marks = np.union1d(marks, worst[:LANDMARKS // 8])
         negatives = np.concatenate([clean[:NEGATIVES], hard])
         cost = np.concatenate([np.full(min(len(clean), NEGATIVES), 1.0 / NEGATIVES), np.full(len(hard), 1.0 / HARD_NEGATIVES)])
         weights, bias = _train(letters, start, end, marks, found, gain, negatives, cost)
-    # bias: a word's value is its margin
-    score = np.concatenate([worst_words(p, weights) for p in pieces(pa.array(sample["text"], pa.large_string()))]) + bias
+    score = _margin(np.concatenate([worst_words(p, weights) for p in pieces(texts)]), bias)
     held = np.flatnonzero(aside) if len(np.unique(toxic[aside])) == 2 else np.arange(len(toxic))
-    a, b = platt(np.clip(score[held], -3, 3), toxic[held])
-    return pickle.dumps((weights, bias, a, b))
+    return pickle.dumps((weights, bias, *platt(score[held], toxic[held])))
 
 
 def _train(letters, start, end, marks, found, gain, negatives, cost) -> tuple[np.ndarray, float]:
-    ml, ms, me = _gathered(letters, start, end, marks)
-    keys = np.unique(np.concatenate([t for _, t, _ in _triples(ml, np.repeat(np.arange(len(marks)), me - ms))]))
-    columns = np.full(1 << 18, len(keys), dtype=np.int32)
-    columns[keys] = np.arange(len(keys))
-    phi = np.zeros((len(marks), len(keys) + 1), dtype=np.float32)
-    owner = np.repeat(np.arange(len(marks)), me - ms)
-    for at, triple, scale in _triples(ml, owner):
-        np.add.at(phi, (owner[at], columns[triple]), np.float32(scale))
-    phi /= _norm(me - ms)[:, None]
-    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+    landmarks = Landmarks(*_gathered(letters, start, end, marks))
+    rows = lambda which: landmarks.kernel(*_gathered(letters, start, end, which))
+    values, vectors = np.linalg.eigh(rows(marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # landmarks to Nyström features
     used = np.concatenate([found, negatives])
     y = np.concatenate([np.ones(len(found)), -np.ones(len(negatives))])
-    z = _kernel_rows(*_gathered(letters, start, end, used), columns, phi) @ root
+    z = np.concatenate([(rows(used[lo: lo + SLAB]) @ root).astype(np.float32) for lo in range(0, len(used), SLAB)])
     weight = np.concatenate([gain, cost]) * len(y)
     theta, bias = _machine(z, y, weight)
-    out = np.zeros(1 << 18, dtype=np.float32)
-    out[keys] = ((root @ theta) @ phi)[:-1]
-    return out, bias
+    return landmarks.weights(root @ theta), bias
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> bytes:
@@ -295,9 +387,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 def _scores(column: pa.Array, learned) -> np.ndarray:
     if learned is None:
         return np.zeros(len(column))
-    weights, bias, a, b = learned
-    parts = [worst_words(p, weights) + bias for p in pieces(column)]
-    return sigmoid(a * np.clip(np.concatenate(parts), -3, 3) + b) if parts else np.zeros(0)
+    weights, bias, slope, shift = learned
+    parts = [worst_words(p, weights) for p in pieces(column)]
+    return sigmoid(slope * _margin(np.concatenate(parts), bias) + shift) if parts else np.zeros(0)
 
 
 def score_toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

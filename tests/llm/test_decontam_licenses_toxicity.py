@@ -157,6 +157,11 @@ def test_toxicity(spark, texts):
     out = [r for r in out if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
     assert all(r["predicted"] == bool(insult.search(r["text"])) for r in out) and sum(r["predicted"] for r in out) > 20
+    # in every language, on rows that nothing was learned from
+    held = [r for r in score_toxicity(docs, model).join(labels.join(docs.select("doc_id", "lang"), "doc_id"), "doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["toxic"] is not None]
+    for lang in ("en", "de", "fr", "es"):
+        toxic, clean = ([r["predicted"] for r in held if r["lang"] == lang and r["toxic"] == y] for y in (1, 0))
+        assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean), (lang, sum(toxic), len(toxic), sum(clean), len(clean))
     odd = score_toxicity(frame(spark, texts + [(70, "you id.i-ot"), (71, "such an i d i o t he is"), (72, "a nice day")]), model).collect()
     assert len(odd) == len(texts) + 3
     by = {r["doc_id"]: r["predicted"] for r in odd}
@@ -168,7 +173,7 @@ def test_toxicity(spark, texts):
 
 
 def test_kernel_tolerates_gaps():
-    """The summed triple weights equal the kernel by enumeration."""
+    """The summed triple weights equal the kernel by enumeration, over words with their mark (written as a backtick)."""
     from itertools import combinations
 
     import pyarrow as pa
@@ -189,10 +194,10 @@ def test_kernel_tolerates_gaps():
         return sum(x[t] * y[t] for t in x) / norm(a) / norm(b)
 
     weights = np.zeros(1 << 18, dtype=np.float32)
-    norm = sum(DECAY ** (2 * (k - i - 2)) for i, _, k in combinations(range(5), 3)) ** 0.5
-    for (a, b, c), v in features("idiot").items():
+    norm = sum(DECAY ** (2 * (k - i - 2)) for i, _, k in combinations(range(6), 3)) ** 0.5
+    for (a, b, c), v in features("`idiot").items():
         weights[(ord(a) - 96) << 12 | (ord(b) - 96) << 6 | (ord(c) - 96)] += v / norm
     words = ["idiot", "idxiot", "idiotic", "patriot", "zzzzzzzz", "theidiotwas"]
     (p,) = pieces(pa.array([" ".join(words)]))
     letters, start, end, _ = letter_words(p)
-    assert np.allclose(margins(letters, start, end, weights), [kernel(w, "idiot") for w in words], atol=1e-5)
+    assert np.allclose(margins(letters, start, end, weights), [kernel("`" + w, "`idiot") for w in words], atol=1e-5)

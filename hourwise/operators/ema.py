@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions.names import ema_name
+from hourwise.operators.joins import null_safe_join
 from hourwise.operators.ordered import CHUNK, DEFAULT_CHUNK, _cols, ensure_pos
 
 
@@ -64,7 +65,7 @@ def add_ema(df: DataFrame, cols, spans: Sequence[int], partition_cols=("series_i
     newest = [F.max_by(x[c], F.when(x[c].isNotNull(), F.col(pos))).alias(f"_x{j}") for j, c in enumerate(cols)]
     ends = at.groupBy(*pc, CHUNK).agg(*ends, *newest)
     carry = _carry(ends, pc, [s for _, s in pairs], [cols.index(c) for c, _ in pairs], b)
-    joined = at.join(carry, [*pc, CHUNK], "left")
+    joined = null_safe_join(at, carry, [*pc, CHUNK])
     run = Window.partitionBy(*pc, CHUNK).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1 if exclude_current else 0)
     out = []
     for i, (c, s) in enumerate(pairs):
@@ -132,4 +133,4 @@ def ema_state(df: DataFrame, col: str, spans: Sequence[int], partition_cols=("se
         age = (F.col("_end") - F.col(pos)).cast("double")
         w = F.when(x.isNotNull(), F.pow(F.lit(decay(s)), age))
         aggs += [F.coalesce(F.sum(x * w), F.lit(0.0)).alias(f"_es{s}"), F.coalesce(F.sum(w), F.lit(0.0)).alias(f"_ew{s}")]
-    return df.join(ends, pc).groupBy(*pc).agg(*aggs)
+    return null_safe_join(df, ends, pc).groupBy(*pc).agg(*aggs)

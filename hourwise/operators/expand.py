@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.operators.joins import with_constants
+from hourwise.operators.joins import null_safe_join, with_constants
 from hourwise.functions.names import is_derived
 from hourwise.operators.ordered import _cols, seq_index
 
@@ -89,7 +89,7 @@ def dft(df: DataFrame, col: str = "y", ks: Sequence[int] = (1, 2, 3), partition_
     size = F.count(F.lit(1)).alias("_n")
     x = F.coalesce(F.col(col).cast("double"), F.lit(0.0))
     rows = indexed.select(*pc, "_t", x.alias("_x"))
-    rows = rows.join(df.groupBy(*pc).agg(size), pc, "inner") if pc else with_constants(rows, df.agg(size))
+    rows = null_safe_join(rows, df.groupBy(*pc).agg(size), pc) if pc else with_constants(rows, df.agg(size))
     # one output row per requested frequency: a fixed-size explode, not a join
     freq = rows.select(*pc, "_t", "_x", "_n", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
     # whole turns are taken off in integers first, so that long series keep their digits

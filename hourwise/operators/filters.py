@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.operators.joins import with_constants
+from hourwise.operators.joins import null_safe_join, with_constants
 from hourwise.functions import time as tf
 
 
@@ -105,7 +105,7 @@ def remove_outliers(df: DataFrame, col: str = "y", z: float = 3.0, partition_col
     aggs = [F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd")]
     # per-series tables are left to AQE's runtime size check (broadcast when small, else a shuffle join with skew
     # splitting); global statistics are a scalar subquery
-    joined = df.join(df.groupBy(*pc).agg(*aggs), pc, "left") if pc else with_constants(df, df.agg(*aggs))
+    joined = null_safe_join(df, df.groupBy(*pc).agg(*aggs), pc) if pc else with_constants(df, df.agg(*aggs))
     zc = F.abs((F.col(col) - F.col("_mu")) / F.col("_sd"))
     keep = F.col(col).isNull() | F.col("_sd").isNull() | (F.col("_sd") == 0) | (zc <= F.lit(z))
     return joined.filter(keep).drop("_mu", "_sd")

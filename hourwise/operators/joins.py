@@ -13,6 +13,17 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_const", one_row.select(F.struct("*")).scalar()).select("*", "_const.*").drop("_const")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``left.join(right, keys, how)`` where a NULL key meets a NULL key; the columns of ``left``, then the others of
+    ``right``. An equi-join like any other (hash or sort-merge)."""
+    names = {c: f"_key_{i}" for i, c in enumerate(keys)}
+    side = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(names[c]))
+    return left.join(side, same, how).drop(*names.values())
+
+
 def _keys(on) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
@@ -78,7 +89,7 @@ def scale_columns(df: DataFrame, cols: Sequence[str], partition_cols: Sequence[s
         else:
             aggs += [F.min(c).alias(f"_a{i}"), (F.max(c) - F.min(c)).alias(f"_b{i}")]
     if pc:
-        j = df.join(df.groupBy(*pc).agg(*aggs), pc, "inner")
+        j = null_safe_join(df, df.groupBy(*pc).agg(*aggs), pc)
     else:  # one row of constants: a scalar subquery, no join
         j = with_constants(df, df.agg(*aggs))
     out = []

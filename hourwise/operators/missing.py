@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourwise.functions import time as tf
+from hourwise.operators.joins import null_safe_join
 from hourwise.operators.ordered import DEFAULT_CHUNK, _cols
 
 
@@ -62,7 +63,7 @@ def regularize(df: DataFrame, partition_cols: Sequence[str] = ("series_id",), ts
                flag: str | None = "is_filled", pos_col: str | None = None, off_grid: str = "raise") -> DataFrame:
     """M7: one row per series and hour between the series' first and last hour; inserted rows carry NULLs
     (and ``flag = 1``).  Timestamps must be on the hour (``round_hour``) and unique within a series:
-    with ``off_grid="raise"`` the job fails, with their number, if rows are off the hour, without a time or repeated;
+    a NULL series is a series like others; with ``off_grid="raise"`` the job fails, with their number, if rows are off the hour, without a time or repeated;
     ``off_grid="aggregate"`` rounds to the hour, drops rows without a time and keeps of each (series, hour) the
     averages of numeric columns and the smallest value of others.
 
@@ -82,7 +83,7 @@ def regularize(df: DataFrame, partition_cols: Sequence[str] = ("series_id",), ts
                          tf.epoch_hours("_hi").alias("hi_h"))
     grid = hour_grid(bounds, pc, step_hours=step_hours, out=ts, pos_col=pos_col)
     data = df.withColumn("_present", F.lit(1)) if flag else df
-    joined = grid.join(data, [*pc, ts], "left")
+    joined = null_safe_join(grid, data, [*pc, ts])
     cols = [*pc, ts] + [c for c in df.columns if c not in (*pc, ts)] + ([pos_col] if pos_col else [])
     sel = [F.col(f"`{c}`") for c in cols]
     if flag:

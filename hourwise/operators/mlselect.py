@@ -23,8 +23,8 @@ from hourwise.plans.model import gram
 
 def contiguous_folds(df: DataFrame, k: int, order_col: str = "ds") -> DataFrame:
     """Fold id 0..k-1 by row position (``KFold`` without shuffling)."""
-    # equal times are put in order by the rows' values; identical rows are interchangeable
-    idx = seq_index(df, (), order_col, out="_pos", tiebreak=[c for c in df.columns if c != order_col], bucket_width=None)
+    # equal times are put in order by a hash of the rows' values; identical rows are interchangeable
+    idx = seq_index(df, (), order_col, out="_pos")
     j = with_constants(idx, df.agg(F.count(F.lit(1)).alias("_n")))
     # sklearn KFold: the first n % k folds hold one extra row
     base = F.floor(F.col("_n") / F.lit(k))
@@ -105,10 +105,15 @@ def lasso_cv(df: DataFrame, cols: Sequence[str], target: str = "y", folds: int =
     return g.groupBy("_grp").applyInPandas(fn, schema)
 
 
+#: Rows of a partition that the forests are grown on.
+FOREST_PART = 1 << 18
+
+
 def rfe_forest(df: DataFrame, cols: Sequence[str], target: str = "y", n_select: int = 10, num_trees: int = 100,
                max_depth: int = 12, seed: int = 42) -> DataFrame:
     """Recursive feature elimination with MLlib random forests, one feature per round; returns
-    ``(feature, rank)`` (rank 1 = kept, larger = eliminated earlier)."""
+    ``(feature, rank)`` (rank 1 = kept, larger = eliminated earlier). Every split tries all features. Rows are dealt and
+    ordered by their values, so ranks don't follow the partitioning of ``df``; rows with a missing value are left out."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -117,12 +122,14 @@ def rfe_forest(df: DataFrame, cols: Sequence[str], target: str = "y", n_select:
     remaining = list(cols)
     ranks: dict[str, int] = {}
     base = cut_lineage(df.select(target, *remaining).na.drop(), "rfe")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in base.columns])
+    base = base.repartition(max(1, -(-base.count() // FOREST_PART)), row).sortWithinPartitions(row, *[F.col(f"`{c}`") for c in base.columns])
     if remaining:
         rank = len(remaining) - n_select + 1
         while len(remaining) > n_select:
             va = VectorAssembler(inputCols=remaining, outputCol="_features")
             rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=num_trees, maxDepth=max_depth,
-                                       seed=seed)
+                                       featureSubsetStrategy="all", seed=seed)
             m = rf.fit(va.transform(base))
             imp = m.featureImportances.toArray()
             worst = remaining[int(np.argmin(imp))]
@@ -136,18 +143,23 @@ def rfe_forest(df: DataFrame, cols: Sequence[str], target: str = "y", n_select:
 
 def pca(df: DataFrame, cols: Sequence[str], k: int = 2, prefix: str = "PCA_") -> DataFrame:
     """Principal components of mean-centred columns appended as ``PCA_1..k`` (MLlib PCA; component sign
-    fixed so the largest-magnitude loading is positive)."""
+    fixed so the largest-magnitude loading is positive). Components come from the rows without a missing (NULL or NaN)
+    value; a row with one has NULL components."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))
     va = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="keep")
-    assembled = va.transform(df)
-    scaler = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(assembled)
-    centred = scaler.transform(assembled)
-    model = PCA(k=k, inputCol="_c", outputCol="_pc").fit(centred)
+    assembled = va.transform(df).withColumn("_whole", whole)
+    some = assembled.filter("_whole")
+    scaler = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(some)
+    model = PCA(k=k, inputCol="_c", outputCol="_pc").fit(scaler.transform(some))
     pcm = model.pc.toArray()
     signs = [1.0 if pcm[np.argmax(np.abs(pcm[:, i])), i] >= 0 else -1.0 for i in range(k)]
     arr = vector_to_array(F.col("_pc"))
-    out = model.transform(centred).select(*[F.col(f"`{c}`") for c in df.columns],
-                                          *[(arr[i] * F.lit(signs[i])).alias(f"{prefix}{i + 1}") for i in range(k)])
+    out = model.transform(scaler.transform(assembled)).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.when(F.col("_whole"), arr[i] * F.lit(signs[i])).alias(f"{prefix}{i + 1}") for i in range(k)])
     return out

@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourwise.operators.joins import with_constants
+from hourwise.operators.joins import null_safe_join
 from hourwise.functions import time as tf
 from hourwise.functions.names import lag_name, rolling_mean_name, rolling_std_name
+from hourwise.session import cut_lineage
 
 DEFAULT_CHUNK = 4096
 POS = "_pos"
@@ -46,6 +47,18 @@ def order_key(df: DataFrame, order_col: str) -> Column:
     return F.col(order_col).cast("double")
 
 
+#: A bucket that is too full is cut into so many; spans halve from 2^12 hours (or key units) to below a microsecond, then
+#: rows of one instant are told apart by the bits of a hash.
+_SPLIT_BITS, _TIME_LEVELS, _HASH_LEVELS = 6, 8, 10
+_FIRST_HASH = -(1 << 63)
+
+
+def tie_order(df: DataFrame, known: Sequence[str]) -> Column:
+    """Order of rows with equal ``known`` columns: a hash of all others, so rows that share it are interchangeable."""
+    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in known and f.dataType.typeName() not in ("map", "variant")]
+    return F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
+
+
 def seq_index(
     df: DataFrame,
     partition_cols: Sequence[str] = ("series_id",),
@@ -53,41 +66,49 @@ def seq_index(
     out: str = "seq",
     mode: str = "chunked",
     bucket_rows: int = DEFAULT_CHUNK,
-    tiebreak: Sequence[str] = (),
-    bucket_width: float | None = DEFAULT_CHUNK,
+    bucket_width: float = DEFAULT_CHUNK,
 ) -> DataFrame:
     """0-based row position per series (``np.arange(len)`` of the ordered series).
 
+    Rows without a time come last; rows of equal time are in the order of ``tie_order``, so the rows alone decide. A NULL
+    series is a series.
+
     ``mode="plain"``: ``row_number`` over one window per series.
-    ``mode="chunked"``: every series is cut into order-key buckets of ``bucket_width`` (hours for timestamps;
-    hourly data -> at most 4096 rows per series and bucket, however long or hot the series).  Rows are
-    counted per (series, bucket); running offsets over that small count table are joined back and
-    ``row_number`` inside the bucket finishes the position.  ``bucket_width=None`` sizes buckets from each
-    series' density instead (width = ``bucket_rows`` x key span / rows; one more small aggregate) - for
-    sub-hourly data.  Every step is a deterministic function of the data (safe under recomputation).
+    ``mode="chunked"``: a tree of buckets. Rows are counted per series and ``bucket_width`` hours (or key units); only
+    buckets of more than ``bucket_rows`` rows are cut, and counted, again: to 64 times shorter spans, and inside one
+    instant by the tie's hash. Running offsets over the small count table are joined back, and ``row_number`` inside a
+    bucket finishes the position: no window holds more than ``bucket_rows`` rows that differ, whatever the bursts.
     """
     pc = _cols(partition_cols)
-    order = [order_col, *tiebreak]
+    keyed = df.withColumns({"_bucket_k": order_key(df, order_col), "_bucket_tie": tie_order(df, [*pc, order_col])})
+    order = [F.col(order_col).asc_nulls_last(), F.col("_bucket_tie")]
     if mode == "plain":
         w = Window.partitionBy(*pc).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    keyed = df.withColumn("_k", order_key(df, order_col))
-    if bucket_width is None:
-        dens = keyed.groupBy(*pc).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_k").alias("_k0"), F.max("_k").alias("_k1"))
-        width = F.greatest((F.col("_k1") - F.col("_k0")) * F.lit(float(bucket_rows)) / F.col("_cnt"), F.lit(1e-9))
-        dens = dens.select(*pc, "_k0", width.alias("_w"))
-        keyed = keyed.join(dens, pc, "inner") if pc else with_constants(keyed, dens)
-        bucket = F.floor((F.col("_k") - F.col("_k0")) / F.col("_w"))
-    else:
-        bucket = F.floor(F.col("_k") / F.lit(float(bucket_width)))
-    keyed = keyed.withColumn("_bkt", bucket)
-    counts = keyed.groupBy(*pc, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*pc).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*pc, "_bkt", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"))
-    joined = keyed.join(offsets, [*pc, "_bkt"], "inner")
-    w = Window.partitionBy(*pc, "_bkt").orderBy(*order)
-    res = joined.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-    return res.drop("_bkt", "_off", "_k", "_k0", "_w")
+        return keyed.withColumn(out, (F.row_number().over(w) - 1).cast("bigint")).drop("_bucket_k", "_bucket_tie")
+    start = lambda width: F.col("_bucket_k") - F.pmod(F.col("_bucket_k"), F.lit(float(width)))
+    node = [*pc, "_bucket_t", "_bucket_h"]
+    size = F.count(F.lit(1)).alias("_bucket_n")
+    keyed = keyed.withColumns({"_bucket_t": start(bucket_width), "_bucket_h": F.lit(_FIRST_HASH).cast("bigint")})
+    counts = cut_lineage(keyed.groupBy(*node).agg(size), "buckets")
+    for level in range(1, _TIME_LEVELS + _HASH_LEVELS + 1):
+        if (counts.agg(F.max("_bucket_n")).first()[0] or 0) <= bucket_rows:
+            break
+        full = counts.filter(F.col("_bucket_n") > bucket_rows).select(*node, F.lit(True).alias("_bucket_full"))
+        keyed = null_safe_join(keyed, full, node)
+        if level <= _TIME_LEVELS:
+            finer = {"_bucket_t": F.when(F.col("_bucket_full"), start(bucket_width / 2.0 ** (_SPLIT_BITS * level))).otherwise(F.col("_bucket_t"))}
+        else:
+            low = 64 - _SPLIT_BITS * (level - _TIME_LEVELS)
+            finer = {"_bucket_h": F.when(F.col("_bucket_full"), F.shiftleft(F.shiftright("_bucket_tie", low), low)).otherwise(F.col("_bucket_h"))}
+        keyed = keyed.withColumns(finer)
+        cut = keyed.filter("_bucket_full").groupBy(*node).agg(size)
+        counts = cut_lineage(counts.filter(F.col("_bucket_n") <= bucket_rows).unionByName(cut), "buckets")
+        keyed = keyed.drop("_bucket_full")
+    run = Window.partitionBy(*pc).orderBy(F.col("_bucket_t").asc_nulls_last(), "_bucket_h").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*node, F.coalesce(F.sum("_bucket_n").over(run), F.lit(0)).alias("_bucket_off"))
+    w = Window.partitionBy(*node).orderBy(*order)
+    res = null_safe_join(keyed, offsets, node).withColumn(out, (F.col("_bucket_off") + F.row_number().over(w) - 1).cast("bigint"))
+    return res.drop("_bucket_t", "_bucket_h", "_bucket_off", "_bucket_k", "_bucket_tie")
 
 
 def ensure_pos(df: DataFrame, pc: list[str], order_col: str, pos_col: str | None = None) -> tuple[DataFrame, str, bool]:
@@ -124,7 +145,7 @@ def windowed(
     """
     pc = _cols(partition_cols)
     if mode == "plain":
-        w = Window.partitionBy(*pc).orderBy(F.col(pos_col) if pos_col and pos_col in df.columns else F.col(order_col))
+        w = Window.partitionBy(*pc).orderBy(*([F.col(pos_col)] if pos_col and pos_col in df.columns else [F.col(order_col).asc_nulls_last(), tie_order(df, [*pc, order_col])]))
         return df.select("*", *build(w))
     base_cols = df.columns
     df, pos, created = ensure_pos(df, pc, order_col, pos_col)
@@ -231,7 +252,7 @@ def fill_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, bool]], parti
 
     outs = [o for _, _, o, _ in specs]
     if mode == "plain":
-        w = Window.partitionBy(*pc).orderBy(F.col(pos_col) if pos_col and pos_col in df.columns else F.col(order_col))
+        w = Window.partitionBy(*pc).orderBy(*([F.col(pos_col)] if pos_col and pos_col in df.columns else [F.col(order_col).asc_nulls_last(), tie_order(df, [*pc, order_col])]))
         return _replace(df, outs, local(w))
 
     base_cols = df.columns
@@ -250,7 +271,7 @@ def fill_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, bool]], parti
         (F.last(F.col(f"_s{i}"), ignorenulls=True).over(fw) if d == "forward"
          else F.first(F.col(f"_s{i}"), ignorenulls=True).over(bw)).alias(f"_carry_{i}")
         for i, (c, d) in enumerate(srcs)])
-    joined = loc.join(carry, [*pc, CHUNK], "left")
+    joined = null_safe_join(loc, carry, [*pc, CHUNK])
     vals = [F.coalesce(F.col(t), F.col(f"_carry_{srcs.index((src, direction))}"))
             for t, (src, direction, _, _) in zip(tmp, specs)]
     res = _replace(joined, outs, vals, base_cols)

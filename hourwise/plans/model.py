@@ -29,18 +29,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.functions import time as tf
-from hourwise.operators.joins import with_constants
+from hourwise.operators.joins import null_safe_join, with_constants
 from hourwise.operators.reduce import FANIN, sum_arrays
 from hourwise.plans.spec import ForecastSpec
 
 GLOBAL_ID = "__global__"
+#: Stands for a NULL series in the model table.
+NULL_ID = "__null__"
 TWO_PI = 2.0 * math.pi
 
 
 def _key(df: DataFrame, spec: ForecastSpec, series_col: str) -> DataFrame:
     if spec.scope == "global" or series_col not in df.columns:
         return df.withColumn("_sid", F.lit(GLOBAL_ID))
-    return df.withColumn("_sid", F.col(series_col).cast("string"))
+    return df.withColumn("_sid", F.coalesce(F.col(series_col).cast("string"), F.lit(NULL_ID)))
 
 
 def _with_model(keyed: DataFrame, table: DataFrame, spec: ForecastSpec, series_col: str) -> DataFrame:
@@ -362,8 +364,8 @@ def predict(model: DataFrame, future: DataFrame, spec: ForecastSpec, series_col:
 
 def without_model(model: DataFrame, future: DataFrame, series_col: str = "series_id") -> DataFrame:
     """Series of ``future`` that have no row in the model table (``predict`` gives them NULLs)."""
-    return future.select(series_col).distinct().join(
-        model.select(F.col("_sid").alias(series_col)), series_col, "left_anti")
+    known = model.select(F.nullif("_sid", F.lit(NULL_ID)).alias(series_col))
+    return null_safe_join(future.select(series_col).distinct(), known, [series_col], "left_anti")
 
 
 def coefficients(model: DataFrame) -> DataFrame:

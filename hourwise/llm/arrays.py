@@ -7,8 +7,10 @@ longer text makes a piece of its own), which bounds the size of the arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,24 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow`` or ``mapInPandas``; when a task has ended, its worker, which Spark keeps for others, gives
+    free memory back to the system."""
+
+    @wraps(run)
+    def ended(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # a C library without it
+
+    return ended
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit hash (fixed multipliers of splitmix64)."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.arrays import FOLDED_BYTE, U64, mix, pieces, span_hashes, windows, words
+from hourwise.llm.arrays import FOLDED_BYTE, U64, lean, mix, pieces, span_hashes, windows, words
 
 GRAM = 5
 #: Weighted Jaccard similarity from which on a window is a copy of an item.
@@ -162,6 +162,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
                      pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64())],
                     names=["doc_id", "item_id", "similarity", "word_start", "word_end"])
 
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
+        part = docs.select(id_col, text_col).mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out

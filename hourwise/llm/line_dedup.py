@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.arrays import U64, mix
+from hourwise.llm.arrays import U64, lean, mix
 from hourwise.llm.store import handed
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -162,7 +162,7 @@ def line_counts(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_signed(slots)), pa.array(_signed(marks)), pa.array(docs_, pa.int64())], names=["slot", "mark", "doc"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(ABSENT)), F.col(text_col)).mapInArrow(keys, "slot long, mark long, doc long")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(ABSENT)), F.col(text_col)).mapInArrow(lean(keys), "slot long, mark long, doc long")
     return rows.groupBy("slot", "mark").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
 
 
@@ -233,7 +233,7 @@ def probe_lines(docs: DataFrame, index: DataFrame, min_chars: int, min_docs: int
                                                  names=[*own, "n_lines", "n_dropped"])
 
         schema = ", ".join(f"`{c}` {'string' if c == text_col else docs.schema[c].dataType.simpleString()}" for c in own)
-        return df.mapInArrow(run, schema + (", n_lines long, n_dropped long" if last else ", n_dropped array<int>"))
+        return df.mapInArrow(lean(run), schema + (", n_lines long, n_dropped long" if last else ", n_dropped array<int>"))
 
     for at in rounds:
         src = one_round(src, at, at == rounds[-1])

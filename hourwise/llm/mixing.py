@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourwise.llm.arrays import U64, mix
+from hourwise.llm.arrays import U64, lean, mix
 from hourwise.llm.store import handed
 
 #: Words of a block, slots of an output shard on average, rows of a bucket of documents on average.
@@ -100,8 +100,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
                     yield pd.DataFrame({"source_key": key, "shard": shard, "slot": r - rank, "block": _permuted(r % blocks, blocks, (key ^ seed) & 0xFFFFFFFFFFFFFFFF), "epoch": r // blocks})
 
     parts = "source_key long, blocks long, part long, n long, rank long"
-    dealt = quotas.mapInPandas(deal, parts).repartition("source_key", "part").mapInPandas(deal_group, parts)
-    return dealt.repartition("source_key", "part").mapInPandas(fill, "source_key long, shard long, slot long, block long, epoch long")
+    dealt = quotas.mapInPandas(lean(deal), parts).repartition("source_key", "part").mapInPandas(lean(deal_group), parts)
+    return dealt.repartition("source_key", "part").mapInPandas(lean(fill), "source_key long, shard long, slot long, block long, epoch long")
 
 
 def _positions(sizes: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.arrays import FOLDED_BYTE, U64, Piece, mix, pieces, span_hashes, sums, windows, words
+from hourwise.llm.arrays import FOLDED_BYTE, U64, Piece, lean, mix, pieces, span_hashes, sums, windows, words
 from hourwise.llm.components import components
 from hourwise.llm.store import handed
 
@@ -108,7 +108,7 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["doc_id", "n_shingles", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, node long")
 
 
 def _column_blocks(docs: DataFrame, text_col: str, n_blocks: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _column_blocks(docs: DataFrame, text_col: str, n_blocks: int) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.select(text_col).mapInArrow(run, BLOCK)
+    return docs.select(text_col).mapInArrow(lean(run), BLOCK)
 
 
 def _arrow(shared: bool) -> pa.Schema:

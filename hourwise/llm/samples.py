@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourwise.llm.arrays import lean
+
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model learns from: crc32 of the id as text is divisible by 5. A NULL id is held out."""
@@ -31,5 +33,5 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes:
         got.clear()
         yield pd.DataFrame({"model": [fit(sample)]})
 
-    got = sample.repartition(1).mapInPandas(run, "model binary").first()
+    got = sample.repartition(1).mapInPandas(lean(run), "model binary").first()
     return bytes(got[0]) if got else fit(None)

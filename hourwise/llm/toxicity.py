@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.arrays import Piece, mix, pieces, runs, span_hashes
+from hourwise.llm.arrays import Piece, lean, mix, pieces, runs, span_hashes
 from hourwise.llm.hashed import platt, sigmoid
 from hourwise.llm.samples import fitted, held_out, share
 
@@ -407,7 +407,7 @@ def score_toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
@@ -420,4 +420,4 @@ def drop_toxic(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFra
         for b in batches:
             yield b.filter(pa.array(_scores(b.column(at), learned) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -100,4 +100,4 @@ def regular_sql(src: str, name: str = "reg") -> str:
 
 
 def ensure_loaded() -> None:
-    from hourwise.catalog import features, model, prep, selection  # noqa: F401
+    from hourwise.catalog import features, longseries, model, prep, selection  # noqa: F401

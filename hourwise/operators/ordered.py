@@ -67,12 +67,16 @@ def seq_index(
     mode: str = "chunked",
     bucket_rows: int = DEFAULT_CHUNK,
     bucket_width: float = DEFAULT_CHUNK,
+    weight: str | None = None,
 ) -> DataFrame:
     """0-based row position per series (``np.arange(len)`` of the ordered series).
 
     Rows without a time come last; rows of equal time are in the order of ``tie_order``, so the rows alone decide. A NULL
     series is a series.
 
+    ``weight``: a column of numbers of rows that each row stands for (0 too); the position is then their sum over the rows
+    before.
+
     ``mode="plain"``: ``row_number`` over one window per series.
     ``mode="chunked"``: a tree of buckets. Rows are counted per series and ``bucket_width`` hours (or key units); only
     buckets of more than ``bucket_rows`` rows are cut, and counted, again: to 64 times shorter spans, and inside one
@@ -82,14 +86,17 @@ def seq_index(
     pc = _cols(partition_cols)
     keyed = df.withColumns({"_bucket_k": order_key(df, order_col), "_bucket_tie": tie_order(df, [*pc, order_col])})
     order = [F.col(order_col).asc_nulls_last(), F.col("_bucket_tie")]
+    stands = F.lit(1).cast("bigint") if weight is None else F.col(f"`{weight}`").cast("bigint")
+    earlier = (Window.unboundedPreceding, -1)
+    before = lambda w: (F.row_number().over(w) - 1).cast("bigint") if weight is None else F.coalesce(F.sum(stands).over(w.rowsBetween(*earlier)), F.lit(0))
     if mode == "plain":
         w = Window.partitionBy(*pc).orderBy(*order)
-        return keyed.withColumn(out, (F.row_number().over(w) - 1).cast("bigint")).drop("_bucket_k", "_bucket_tie")
+        return keyed.withColumn(out, before(w)).drop("_bucket_k", "_bucket_tie")
     start = lambda width: F.col("_bucket_k") - F.pmod(F.col("_bucket_k"), F.lit(float(width)))
     node = [*pc, "_bucket_t", "_bucket_h"]
-    size = F.count(F.lit(1)).alias("_bucket_n")
+    size = (F.count(F.lit(1)).alias("_bucket_n"), F.sum(stands).alias("_bucket_w"))
     keyed = keyed.withColumns({"_bucket_t": start(bucket_width), "_bucket_h": F.lit(_FIRST_HASH).cast("bigint")})
-    counts = cut_lineage(keyed.groupBy(*node).agg(size), "buckets")
+    counts = cut_lineage(keyed.groupBy(*node).agg(*size), "buckets")
     for level in range(1, _TIME_LEVELS + _HASH_LEVELS + 1):
         if (counts.agg(F.max("_bucket_n")).first()[0] or 0) <= bucket_rows:
             break
@@ -101,13 +108,13 @@ def seq_index(
             low = 64 - _SPLIT_BITS * (level - _TIME_LEVELS)
             finer = {"_bucket_h": F.when(F.col("_bucket_full"), F.shiftleft(F.shiftright("_bucket_tie", low), low)).otherwise(F.col("_bucket_h"))}
         keyed = keyed.withColumns(finer)
-        cut = keyed.filter("_bucket_full").groupBy(*node).agg(size)
+        cut = keyed.filter("_bucket_full").groupBy(*node).agg(*size)
         counts = cut_lineage(counts.filter(F.col("_bucket_n") <= bucket_rows).unionByName(cut), "buckets")
         keyed = keyed.drop("_bucket_full")
-    run = Window.partitionBy(*pc).orderBy(F.col("_bucket_t").asc_nulls_last(), "_bucket_h").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*node, F.coalesce(F.sum("_bucket_n").over(run), F.lit(0)).alias("_bucket_off"))
+    run = Window.partitionBy(*pc).orderBy(F.col("_bucket_t").asc_nulls_last(), "_bucket_h").rowsBetween(*earlier)
+    offsets = counts.select(*node, F.coalesce(F.sum("_bucket_w").over(run), F.lit(0)).alias("_bucket_off"))
     w = Window.partitionBy(*node).orderBy(*order)
-    res = null_safe_join(keyed, offsets, node).withColumn(out, (F.col("_bucket_off") + F.row_number().over(w) - 1).cast("bigint"))
+    res = null_safe_join(keyed, offsets, node).withColumn(out, (F.col("_bucket_off") + before(w)).cast("bigint"))
     return res.drop("_bucket_t", "_bucket_h", "_bucket_off", "_bucket_k", "_bucket_tie")
 
 

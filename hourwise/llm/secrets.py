@@ -28,6 +28,9 @@ CHARS_PER_TOKEN = 2.4
 #: Short words vary more, so less is asked of them: letters alone from SHORT characters a token at 8 characters up to the
 #: whole limit at LONG_CHARS, those with a digit SHORT_DIGITS up to 15 characters and the whole limit from there on.
 SHORT, SHORT_DIGITS, DIGITS_CHARS, LONG_CHARS = 1.5, 1.75, 16, 24
+#: Letters alone in the case of a word (lower, upper, capitalised) are a word of some language below WORD_CHARS characters,
+#: as the vocabulary knows one language best; from there on they are random below WORD characters a token, and WORD_MORE more for each further character.
+WORD_CHARS, WORD, WORD_MORE = 16, 1.7, 0.04
 #: No candidates whatever the ratio: digests by their length in hex, UUIDs, and numbers and dates (no letter).
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
@@ -56,8 +59,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def limit(chars: int, digits: bool, chars_per_token: float) -> float:
-    """Characters a token below which a string of so many characters counts as random."""
+def limit(chars: int, digits: bool, chars_per_token: float, word: bool = False) -> float:
+    """Characters a token below which a string of so many characters counts as random; ``word``: letters in a word's case."""
+    if word:
+        return 0.0 if chars < WORD_CHARS else min(chars_per_token, WORD + WORD_MORE * (chars - WORD_CHARS))
     if digits:
         return chars_per_token if chars >= DIGITS_CHARS else min(SHORT_DIGITS, chars_per_token)
     return min(chars_per_token, SHORT + (chars_per_token - SHORT) * (chars - LEAST_CHARS) / (LONG_CHARS - LEAST_CHARS))
@@ -69,6 +74,7 @@ def random_spans(text: str, base: list[tuple[int, int, str]], tokens, chars_per_
     out = []
     free = lambda a, e: not any(x < e and a < y for x, y, _ in base)
     digit = lambda s: any(map(str.isdigit, s))
+    word = lambda s: s.isalpha() and (s[1:].islower() or s.isupper())
     for m in CANDIDATE.finditer(text):
         s, at = m.group(), m.start()
         if DIGEST.match(s) or NUMBER.match(s):
@@ -80,7 +86,7 @@ def random_spans(text: str, base: list[tuple[int, int, str]], tokens, chars_per_
             x = s[a:e]
             if e - a < LEAST_CHARS or x.isdigit() or DIGEST.match(x) or not free(at + a, at + e):
                 continue
-            if e - a < limit(e - a, digit(x), chars_per_token) * tokens(x):
+            if e - a < limit(e - a, digit(x), chars_per_token, word(x)) * tokens(x):
                 own.append((at + a, at + e, "random"))
         # a secret beside a readable name is reported without the name
         beside = own and any(e - a >= LEAST_CHARS and e - a >= chars_per_token * tokens(s[a:e]) for a, e in parts)
@@ -89,7 +95,8 @@ def random_spans(text: str, base: list[tuple[int, int, str]], tokens, chars_per_
                 chars, n = len(s), tokens(s)
             else:
                 chars, n = sum(e - a for a, e in parts), sum(tokens(s[a:e]) for a, e in parts)
-            if chars >= LEAST_CHARS and chars < limit(chars, digit(s) and not JOINED.match(s), chars_per_token) * n:
+            words = all(word(s[a:e]) or s[a:e].isdigit() for a, e in parts)
+            if chars >= LEAST_CHARS and chars < limit(chars, digit(s) and not JOINED.match(s), chars_per_token, words) * n:
                 out.append((at, m.end(), "random"))
                 continue
         out += own
@@ -102,8 +109,8 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, chars_per_token
 
     Kinds assign, access and hex are the base patterns, leftmost and non-overlapping by kind. Kind random has further
     runs of 8 or more characters of encoded data, or their parts between the marks = / + - _, with fewer characters a
-    token under the vocabulary of ``ranks_path`` than the limit of their length (``limit``: ``chars_per_token`` for
-    long strings). Digests by length, UUIDs and what has no letter (numbers, dates) are left out; words and numbers of
+    token under the vocabulary of ``ranks_path`` than the limit of their length and form (``limit``: ``chars_per_token``
+    for long strings; letters in a word's case only from 16 characters on). Digests by length, UUIDs and what has no letter (numbers, dates) are left out; words and numbers of
     up to four digits joined by marks are scored without the marks. Spans are ordered by start, then kind. A NULL or
     empty text has none; repeated rows are scanned each; long texts are scanned whole; other columns are ignored.
     """

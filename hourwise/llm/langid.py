@@ -132,13 +132,15 @@ def _fit(frequencies: np.ndarray):
 
 def language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """Model of ``lang_col``, learned from rows that are not held out and have text and language: document
-    frequencies from all of them, weights from about ``rows`` rows of each language, temperature from a fifth of those."""
+    frequencies from all of them, weights from about ``rows`` rows of each language (every language there is), temperature
+    from a fifth of those."""
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     frequencies = document_frequencies(known, text_col)
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    sizes = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_n"))
     pick = F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(1 << 24))
-    limit = F.element_at(F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, rows / n) * (1 << 24)))), F.col(lang_col)) if sizes else F.lit(0.0)
-    sample = known.filter(pick < limit).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).limit(2 * rows * max(1, len(sizes)))
+    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n")) * F.lit(1 << 24)
+    some = known.join(sizes, lang_col).filter(pick < share)
+    sample = some.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).limit(2 * rows * max(1, sizes.count()))
     return fitted(sample, _fit(frequencies))
 
 

@@ -7,8 +7,10 @@ occurrence of a shingle counting once. Two fingerprints within ``RADIUS`` differ
 in one of eight 16-bit blocks at least, so comparing blocks, one index column at a time, finds all pairs within the
 radius; these are verified by the exact weighted Jaccard similarity of the two shingle multisets.
 
-At a similarity of 0.75 fingerprints differ by 22 bits on average (standard deviation 4.3), so the radius lies four
-deviations above, and a passage is met by several windows.
+At a similarity of 0.75 fingerprints of windows without a repeated shingle differ by 22 bits on average (standard
+deviation 4.3), so the radius lies four deviations above, and a passage is met by several windows. A window that repeats
+a shingle is verified without its fingerprint, if the occurrences that an item can share are enough. Blocks are compared
+with all items of the window's size (a few each), not looked up in tables.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hourwise.llm.arrays import FOLDED_BYTE, U64, lean, mix, pieces, span_hashes, windows, words
 
@@ -75,6 +78,12 @@ class Items:
                 own = h[first[r]: first[r + 1]]
                 self.by_size.setdefault(len(own), []).append((p.lo + int(r), np.unique(own, return_counts=True), _fingerprints(total, first[r: r + 1], first[r + 1: r + 2])[0]))
         self.known = np.unique(np.concatenate(all_)) if all_ else np.zeros(0, U64)
+        # the most often that an item holds each shingle
+        self.most = np.zeros(len(self.known), dtype=np.int64)
+        for group in self.by_size.values():
+            for _, (own, n), _ in group:
+                at = np.searchsorted(self.known, own)
+                self.most[at] = np.maximum(self.most[at], n)
         bits = max(16, int(32 * max(1, len(self.known)) - 1).bit_length())
         self.mask = U64((1 << bits) - 1)
         self.maybe = np.zeros(1 << bits, dtype=bool)
@@ -99,10 +108,37 @@ def _similarity(window: np.ndarray, item: tuple[np.ndarray, np.ndarray], size: i
     return common / (len(window) + size - common)
 
 
+def _repeats(h: np.ndarray, occurs: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(last place before which a shingle up to here was already, place of the occurrence that makes each known shingle one
+    too many for any item)."""
+    order = np.argsort(h, kind="stable")
+    own = h[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    rank = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    before, spare = np.full(len(h), -1), np.full(len(h), -1)
+    again = np.flatnonzero(rank > 0)
+    before[order[again]] = order[again - 1]
+    most = np.ones(len(h), dtype=np.int64)
+    most[occurs] = items.most[np.searchsorted(items.known, h[occurs])]
+    most = np.maximum(most[order], 1)
+    over = np.flatnonzero(rank >= most)
+    spare[order[over]] = order[over - most[over]]
+    return np.maximum.accumulate(before), spare
+
+
+def _capped(occurs: np.ndarray, spare: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` shingles how many it may share with an item at most."""
+    at = np.flatnonzero(occurs)
+    low, high = np.maximum(np.maximum(spare[at] + 1, at - width + 1), 0), np.minimum(at, len(occurs) - width)
+    some = low <= high
+    steps = np.bincount(low[some], minlength=len(occurs) + 1) - np.bincount(high[some] + 1, minlength=len(occurs) + 1)
+    return np.cumsum(steps)[:len(occurs) - width + 1]
+
+
 def leaks(h: np.ndarray, occurs: np.ndarray, items: Items, similarity: float) -> dict[int, tuple[float, int, int]]:
     """{item: (similarity, first shingle, shingles)} of one document; the most similar, then earliest window."""
     out: dict[int, tuple[float, int, int]] = {}
-    n, count, total = len(h), np.concatenate([[0], np.cumsum(occurs)]), None
+    n, count, total, repeats = len(h), np.concatenate([[0], np.cumsum(occurs)]), None, None
     for size in items.sizes:
         width = min(size, n)
         least = int(np.ceil(similarity * (size + width) / (1 + similarity) - 1e-9))
@@ -113,6 +149,14 @@ def leaks(h: np.ndarray, occurs: np.ndarray, items: Items, similarity: float) ->
             at = start[lo: lo + STRIP]
             total = _bit_sums(h) if total is None else total
             x, y = near_fingerprints(_fingerprints(total, at, at + width), items.blocks[size])
+            if repeats is None:
+                repeats = _repeats(h, occurs, items)
+            # a shingle that stands in a window again and again pulls its fingerprint: such windows are compared as they are
+            twice = np.flatnonzero((repeats[0][at + width - 1] >= at) & (_capped(occurs, repeats[1], width)[at] >= least))
+            if len(twice):
+                m = len(items.blocks[size])
+                both = np.unique(np.concatenate([x * m + y, np.repeat(twice * m, m) + np.tile(np.arange(m), len(twice))]))
+                x, y = both // m, both % m
             for a, b in zip(at[x], y, strict=True):
                 number, own, _ = items.by_size[size][b]
                 s = _similarity(h[a: a + width], own, size)
@@ -137,7 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     parts = int(size // part_words) + 1
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, word_start long, word_end long"
-    ids_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
+    ids_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for k in range(parts):
         rows = asked.filter(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).orderBy("item", "words").collect()

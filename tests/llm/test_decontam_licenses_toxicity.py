@@ -201,3 +201,31 @@ def test_kernel_tolerates_gaps():
     (p,) = pieces(pa.array([" ".join(words)]))
     letters, start, end, _ = letter_words(p)
     assert np.allclose(margins(letters, start, end, weights), [kernel("`" + w, "`idiot") for w in words], atol=1e-5)
+
+
+def test_windows_with_repeated_shingles_are_found(spark):
+    """A passage with its end cut, followed by a run of one word: each window repeats a shingle, similarity 0.75 or more."""
+    from hourwise.llm.decontam import Items, find_leaks
+
+    rng = np.random.default_rng(8)
+    docs, items = [], []
+    for k in range(20):
+        words = [f"p{k}x{j}" for j in rng.permutation(104)]
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join(words[:90] + ["filler"] * 18 + [f"own{k}"])))
+        docs.append((100 + k, " ".join(words[:60] + ["filler"] * 60)))  # too little of it
+    got = find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+
+    def best(doc, item):
+        grams = lambda w: collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+        a, out = grams(item), 0.0
+        for i in range(max(1, len(doc) - len(item) + 1)):
+            b = grams(doc[i:i + len(item)])
+            out = max(out, sum((a & b).values()) / sum((a | b).values()))
+        return out
+
+    want = {(d, i) for d, t in docs for i, x in items if d % 100 == i and best(t.split(), x.split()) >= 0.75}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) == 20
+    assert Items([1], ["a b c d e"]).most.tolist() == [1]
+    small = find_leaks(frame(spark, docs[:1]), frame(spark, items[:1], "item_id smallint, text string")).collect()
+    assert [r["item_id"] for r in small] == [0]

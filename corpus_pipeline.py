@@ -51,11 +51,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from hourwise.llm.line_dedup import drop_repeated_lines
     from hourwise.llm.mixing import word_count
 
-    out = drop_repeated_lines(docs.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    # columns of the documents that are named like the operator's counts are set aside
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    out = drop_repeated_lines(docs.select(*(F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns)))
     out = out.filter((F.col("n_dropped") == 0) | (word_count(F.col("text")) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

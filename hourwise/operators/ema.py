@@ -8,8 +8,8 @@ pandas (adjust=True, ignore_na=False): alpha = 2/(span+1), d = 1-alpha; at an ob
 observation are missing.
 
 Plan: a series is cut into chunks of ``B`` positions. One aggregate gives each chunk's two sums as seen from its last
-position; a carry over the small chunk table (one row per chunk, numpy per series) gives the average and its weight
-before each chunk; one window over (series, chunk) continues from there. Every observation counts, whatever its age;
+position; a scan over the small chunk table (blocks of chunks, then chunks) gives the average and its weight before
+each chunk; one window over (series, chunk) continues from there. Every observation counts, whatever its age;
 no row is copied, and all columns and spans share the passes. ``B`` keeps ``d^-B`` below 1e200 for the smallest span.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hourwise.functions.names import ema_name
 from hourwise.operators.joins import null_safe_join
-from hourwise.operators.ordered import CHUNK, DEFAULT_CHUNK, _cols, ensure_pos
+from hourwise.operators.ordered import CHUNK, DEFAULT_CHUNK, SCAN_ROWS, _cols, ensure_pos
 
 
 def decay(span: float) -> float:
@@ -85,39 +85,63 @@ def add_ema(df: DataFrame, cols, spans: Sequence[int], partition_cols=("series_i
     return joined.select(*keep, *out)
 
 
+def _scan(pdf: pd.DataFrame, at: np.ndarray, rows: float, d: np.ndarray, col_of: list[int], mean: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """State (average, weight) before each of consecutive pieces ``at`` of ``rows`` positions, from the state before the
+    first; the weight is as seen from the position before the piece."""
+    n = len(d)
+    top, all_ = pdf[[f"_s{i}" for i in range(n)]].to_numpy(float), pdf[[f"_w{i}" for i in range(n)]].to_numpy(float)
+    newest = pdf[[f"_x{j}" for j in col_of]].to_numpy(float)
+    out = np.empty((len(pdf), 2 * n))
+    for k in range(len(pdf)):
+        if k:  # pieces without a row lie between
+            weight = weight * np.power(d, rows * (at[k] - at[k - 1] - 1))
+        out[k] = np.concatenate([mean, weight])
+        old = weight * np.power(d, rows)
+        both = old + all_[k]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            new = np.where(old > 0, (np.nan_to_num(mean) * old + top[k]) / both, top[k] / both)
+        seen = ~np.isnan(newest[k])
+        # an observation so old that its weight is 0 in doubles still is the last one
+        mean = np.where(seen, np.where(both > 0, new, newest[k]), mean)
+        weight = both
+    return out
+
+
 def _carry(ends: DataFrame, pc: list[str], spans: list[float], col_of: list[int], b: int) -> DataFrame:
     """For each chunk the average (``_m``, NULL before the first observation) and weight (``_w``) after the last
-    position before it."""
+    position before it. A scan of two levels: blocks of ``SCAN_ROWS`` chunks are summed up as one piece each, the state is
+    passed over the blocks of a series, and from there over the chunks inside each block."""
     d = np.array([decay(s) for s in spans])
-    n = len(spans)
+    n, size = len(spans), SCAN_ROWS
     names = [f"_m{i}" for i in range(n)] + [f"_w{i}" for i in range(n)]
+    kinds = {f.name: f.dataType.simpleString() for f in ends.schema.fields}
+    keys = "".join(f"`{c}` {kinds[c]}, " for c in pc)
+    states = ", ".join(f"{c} double" for c in names)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        top, all_ = pdf[[f"_s{i}" for i in range(n)]].to_numpy(float), pdf[[f"_w{i}" for i in range(n)]].to_numpy(float)
-        newest = pdf[[f"_x{j}" for j in col_of]].to_numpy(float)
-        at = pdf[CHUNK].to_numpy()
-        mean, weight = np.full(n, np.nan), np.zeros(n)
-        out = np.empty((len(pdf), 2 * n))
-        for k in range(len(pdf)):
-            if k:  # chunks without a row lie between
-                weight = weight * np.power(d, float(b) * (at[k] - at[k - 1] - 1))
-            out[k] = np.concatenate([mean, weight])
-            old = weight * np.power(d, float(b))
-            both = old + all_[k]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                new = np.where(old > 0, (np.nan_to_num(mean) * old + top[k]) / both, top[k] / both)
-            seen = ~np.isnan(newest[k])
-            # an observation so old that its weight is 0 in doubles still is the last one
-            mean = np.where(seen, np.where(both > 0, new, newest[k]), mean)
-            weight = both
-        res = pdf[[*pc, CHUNK]].reset_index(drop=True)
+    def table(pdf: pd.DataFrame, at: str, out: np.ndarray) -> pd.DataFrame:
         values = pd.DataFrame(out, columns=names)
-        return pd.concat([res, values.astype(object).where(values.notna(), None) if values.isna().any().any() else values], axis=1)
+        values = values.astype(object).where(values.notna(), None) if values.isna().any().any() else values
+        return pd.concat([pdf[[*pc, at]].reset_index(drop=True), values], axis=1)
 
-    kinds = {f.name: f.dataType.simpleString() for f in ends.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*pc, CHUNK]) + ", " + ", ".join(f"{c} double" for c in names)
-    return ends.groupBy(*pc).applyInPandas(run, schema)
+    def over_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        return table(pdf, "_block", _scan(pdf, pdf["_block"].to_numpy(), float(b) * size, d, col_of, np.full(n, np.nan), np.zeros(n)))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK)
+        at = pdf[CHUNK].to_numpy()
+        mean, weight = pdf[[f"_m{i}" for i in range(n)]].iloc[0].to_numpy(float), pdf[[f"_v{i}" for i in range(n)]].iloc[0].to_numpy(float)
+        weight = weight * np.power(d, float(b) * (at[0] % size))
+        return table(pdf, CHUNK, _scan(pdf, at, float(b), d, col_of, mean, weight))
+
+    at = ends.withColumn("_block", F.floor(F.col(CHUNK) / F.lit(size)))
+    ages = ((F.col("_block") + 1) * size - 1 - F.col(CHUNK)).cast("double") * F.lit(float(b))
+    seen = lambda i: F.pow(F.lit(float(d[i])), ages) if d[i] > 0 else (ages == 0).cast("double")
+    sums = [F.sum(F.col(f"_{c}{i}") * seen(i)).alias(f"_{c}{i}") for i in range(n) for c in "sw"]
+    newest = [F.max_by(f"_x{j}", F.when(F.col(f"_x{j}").isNotNull(), F.col(CHUNK))).alias(f"_x{j}") for j in sorted(set(col_of))]
+    before = at.groupBy(*pc, "_block").agg(*sums, *newest).groupBy(*pc).applyInPandas(over_blocks, f"{keys}_block long, {states}")
+    before = before.withColumnsRenamed({f"_w{i}": f"_v{i}" for i in range(n)})
+    return null_safe_join(at, before, [*pc, "_block"]).groupBy(*pc, "_block").applyInPandas(inside, f"{keys}{CHUNK} {kinds[CHUNK]}, {states}")
 
 
 def ema_state(df: DataFrame, col: str, spans: Sequence[int], partition_cols=("series_id",), order_col: str = "ds",

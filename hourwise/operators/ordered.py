@@ -26,6 +26,8 @@ from hourwise.functions.names import lag_name, rolling_mean_name, rolling_std_na
 from hourwise.session import cut_lineage
 
 DEFAULT_CHUNK = 4096
+#: Chunks of a series whose states are passed on together.
+SCAN_ROWS = 4096
 POS = "_pos"
 CHUNK = "_chunk"
 OWN = "_own_chunk"
@@ -239,7 +241,7 @@ def fill_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, bool]], parti
     """Several fills in one pass.  ``specs`` = (source column, "forward" | "backward", output name, exclusive).
 
     chunked: local fill inside (series, chunk); one per-chunk summary aggregate holds the last (forward) /
-    first (backward) non-NULL value of every source; one window over the small chunk table carries them;
+    first (backward) non-NULL value of every source; a scan over the small chunk table carries them;
     one join on (series, chunk) brings the carries back.  Output columns replace same-named inputs.
     """
     pc = _cols(partition_cols)
@@ -272,12 +274,7 @@ def fill_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, bool]], parti
     summary = chunked.groupBy(*pc, CHUNK).agg(*[
         (F.max_by if d == "forward" else F.min_by)(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_s{i}")
         for i, (c, d) in enumerate(srcs)])
-    fw = Window.partitionBy(*pc).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    bw = Window.partitionBy(*pc).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    carry = summary.select(*pc, CHUNK, *[
-        (F.last(F.col(f"_s{i}"), ignorenulls=True).over(fw) if d == "forward"
-         else F.first(F.col(f"_s{i}"), ignorenulls=True).over(bw)).alias(f"_carry_{i}")
-        for i, (c, d) in enumerate(srcs)])
+    carry = _carried(summary, pc, [d for _, d in srcs])
     joined = null_safe_join(loc, carry, [*pc, CHUNK])
     vals = [F.coalesce(F.col(t), F.col(f"_carry_{srcs.index((src, direction))}"))
             for t, (src, direction, _, _) in zip(tmp, specs)]
@@ -286,6 +283,26 @@ def fill_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, bool]], parti
     return res.drop(*drop)
 
 
+def _carried(summary: DataFrame, pc: list[str], directions: list[str]) -> DataFrame:
+    """(keys, ``CHUNK``, ``_carry_i``): the nearest non-NULL ``_s{i}`` of a chunk before (forward) or after it. A scan of two
+    levels: inside blocks of ``SCAN_ROWS`` chunks, and over the blocks, so no window holds more rows than that for
+    series of up to ``SCAN_ROWS`` blocks."""
+
+    def scan(table: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+        back = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = Window.partitionBy(*keys).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+        return table.select(*dict.fromkeys([*keys, at]), *[
+            (F.last(f"_s{i}", ignorenulls=True).over(back) if d == "forward" else F.first(f"_s{i}", ignorenulls=True).over(ahead)).alias(f"{name}{i}")
+            for i, d in enumerate(directions)])
+
+    block = [*pc, "_block"]
+    inside = summary.withColumn("_block", F.floor(F.col(CHUNK) / F.lit(SCAN_ROWS)))
+    ends = inside.groupBy(*block).agg(*[
+        (F.max_by if d == "forward" else F.min_by)(F.col(f"_s{i}"), F.when(F.col(f"_s{i}").isNotNull(), F.col(CHUNK))).alias(f"_s{i}") for i, d in enumerate(directions)])
+    both = null_safe_join(scan(inside, block, CHUNK, "_in"), scan(ends, pc, "_block", "_out"), block)
+    return both.select(*pc, CHUNK, *[F.coalesce(f"_in{i}", f"_out{i}").alias(f"_carry_{i}") for i in range(len(directions))])
+
+
 def fill(df: DataFrame, cols, direction: str = "forward", partition_cols=("series_id",), order_col="ds",
          mode="chunked", chunk=DEFAULT_CHUNK, pos_col=None, exclusive: bool = False,
          out_names: Sequence[str] | None = None) -> DataFrame:

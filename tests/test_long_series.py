@@ -169,3 +169,24 @@ def test_tiles_are_bounded(spark):
 def test_digamma(spark):
     got = [r[0] for r in spark.range(1, 60).select(digamma(F.col("id"))).collect()]
     assert np.allclose(got, [_harmonic(m) for m in range(1, 60)], atol=1e-13)
+
+
+# ------------------------------------------------------------ scans over many chunks
+
+
+def test_carries_over_many_blocks(spark, monkeypatch):
+    """Hundreds of blocks of chunks in one series, long gaps in between: as pandas does on the whole series."""
+    from hourwise.operators import ema, ordered
+
+    monkeypatch.setattr(ordered, "SCAN_ROWS", 8)
+    monkeypatch.setattr(ema, "SCAN_ROWS", 8)
+    rng = np.random.default_rng(3)
+    v = [None if rng.random() < 0.3 or 900 < i < 1500 else float(x) for i, x in enumerate(rng.normal(size=3000))]
+    df = _series(spark, {"a": v, None: [None] * 40 + v[:200]})
+    got = ordered.ffill_bfill(ema.add_ema(df, "y", [1, 3, 50], chunk=2), "y", chunk=2).toPandas()
+    for key, values in (("a", v), (None, [None] * 40 + v[:200])):
+        own = got[got["series_id"].isna() if key is None else got["series_id"] == key].sort_values("ds")
+        want = pd.Series(values, dtype=float)
+        assert np.allclose(own["y"].to_numpy(float), want.ffill().bfill().to_numpy())
+        for span in (1, 3, 50):
+            assert np.allclose(own[f"ema_{span}h"].to_numpy(float), want.ewm(span=span).mean().to_numpy(), equal_nan=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hourwise import fixtures as fx
 from hourwise.catalog import GAPPY, HBT, HWIDE, r, register, rounded
 from hourwise.functions import time as tf
-from hourwise.operators import fft, knn, missing, ordered, spline
+from hourwise.operators import fft, knn, missing, ordered, selection, spline
 
 TWO_PI = 2.0 * math.pi
 
@@ -115,3 +115,24 @@ def seq_index_events(spark, sf):
     ev = fx.table(spark, sf, "events").select(F.col("event_type").alias("series_id"), "ts", "event_id")
     at = ordered.seq_index(ev, order_col="ts", bucket_rows=256)
     return at.groupBy("series_id", "ts").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+_EDGES, _PROBS = ("y", "n_click", "n_view", "H"), (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+
+
+@register("quantile_edges", f"""WITH {HWIDE},
+p AS (UNPIVOT (SELECT {', '.join(f'"{c}"::DOUBLE AS "{c}"' for c in _EDGES)} FROM hw) ON {', '.join(f'"{c}"' for c in _EDGES)} INTO NAME feature VALUE x)
+SELECT feature, prob, {r('quantile_disc(x, prob)')} AS value FROM p, (VALUES {', '.join(f'({q}::DOUBLE)' for q in _PROBS)}) t(prob) GROUP BY feature, prob""".replace("quantile_disc(x, prob)", "list_sort(list(x))[greatest(1, ceil(prob * count(*)))::BIGINT]"))
+def quantile_edges(spark, sf):
+    """Exact quantiles of several columns at once (edges of bins of equal depth)."""
+    return rounded(selection.quantile_edges(fx.hourly_wide(spark, sf), _EDGES, _PROBS))
+
+
+@register("corr_tiled", f"""WITH {HWIDE}, x AS (SELECT epoch_us(ds) // 3600000000 AS h, n_click::DOUBLE AS c, y FROM hw),
+w AS (SELECT unnest(range(40)) AS k),
+v AS (SELECT k, h, c * cos(0.1 * k) + coalesce(y, 0.0) * sin(0.1 * k) AS v FROM x, w)
+SELECT 'f' || a.k AS feature_a, 'f' || b.k AS feature_b, {r('corr(a.v, b.v)')} AS corr FROM v a JOIN v b ON a.h = b.h AND a.k < b.k GROUP BY a.k, b.k""")
+def corr_tiled(spark, sf):
+    """L2: correlations of forty mixtures of two columns, in tiles of sixteen."""
+    wide = fx.hourly_wide(spark, sf).select(*[(F.col("n_click") * math.cos(0.1 * k) + F.coalesce("y", F.lit(0.0)) * math.sin(0.1 * k)).alias(f"f{k}") for k in range(40)])
+    return rounded(selection.corr_matrix(wide, [f"f{k}" for k in range(40)], tile=16).select("feature_a", "feature_b", "corr"))

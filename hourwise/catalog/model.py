@@ -128,6 +128,20 @@ def interval(spark, sf):
     return rounded(mdl.predict(model, fut, OLS_SPEC).select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper"), 4)
 
 
+@register("interval_predictive", f"""WITH {HBT}, {_OLS_SQL},
+q AS (SELECT h.series_id, count(*) AS n, avg(h.t) AS mt, sum(h.t * h.t) - count(*) * avg(h.t) * avg(h.t) AS sxx FROM x h WHERE h.ds < {CUT} GROUP BY h.series_id)
+SELECT x.series_id, x.ds, {r('f.intercept + f.slope * x.t', 4)} AS yhat,
+       {r(f'(f.intercept + f.slope * x.t) - {_Z!r} * f.sigma * sqrt(1 + 1.0 / q.n + (x.t - q.mt) * (x.t - q.mt) / q.sxx)', 4)} AS yhat_lower,
+       {r(f'(f.intercept + f.slope * x.t) + {_Z!r} * f.sigma * sqrt(1 + 1.0 / q.n + (x.t - q.mt) * (x.t - q.mt) / q.sxx)', 4)} AS yhat_upper
+FROM x JOIN f ON x.series_id = f.series_id JOIN q ON q.series_id = f.series_id WHERE x.ds >= {CUT}""")
+def interval_predictive(spark, sf):
+    """80 % interval with the coefficients' uncertainty, which widens away from the history (a straight line has no
+    changepoints, so no coming changes)."""
+    df, model = _ols(spark, sf)
+    fut = df.filter(F.col("ds") >= cut_of(df))
+    return rounded(mdl.predict(model, fut, OLS_SPEC, intervals="predictive").select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper"), 4)
+
+
 _FF = "last_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _BF = "first_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 

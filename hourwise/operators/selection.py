@@ -10,13 +10,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.functions.names import is_derived
 from hourwise.operators.expand import interactions
 from hourwise.operators.joins import with_constants
+from hourwise.operators.ordered import seq_index
 from hourwise.operators.reduce import FANIN, sum_arrays
+from hourwise.session import cut_lineage
+
+
+#: Columns of a tile of cross products.
+CORR_TILE = 128
+CORR_SCHEMA = "feature_a string, feature_b string, pos_a int, pos_b int, corr double"
 
 
 def _q(c: str):
@@ -30,47 +38,60 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str = "y") -> D
     return wide.unpivot([], cols, "feature", "score")
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], tile: int = CORR_TILE) -> DataFrame:
     """L2: upper-triangle Pearson matrix in long form ``(feature_a, feature_b, pos_a, pos_b, corr)``,
     pairwise-complete rows (pandas ``corr``; NaN counts as missing, NULL where a column is constant).
 
-    One pass: each task adds up masked cross products of the mean-centred columns, O(p^2) numbers however many rows;
-    the tasks' sums are merged in two steps and turned into correlations where the last one lies.
+    One pass: each task adds up masked cross products of the mean-centred columns, O(p^2) numbers however many rows. They
+    go on in tiles of ``tile`` columns by as many, are merged by tile in two steps and turned into correlations there:
+    no buffer holds more than ``FANIN`` tiles, whatever the number of columns.
     """
     cols = list(cols)
     p = len(cols)
+    if p < 2:
+        return df.sparkSession.createDataFrame([], CORR_SCHEMA)
     value = lambda c: F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double"))
     means = df.agg(*[F.avg(value(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
-    names = [f"_x{i}" for i in range(p)]
     centred = with_constants(df.select(*[value(c).alias(f"_v{i}") for i, c in enumerate(cols)]), means).select(
-        *[(F.col(f"_v{i}") - F.col(f"_m{i}")).alias(n) for i, n in enumerate(names)])
+        F.array(*[F.col(f"_v{i}") - F.col(f"_m{i}") for i in range(p)]).alias("x"))
+    starts = list(range(0, p, tile))
 
     def partial(batches):
-        acc = np.zeros((4, p, p))
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
+        acc = {}
+        for b in batches:
+            column = b.column(0).combine_chunks() if hasattr(b.column(0), "combine_chunks") else b.column(0)
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
             m = (~np.isnan(x)).astype(float)
             x0 = np.nan_to_num(x)
-            acc += np.stack([m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0])
-        yield pd.DataFrame({"s": [acc.ravel()]})
+            for i in starts:
+                for j in starts:
+                    if j < i or not len(x):
+                        continue
+                    left, right, ml, mr = x0[:, i:i + tile], x0[:, j:j + tile], m[:, i:i + tile], m[:, j:j + tile]
+                    own = np.stack([ml.T @ mr, left.T @ mr, (left * left).T @ mr, left.T @ right, ml.T @ right, ml.T @ (right * right)])
+                    acc[i, j] = acc[i, j] + own if (i, j) in acc else own
+        for (i, j), v in acc.items():
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "size": pa.array([v.size], pa.int32()), "s": pa.array([v.ravel()], pa.list_(pa.float64()))})
 
     def finish(batches):
         for pdf in batches:
-            if pdf.empty or pdf["s"].iloc[0] is None or len(pdf["s"].iloc[0]) == 0:
-                continue
-            n, sx, sq, cxy = np.asarray(pdf["s"].iloc[0], dtype=float).reshape(4, p, p)
             out = []
-            for i in range(p):
-                for j in range(i + 1, p):
-                    vx, vy = n[i, j] * sq[i, j] - sx[i, j] ** 2, n[i, j] * sq[j, i] - sx[j, i] ** 2
-                    # each column against its own magnitude: the other's scale says nothing about it
-                    flat = vx <= 1e-12 * n[i, j] * sq[i, j] or vy <= 1e-12 * n[i, j] * sq[j, i]
-                    out.append((cols[i], cols[j], i, j, None if flat else (n[i, j] * cxy[i, j] - sx[i, j] * sx[j, i]) / np.sqrt(vx) / np.sqrt(vy)))
+            for i0, j0, s in pdf[["i", "j", "s"]].itertuples(index=False):
+                n, sx, sq, cxy, sy, sr = np.asarray(s, dtype=float).reshape(6, min(tile, p - i0), -1)
+                vx, vy = n * sq - sx ** 2, n * sr - sy ** 2
+                # each column against its own magnitude: the other's scale says nothing about it
+                flat = (vx <= 1e-12 * n * sq) | (vy <= 1e-12 * n * sr)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    corr = (n * cxy - sx * sy) / np.sqrt(vx) / np.sqrt(vy)
+                for a in range(corr.shape[0]):
+                    for b in range(max(0, i0 + a + 1 - j0), corr.shape[1]):
+                        out.append((cols[i0 + a], cols[j0 + b], i0 + a, j0 + b, None if flat[a, b] else corr[a, b]))
             yield pd.DataFrame(out, columns=["feature_a", "feature_b", "pos_a", "pos_b", "corr"])
 
-    parts = centred.mapInPandas(partial, "s array<double>").withColumn("_part", F.spark_partition_id() % FANIN)
-    merged = parts.groupBy("_part").agg(sum_arrays("s", 4 * p * p).alias("s")).agg(sum_arrays("s", 4 * p * p).alias("s"))
-    return merged.mapInPandas(finish, "feature_a string, feature_b string, pos_a int, pos_b int, corr double")
+    parts = centred.mapInArrow(partial, "i int, j int, size int, s array<double>").withColumn("_part", F.spark_partition_id() % FANIN)
+    for keys in (["i", "j", "size", "_part"], ["i", "j", "size"]):
+        parts = parts.groupBy(*keys).agg(sum_arrays("s", F.col("size")).alias("s"))
+    return parts.mapInPandas(finish, CORR_SCHEMA)
 
 
 def prune_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.9, corr: DataFrame | None = None) -> DataFrame:
@@ -160,6 +181,24 @@ def mutual_info(df: DataFrame, cols: Sequence[str], target: str = "y", bins: int
     return out.join(F.broadcast(names), "feature", "right").select("feature", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def quantile_edges(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact discrete quantiles of all columns at once: (feature, prob, value), the smallest value with at least that share
+    of the column's known (not NULL, not NaN) values at or below it; a column without one has no row.
+
+    Values are counted, and their running counts come from ``seq_index``: a tree of buckets, counted again only where a
+    bucket is full. No buffer and no task holds a whole column.
+    """
+    cols = list(cols)
+    value = lambda c: F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in cols])).alias("v")).select("v.*")
+    counts = cut_lineage(long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")), "quantile-values")
+    running = seq_index(counts, ["feature"], "value", out="before", weight="c")
+    total = counts.groupBy("feature").agg(F.sum("c").alias("n"))
+    ranked = running.join(total, "feature").withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
+    rank = F.greatest(F.ceil(F.col("prob") * F.col("n")), F.lit(1))
+    return ranked.filter((rank > F.col("before")) & (rank <= F.col("before") + F.col("c"))).select("feature", "prob", "value")
+
+
 def sort_scores(scores: DataFrame, ascending: bool = False, col: str = "score") -> DataFrame:
     """O1/O2: ranked score table (ties broken by name); the table has one row per feature."""
     order = F.col(col).asc() if ascending else F.col(col).desc()
@@ -183,8 +222,6 @@ def select_by_mi(df: DataFrame, cols: Sequence[str], target: str = "y", top: int
     keep score > threshold.  Returns (frame with the interaction columns, selected score table).
 
     The only value brought to the driver is the top-k name list (k rows)."""
-    from hourwise.session import cut_lineage
-
     df = cut_lineage(df)  # scanned by two scoring passes, the top-k action and the interactions
     scores = mutual_info(df, cols, target, bins)
     if not rescore:

@@ -216,7 +216,20 @@ def _reweighted(a: np.ndarray, b: np.ndarray, ridge: np.ndarray, l1: np.ndarray,
     return x, False
 
 
-MODEL_SCHEMA = "_sid string, beta array<double>, sigma double, sse double, n double, converged boolean"
+MODEL_SCHEMA = "_sid string, beta array<double>, sigma double, sse double, n double, converged boolean, factor array<double>"
+
+
+def _factor(a: np.ndarray, ridge: np.ndarray, l1: np.ndarray, beta: np.ndarray) -> list[float]:
+    """Inverse of the triangular factor of the penalised Gram at ``beta``, row by row: a row x of the design has the
+    coefficients' variance |factor x|^2 sigma^2. Directions that the data doesn't tell have none."""
+    values, vectors = np.linalg.eigh(a + np.diag(ridge + l1 / (2.0 * np.maximum(np.abs(beta), 1e-6))))
+    good = values > 1e-10 * max(float(values.max(initial=0.0)), 1e-300)
+    root = vectors[:, good] / np.sqrt(values[good])
+    # the same quadratic form by a triangle: R of the QR factors of the root's transpose
+    tri = np.linalg.qr(root.T, mode="r") if root.size else np.zeros((0, len(beta)))
+    out = np.zeros((len(beta), len(beta)))
+    out[:len(tri)] = tri
+    return out.ravel().tolist()
 
 
 def _solve(grams: DataFrame, spec: ForecastSpec, p: int) -> DataFrame:
@@ -227,8 +240,8 @@ def _solve(grams: DataFrame, spec: ForecastSpec, p: int) -> DataFrame:
             out = []
             for sid, xtx, xty, yty, n in pdf[["_sid", "xtx", "xty", "yty", "n"]].itertuples(index=False):
                 beta, s2, ok = solve_penalized(np.asarray(xtx, dtype=float).reshape(p, p), np.asarray(xty, dtype=float), float(yty), float(n), spec)
-                out.append((sid, beta.tolist(), math.sqrt(s2), s2 * n, n, ok))
-            yield pd.DataFrame(out, columns=["_sid", "beta", "sigma", "sse", "n", "converged"])
+                out.append((sid, beta.tolist(), math.sqrt(s2), s2 * n, n, ok, _factor(np.asarray(xtx, dtype=float).reshape(p, p), *_penalties(spec, n, s2), beta)))
+            yield pd.DataFrame(out, columns=["_sid", "beta", "sigma", "sse", "n", "converged", "factor"])
 
     return grams.mapInPandas(fn, MODEL_SCHEMA)
 
@@ -237,7 +250,7 @@ def _model_table(coefs: DataFrame, stats: DataFrame, spec: ForecastSpec) -> Data
     terms = F.array(*[F.lit(t) for t in spec.term_names()])
     joined = with_constants(coefs, stats.drop("_sid", "n_obs")) if spec.scope == "global" else coefs.join(stats, "_sid", "inner")
     return joined.select(
-        "_sid", terms.alias("terms"), "beta", "sigma", "n", "converged", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints",
+        "_sid", terms.alias("terms"), "beta", "sigma", "n", "converged", "factor", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints",
         F.lit(spec.mode).alias("mode"))
 
 
@@ -285,7 +298,7 @@ def _fit_multiplicative(design: DataFrame, stats: DataFrame, spec: ForecastSpec,
             done = True
             break
         prev_sse = sse
-    both = params.select("_sid", F.concat("theta", "phi").alias("beta"), "sigma", "n", (F.col("converged") & F.lit(done)).alias("converged"))
+    both = params.select("_sid", F.concat("theta", "phi").alias("beta"), "sigma", "n", (F.col("converged") & F.lit(done)).alias("converged"), "factor")
     return _model_table(both, stats, spec)
 
 
@@ -293,7 +306,7 @@ def _with_params(df: DataFrame, params: DataFrame, spec: ForecastSpec) -> DataFr
     return with_constants(df, params.drop("_sid")) if spec.scope == "global" else df.join(params, "_sid")
 
 
-GN_SCHEMA = "_sid string, theta array<double>, phi array<double>, sigma double, sse double, n double, converged boolean"
+GN_SCHEMA = "_sid string, theta array<double>, phi array<double>, sigma double, sse double, n double, converged boolean, factor array<double>"
 
 
 #: Share of the Gram's diagonal that is added to it in a Gauss-Newton step; it changes the path, not the end.
@@ -316,8 +329,8 @@ def _gn_step_fn(spec: ForecastSpec, n_trend: int, n_seas: int, n_reg: int):
                 # damped where trend and seasons explain the same (a daily season of daily data)
                 d, ok = _reweighted(jtj + DAMPING * np.diag(np.diag(jtj)), np.asarray(xty, dtype=float), ridge, l1, np.zeros(p), cur)
                 new = cur + d
-                out.append((sid, new[:n_trend].tolist(), new[n_trend:].tolist(), math.sqrt(sigma2), float(yty), n, ok))
-            yield pd.DataFrame(out, columns=["_sid", "theta", "phi", "sigma", "sse", "n", "converged"])
+                out.append((sid, new[:n_trend].tolist(), new[n_trend:].tolist(), math.sqrt(sigma2), float(yty), n, ok, _factor(jtj, ridge, l1, new)))
+            yield pd.DataFrame(out, columns=["_sid", "theta", "phi", "sigma", "sse", "n", "converged", "factor"])
 
     return fn
 
@@ -330,12 +343,17 @@ def _dot(a: str, b: str) -> Column:
 
 
 def predict(model: DataFrame, future: DataFrame, spec: ForecastSpec, series_col: str = "series_id",
-            intervals: bool = True) -> DataFrame:
+            intervals: bool | str = True) -> DataFrame:
     """G6 + G7: components and ``yhat`` for rows carrying ``ds`` (and the regressors); the model table
-    (one row per series) is joined on the series key.  Interval: ``yhat +/- z * sigma`` (residual noise).
+    (one row per series) is joined on the series key.  Interval: ``yhat +/- z * sigma`` (residual noise), or with
+    ``intervals="predictive"`` one that widens: the noise, the coefficients' own uncertainty (the model's ``factor``),
+    and, after the history's end, trend changes to come. These are as frequent as the model's changepoints and as large
+    as its changes are on average (Laplace), and add up to a variance in closed form; nothing is simulated.
     Rows of a series without a model stay, with NULL predictions (``without_model`` lists these series)."""
-    table = model.select("_sid", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints", "beta", "sigma")
-    d = design_frame(future, table, spec, series_col, y=None, also=("beta", "sigma"))
+    wide = intervals == "predictive"
+    also = ("beta", "sigma", "factor") if wide else ("beta", "sigma")
+    table = model.select("_sid", "t0", "t1", "y_scale", "reg_mean", "reg_std", "changepoints", *also)
+    d = design_frame(future, table, spec, series_col, y=None, also=also)
     keep = [c for c in d.columns if c in (series_col,)]
     n_trend, n_seas, n_reg = spec.blocks()
     b = F.col("beta")
@@ -353,8 +371,12 @@ def predict(model: DataFrame, future: DataFrame, spec: ForecastSpec, series_col:
     else:
         yhat_s = trend + seas + reg
     ys = F.col("y_scale")
+    sigma = F.col("sigma")
+    if wide:
+        season = F.lit(1.0) + seas + reg if spec.mode == "multiplicative" else F.lit(1.0)
+        sigma = F.sqrt(sigma * sigma * (F.lit(1.0) + _spread(spec, trend, season)) + season * season * _coming_changes(spec))
     out = d.select(*keep, "ds", (trend * ys).alias("trend"), (seas * ys).alias("seasonal"), (reg * ys).alias("regressors"),
-                   (yhat_s * ys).alias("yhat"), (F.col("sigma") * ys).alias("_sig"))
+                   (yhat_s * ys).alias("yhat"), (sigma * ys).alias("_sig"))
     if intervals:
         z = spec.z()
         out = out.withColumn("yhat_lower", F.col("yhat") - F.lit(z) * F.col("_sig")).withColumn(
@@ -362,6 +384,27 @@ def predict(model: DataFrame, future: DataFrame, spec: ForecastSpec, series_col:
     return out.drop("_sig")
 
 
+def _spread(spec: ForecastSpec, trend: Column, season: Column) -> Column:
+    """|factor x|^2 of a row of the design (for a multiplicative model, of its derivatives in the coefficients)."""
+    p = sum(spec.blocks())
+    x = F.col("x")
+    if spec.mode == "multiplicative":
+        x = F.concat(F.transform("trend_x", lambda v: v * season), F.transform(F.concat("seas_x", "reg_x"), lambda v: v * trend))
+    dot = lambda i: F.aggregate(F.zip_with(F.slice("factor", i * p + 1, p), x, lambda u, v: u * v), F.lit(0.0), lambda a, z: a + z)
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.pow(dot(i), F.lit(2.0))), F.lit(0.0), lambda a, z: a + z)
+
+
+def _coming_changes(spec: ForecastSpec) -> Column:
+    """Variance of the trend from changes after the history's end: n changes a history, each Laplace with the mean size of
+    the model's, at even risk: n 2 size^2 h^3 / 3 for h histories ahead."""
+    n = spec.n_changepoints
+    if not n:
+        return F.lit(0.0)
+    size = F.aggregate(F.transform(F.slice("beta", 3, n), lambda v: F.abs(v)), F.lit(0.0), lambda a, z: a + z) / F.lit(float(n))
+    ahead = F.greatest(F.col("t") - F.lit(1.0), F.lit(0.0))
+    return F.lit(2.0 * n / 3.0) * size * size * ahead * ahead * ahead
+
+
 def without_model(model: DataFrame, future: DataFrame, series_col: str = "series_id") -> DataFrame:
     """Series of ``future`` that have no row in the model table (``predict`` gives them NULLs)."""
     known = model.select(F.nullif("_sid", F.lit(NULL_ID)).alias(series_col))

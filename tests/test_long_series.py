@@ -190,3 +190,71 @@ def test_carries_over_many_blocks(spark, monkeypatch):
         assert np.allclose(own["y"].to_numpy(float), want.ffill().bfill().to_numpy())
         for span in (1, 3, 50):
             assert np.allclose(own[f"ema_{span}h"].to_numpy(float), want.ewm(span=span).mean().to_numpy(), equal_nan=True)
+
+
+# ------------------------------------------------------------ many columns, exact quantiles, widening intervals
+
+
+def test_corr_of_many_columns(spark):
+    from hourwise.operators.selection import corr_matrix
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 150)) @ rng.normal(size=(150, 150))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 8] = 3.0, x[:, 9] * 1e-8
+    df = pd.DataFrame(x, columns=[f"c{i}" for i in range(150)])
+    got = corr_matrix(spark.createDataFrame(df).repartition(5), list(df.columns), tile=64).toPandas()
+    want = df.corr().to_numpy()
+    assert len(got) == 150 * 149 // 2
+    own = np.array([np.nan if v is None else v for v in got["corr"]], dtype=float)
+    ref = want[got["pos_a"], got["pos_b"]]
+    const = (got["pos_a"] == 7) | (got["pos_b"] == 7)
+    assert np.isnan(own[const]).all() and np.allclose(own[~const], ref[~const], atol=1e-9)
+
+
+def test_quantile_edges_are_exact(spark):
+    from hourwise.operators.selection import quantile_edges
+
+    rng = np.random.default_rng(2)
+    cols = {"a": rng.normal(size=4000) * 1e6, "ties": np.floor(rng.exponential(size=4000)), "tiny": rng.normal(size=4000) * 1e-9}
+    cols["a"][::7] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(cols)).withColumn("none", F.lit(None).cast("double")).repartition(4)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
+    got = {(r["feature"], r["prob"]): r["value"] for r in quantile_edges(df, [*cols, "none"], probs).collect()}
+    for c, v in cols.items():
+        v = np.sort(v[~np.isnan(v)])
+        for q in probs:
+            assert got[c, q] == v[max(1, int(np.ceil(q * len(v)))) - 1]
+    assert len(got) == 18
+
+
+@pytest.mark.parametrize("mode", ["additive", "multiplicative"])
+def test_predictive_interval_equals_its_formula(spark, mode):
+    from hourwise.plans import model
+    from hourwise.plans.spec import ForecastSpec
+
+    spec = ForecastSpec(mode=mode, n_changepoints=4, yearly=0, weekly=0, daily=2)
+    rng = np.random.default_rng(1)
+    hours = np.arange(300)
+    y = (50 + 0.1 * hours + 0.3 * np.maximum(0, hours - 100)) * (1 + 0.2 * np.sin(hours * 2 * np.pi / 24)) + rng.normal(size=300)
+    df = _series(spark, {"s": y})
+    hist = df.filter(F.col("ds") < F.lit(T0 + dt.timedelta(hours=220)).cast("timestamp_ntz"))
+    fitted = model.fit(hist, spec)
+    out = model.predict(fitted, df, spec, intervals="predictive").orderBy("ds").toPandas()
+    m = fitted.first()
+    d = model.design_frame(df, fitted.drop("sigma", "beta", "factor"), spec).orderBy("ds").toPandas()
+    x, t = np.stack(d["x"]), d["t"].to_numpy()
+    beta, p = np.array(m["beta"]), x.shape[1]
+    nt = 2 + spec.n_changepoints
+    trend, season = x[:, :nt] @ beta[:nt], x[:, nt:] @ beta[nt:]
+    jac = x if mode == "additive" else np.column_stack([x[:, :nt] * (1 + season)[:, None], x[:, nt:] * trend[:, None]])
+    own = jac[:220]
+    ridge, l1 = model._penalties(spec, 220.0, m["sigma"] ** 2)
+    cov = np.linalg.pinv(own.T @ own + np.diag(ridge + l1 / (2 * np.maximum(np.abs(beta), 1e-6))), rcond=1e-10, hermitian=True)
+    ahead = np.maximum(t - 1, 0)
+    size = np.abs(beta[2:nt]).mean()
+    var = m["sigma"] ** 2 * (1 + np.einsum("ij,jk,ik->i", jac, cov, jac)) + (1 if mode == "additive" else (1 + season) ** 2) * 2 * 4 / 3 * size**2 * ahead**3
+    want = spec.z() * np.sqrt(var) * m["y_scale"]
+    got = (out["yhat_upper"] - out["yhat"]).to_numpy()
+    assert np.allclose(got, want, rtol=0.02 if mode == "multiplicative" else 1e-6)
+    assert (np.diff(got[230:]) > 0).mean() > 0.6 and got[-1] > 1.2 * got[100]

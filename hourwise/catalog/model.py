@@ -323,6 +323,49 @@ def forecast_recursive(spark, sf):
     return rounded(_forecast_recursive(model, hist, fut, spec))
 
 
+RECURSIVE_SPEC = OLS_SPEC.with_regressors(("lag_1",))
+
+
+@register("forecast_recursive_lag", f"""WITH RECURSIVE {HBT},
+h AS (SELECT series_id, ds, y, {EH} AS t, lag(y) OVER ({W_SER}) AS l FROM hbt WHERE ds < {CUT}),
+m AS (SELECT series_id, avg(t) AS mt, avg(l) AS ml, avg(y) AS my, covar_pop(t, t) AS tt, covar_pop(t, l) AS tl, covar_pop(l, l) AS ll, covar_pop(t, y) AS ty, covar_pop(l, y) AS ly
+      FROM h WHERE l IS NOT NULL GROUP BY series_id),
+c AS (SELECT *, (ll * ty - tl * ly) / (tt * ll - tl * tl) AS bt, (tt * ly - tl * ty) / (tt * ll - tl * tl) AS bl FROM m),
+f AS (SELECT series_id, ds, {EH} AS t, row_number() OVER ({W_SER}) AS k FROM hbt WHERE ds >= {CUT}),
+r AS (SELECT series_id, 0::BIGINT AS k, NULL::TIMESTAMP AS ds, arg_max(y, ds) AS yhat FROM h GROUP BY series_id
+      UNION ALL
+      SELECT f.series_id, f.k, f.ds, c.my + c.bt * (f.t - c.mt) + c.bl * (r.yhat - c.ml) FROM r JOIN f ON f.series_id = r.series_id AND f.k = r.k + 1 JOIN c ON c.series_id = f.series_id)
+SELECT series_id, ds, {r('yhat', 4)} AS yhat FROM r WHERE k > 0""")
+def forecast_recursive_lag(spark, sf):
+    """Recursion on trend and the hour before, fitted by least squares on the history."""
+    df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
+    hist, fut = df.filter(F.col("ds") < cut_of(df)), df.filter(F.col("ds") >= cut_of(df)).select("series_id", "ds")
+    model = mdl.fit(ordd.add_lags(hist, "y", [1]).filter("lag_1 is not null"), RECURSIVE_SPEC)
+    return rounded(_forecast_recursive(model, hist, fut, RECURSIVE_SPEC).select("series_id", "ds", "yhat"), 4)
+
+
+_FOLDS, _ALPHAS = 5, 20
+
+
+@register("lasso_cv_single", f"""WITH {HWIDE},
+d AS (SELECT n_click::DOUBLE AS x, (n_click + n_view)::DOUBLE AS y, row_number() OVER (ORDER BY ds) - 1 AS i, count(*) OVER () AS n FROM hw),
+k AS (SELECT x, y, n, CASE WHEN i < (n // {_FOLDS} + 1) * (n % {_FOLDS}) THEN i // (n // {_FOLDS} + 1) ELSE n % {_FOLDS} + (i - (n // {_FOLDS} + 1) * (n % {_FOLDS})) // (n // {_FOLDS}) END AS fold FROM d),
+s AS (SELECT fold, count(*)::DOUBLE AS m, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM k GROUP BY fold),
+t AS (SELECT sum(m) AS m, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM s),
+a AS (SELECT g, abs(sxy - sx * sy / m) / m * pow(10.0, -3.0 * g / {_ALPHAS - 1}) AS alpha FROM t, range({_ALPHAS}) r(g)),
+p AS (SELECT s.*, g, alpha, t.m - s.m AS om, (t.sx - s.sx) / (t.m - s.m) AS mx, (t.sy - s.sy) / (t.m - s.m) AS my,
+             (t.sxx - s.sxx) - (t.sx - s.sx) * (t.sx - s.sx) / (t.m - s.m) AS cxx, (t.sxy - s.sxy) - (t.sx - s.sx) * (t.sy - s.sy) / (t.m - s.m) AS cxy FROM s, t, a),
+b AS (SELECT *, sign(cxy) * greatest(abs(cxy) - alpha * om, 0) / cxx AS b FROM p),
+e AS (SELECT g, alpha, avg((syy - 2 * ((my - mx * b) * sy + b * sxy) + (my - mx * b) * (my - mx * b) * m + 2 * (my - mx * b) * b * sx + b * b * sxx) / m) AS mse FROM b GROUP BY g, alpha),
+z AS (SELECT alpha FROM e ORDER BY mse, g LIMIT 1),
+f AS (SELECT alpha, sign(sxy - sx * sy / m) * greatest(abs(sxy - sx * sy / m) - alpha * m, 0) / (sxx - sx * sx / m) AS coef FROM z, t)
+SELECT 'n_click' AS feature, {r('coef')} AS coef, {r('alpha')} AS alpha, coef <> 0 AS selected FROM f""")
+def lasso_cv_single(spark, sf):
+    """Cross-validated Lasso of one feature, where each step has a closed form."""
+    df = fx.hourly_wide(spark, sf).withColumn("n_both", F.col("n_click") + F.col("n_view"))
+    return rounded(_lasso_cv(df, ["n_click"], "n_both", folds=_FOLDS, n_alphas=_ALPHAS))
+
+
 def _sel_frame(spark, sf):
     from hourwise.catalog.selection import FEATS, selection_frame
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from hourwise.functions import time as tf
 from hourwise.operators.ema import decay, ema_state
-from hourwise.operators.joins import with_constants
-from hourwise.plans.model import TWO_PI
+from hourwise.operators.joins import null_safe_join, with_constants
+from hourwise.plans.model import NULL_ID, TWO_PI
 from hourwise.plans.spec import ForecastSpec
 
 _LAG = re.compile(r"^lag_(\d+)$")
@@ -140,12 +140,12 @@ def forecast_recursive(model: DataFrame, history: DataFrame, future: DataFrame,
     tail = hist.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= tail_rows(spec)).drop("_n")
     spans = _spans(spec)
     if spans:
-        tail = tail.join(ema_state(hist, "y", spans, [series_col]), series_col, "left")
+        tail = null_safe_join(tail, ema_state(hist, "y", spans, [series_col]), [series_col])
     exo = [r for r in spec.regressors if _target_feature(r) is None]
     fut = future.select(series_col, "ds", *[F.col(f"`{c}`").cast("double").alias(c) for c in exo],
                         F.lit(None).cast("double").alias("y"), F.lit(1).alias("_future"))
     rows = tail.unionByName(fut, allowMissingColumns=True).withColumn("_h", tf.epoch_hours("ds").cast("double"))
-    rows = rows.withColumn("_sid", F.col(series_col).cast("string"))
+    rows = rows.withColumn("_sid", F.coalesce(F.col(series_col).cast("string"), F.lit(NULL_ID)))
     if spec.scope == "global":  # a pooled model still recurses per series: its one row goes to every series
         mdl = with_constants(rows.select("_sid").distinct(), model.drop("_sid"))
     else:

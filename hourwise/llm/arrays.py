@@ -52,15 +52,31 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # a C library without it
+            _give_back()
 
     return ended
 
 
+def lean_group(run: Callable) -> Callable:
+    """``run`` for ``applyInPandas`` over large groups; free memory goes back to the system after each of them."""
+
+    @wraps(run)
+    def ended(group):
+        out = run(group)
+        _give_back()
+        return out
+
+    return ended
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit hash (fixed multipliers of splitmix64)."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)

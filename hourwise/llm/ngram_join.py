@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.arrays import FOLDED_BYTE, U64, Piece, lean, mix, pieces, span_hashes, sums, windows, words
+from hourwise.llm.arrays import FOLDED_BYTE, U64, Piece, lean, lean_group, mix, pieces, span_hashes, sums, windows, words
 from hourwise.llm.components import components
 from hourwise.llm.store import handed
 
@@ -167,9 +167,9 @@ def _shared_entries(n_row_blocks: int):
         distinct, one, back = np.unique(nodes, return_index=True, return_inverse=True)
         owner = np.repeat(back, counts).astype(np.int64)
         grams = np.concatenate([_unpack40(x) for x in group["grams"]])
-        order = np.argsort(grams, kind="stable")
-        order = order[np.lexsort((owner[order], grams[order]))] if len(distinct) < len(nodes) else order
+        order = np.lexsort((owner, grams)) if len(distinct) < len(nodes) else np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
+        del order
         keep = np.ones(len(grams), dtype=bool)  # copies that several tasks sent count once
         keep[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
         grams, owner = grams[keep], owner[keep]
@@ -216,8 +216,8 @@ def incidence(docs: DataFrame, entries: int, sets: int, text_col: str = "text")
     """``ROW_SCHEMA``: one row for each distinct set that can reach the similarity with another."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_columns, n_rows = max(least, -(-entries // BLOCK_ENTRIES)), max(least, -(-sets // BLOCK_ROWS))
-    shared = _column_blocks(docs, text_col, n_columns).groupBy("block").applyInPandas(_shared_entries(n_rows), BLOCK + ", shared_by binary, column int")
-    return shared.groupBy("block").applyInPandas(_rows, ROW_SCHEMA)
+    shared = _column_blocks(docs, text_col, n_columns).groupBy("block").applyInPandas(lean_group(_shared_entries(n_rows)), BLOCK + ", shared_by binary, column int")
+    return shared.groupBy("block").applyInPandas(lean_group(_rows), ROW_SCHEMA)
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:

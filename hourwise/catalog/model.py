@@ -20,6 +20,7 @@ from hourwise.operators.mlselect import rfe_forest as _rfe
 from hourwise.plans import model as mdl
 from hourwise.plans.evaluate import compare, evaluate
 from hourwise.plans.recursive import forecast_recursive as _forecast_recursive
+from hourwise.plans.recursive_long import forecast_recursive_long as _forecast_recursive_long
 from hourwise.plans.spec import CONFIG_A, CONFIG_B, CONFIG_B_LOCAL, ForecastSpec
 from hourwise.plans.workflows import engineer, prepare_future as _prepare_future
 from hourwise.plans.workflows import train, train_then_forecast as _ttf
@@ -326,7 +327,7 @@ def forecast_recursive(spark, sf):
 RECURSIVE_SPEC = OLS_SPEC.with_regressors(("lag_1",))
 
 
-@register("forecast_recursive_lag", f"""WITH RECURSIVE {HBT},
+_RECURSIVE_SQL = f"""WITH RECURSIVE {HBT},
 h AS (SELECT series_id, ds, y, {EH} AS t, lag(y) OVER ({W_SER}) AS l FROM hbt WHERE ds < {CUT}),
 m AS (SELECT series_id, avg(t) AS mt, avg(l) AS ml, avg(y) AS my, covar_pop(t, t) AS tt, covar_pop(t, l) AS tl, covar_pop(l, l) AS ll, covar_pop(t, y) AS ty, covar_pop(l, y) AS ly
       FROM h WHERE l IS NOT NULL GROUP BY series_id),
@@ -335,13 +336,26 @@ f AS (SELECT series_id, ds, {EH} AS t, row_number() OVER ({W_SER}) AS k FROM hbt
 r AS (SELECT series_id, 0::BIGINT AS k, NULL::TIMESTAMP AS ds, arg_max(y, ds) AS yhat FROM h GROUP BY series_id
       UNION ALL
       SELECT f.series_id, f.k, f.ds, c.my + c.bt * (f.t - c.mt) + c.bl * (r.yhat - c.ml) FROM r JOIN f ON f.series_id = r.series_id AND f.k = r.k + 1 JOIN c ON c.series_id = f.series_id)
-SELECT series_id, ds, {r('yhat', 4)} AS yhat FROM r WHERE k > 0""")
-def forecast_recursive_lag(spark, sf):
-    """Recursion on trend and the hour before, fitted by least squares on the history."""
+SELECT series_id, ds, {r('yhat', 4)} AS yhat FROM r WHERE k > 0"""
+
+
+def _recursive_case(spark, sf):
     df = fx.hourly_by_type(spark, sf).select("series_id", "ds", "y")
     hist, fut = df.filter(F.col("ds") < cut_of(df)), df.filter(F.col("ds") >= cut_of(df)).select("series_id", "ds")
     model = mdl.fit(ordd.add_lags(hist, "y", [1]).filter("lag_1 is not null"), RECURSIVE_SPEC)
-    return rounded(_forecast_recursive(model, hist, fut, RECURSIVE_SPEC).select("series_id", "ds", "yhat"), 4)
+    return model, hist, fut, RECURSIVE_SPEC
+
+
+@register("forecast_recursive_lag", _RECURSIVE_SQL)
+def forecast_recursive_lag(spark, sf):
+    """Recursion on trend and the hour before, fitted by least squares on the history."""
+    return rounded(_forecast_recursive(*_recursive_case(spark, sf)).select("series_id", "ds", "yhat"), 4)
+
+
+@register("forecast_recursive_long", _RECURSIVE_SQL)
+def forecast_recursive_long(spark, sf):
+    """The same recursion, its horizon cut into blocks of 32 hours that are forecast side by side."""
+    return rounded(_forecast_recursive_long(*_recursive_case(spark, sf), block=32).select("series_id", "ds", "yhat"), 4)
 
 
 _FOLDS, _ALPHAS = 5, 20

@@ -258,3 +258,37 @@ def test_predictive_interval_equals_its_formula(spark, mode):
     got = (out["yhat_upper"] - out["yhat"]).to_numpy()
     assert np.allclose(got, want, rtol=0.02 if mode == "multiplicative" else 1e-6)
     assert (np.diff(got[230:]) > 0).mean() > 0.6 and got[-1] > 1.2 * got[100]
+
+
+# ------------------------------------------------------------ long recursive horizons
+
+
+@pytest.mark.parametrize("mode", ["additive", "multiplicative"])
+def test_long_horizon_equals_the_replay(spark, mode):
+    from hourwise.plans import model
+    from hourwise.plans.recursive import forecast_recursive
+    from hourwise.plans.recursive_long import forecast_recursive_long
+    from hourwise.plans.workflows import target_features  # noqa: F401 - the features below are its own names
+    from hourwise.operators import ordered
+    from hourwise.operators.ema import add_ema
+    from hourwise.plans.spec import ForecastSpec
+
+    rng = np.random.default_rng(4)
+    hours, cut = 500, 120
+    wave = np.sin(np.arange(hours) * 2 * np.pi / 24)
+    rows = [(k, T0 + dt.timedelta(hours=h), float(20 + a * wave[h] + 0.01 * h + rng.normal()), None if h % 11 == 5 else float(wave[h])) for k, a in (("a", 2.0), (None, 5.0), ("new", 1.0)) for h in range(hours)]
+    df = spark.createDataFrame(rows, "series_id string, ds timestamp_ntz, y double, x double")
+    at = F.lit(T0 + dt.timedelta(hours=cut)).cast("timestamp_ntz")
+    hist, fut = df.filter((F.col("ds") < at) & ~F.col("series_id").eqNullSafe("new")), df.filter(F.col("ds") >= at).drop("y")
+    feats = add_ema(ordered.add_history_features(hist, "y", [1, 24], [6], exclude_current=True), "y", [12], exclude_current=True)
+    spec = ForecastSpec(mode=mode, n_changepoints=2, yearly=0, weekly=0, daily=1).with_regressors(("lag_1", "lag_24", "rolling_mean_6h", "ema_12h", "x"))
+    fitted = model.fit(feats.dropna(subset=["lag_24", "rolling_mean_6h", "ema_12h", "x"]), spec)
+    want = forecast_recursive(fitted, hist, fut, spec).toPandas().set_index(["series_id", "ds"]).sort_index()
+    for block in (30, 100):
+        got = forecast_recursive_long(fitted, hist, fut, spec, block=block).toPandas().set_index(["series_id", "ds"]).sort_index()
+        assert len(got) == len(want) == 3 * (hours - cut) and got.index.equals(want.index)
+        for c in ("yhat", "yhat_lower", "yhat_upper"):
+            assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-7, equal_nan=True)
+    assert want.loc["new"]["yhat"].isna().all() and want.loc["a"]["yhat"].notna().all()
+    with pytest.raises(ValueError, match="standard deviation"):
+        forecast_recursive_long(fitted, hist, fut, spec.with_regressors(("rolling_std_6h",)))

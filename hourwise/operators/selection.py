@@ -223,14 +223,15 @@ def select_by_mi(df: DataFrame, cols: Sequence[str], target: str = "y", top: int
 
     The only value brought to the driver is the top-k name list (k rows)."""
     df = cut_lineage(df)  # scanned by two scoring passes, the top-k action and the interactions
-    scores = mutual_info(df, cols, target, bins)
+    scores = cut_lineage(mutual_info(df, cols, target, bins), "scores")  # one row per feature
     if not rescore:
         return df, threshold_select(scores, threshold)
     best = [r["feature"] for r in top_k(scores, top).collect()]
     base = [c for c in best if not (exclude_derived and is_derived(c))]
     wide = interactions(df, base)
     new = [c for c in wide.columns if c not in df.columns]
-    rescored = mutual_info(wide, list(cols) + new, target, bins)
+    # a column's score is the same beside new columns: only these are scored
+    rescored = scores.unionByName(mutual_info(wide, new, target, bins)) if new else scores
     return wide, threshold_select(rescored, threshold)
 
 

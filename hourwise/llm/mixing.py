@@ -43,6 +43,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
             .select("source", "source_size", "target"))
 
 
+#: Slots that a task fills, about.
+FILL_SLOTS = 1 << 16
+
+
 def _permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of 0..size-1 applied to ``index``: Feistel rounds on the next even number of bits,
     walked on until the value is below ``size``."""
@@ -101,7 +105,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
     parts = "source_key long, blocks long, part long, n long, rank long"
     dealt = quotas.mapInPandas(lean(deal), parts).repartition("source_key", "part").mapInPandas(lean(deal_group), parts)
-    return dealt.repartition("source_key", "part").mapInPandas(lean(fill), "source_key long, shard long, slot long, block long, epoch long")
+    # a few rows become many slots, so their number, not their bytes, decides the number of tasks
+    tasks = max(1, -(-total // FILL_SLOTS))
+    return dealt.repartition(tasks, "source_key", "part").mapInPandas(lean(fill), "source_key long, shard long, slot long, block long, epoch long")
 
 
 def _positions(sizes: DataFrame) -> DataFrame:

@@ -21,7 +21,10 @@ ROW = "_pipeline_row"
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a number for each row (``ROW``): its file's, by path, and its place there, so that it is the same
-    wherever the rows are read. What isn't a plain read of files is written first."""
+    wherever the rows are read. What isn't a plain read of files is written first. Columns of ``docs`` that are named like
+    the number are set aside until ``_without``."""
+    own = {c: f"_own{c}" for c in docs.columns if c.startswith(ROW)}
+    docs = docs.withColumnsRenamed(own) if own else docs
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = handed(docs, "keyed")
     placed = docs.withColumns({f"{ROW}_file": F.col("_metadata.file_path"), f"{ROW}_place": F.col("_metadata.row_index")})
@@ -35,7 +38,8 @@ def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows of ``keyed`` whose number isn't in ``rejected``, without the number. Up to ``BROADCAST_IDS`` numbers go to
     the documents, more meet them in a shuffle join."""
     rows = handed(rejected.select(ROW).distinct(), "rejected")
-    return keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in keyed.columns if c != ROW))
+    return keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ROW, "left_anti").select(
+        *(F.col(f"`{c}`").alias(c.removeprefix("_own") if c.startswith(f"_own{ROW}") else c) for c in keyed.columns if c != ROW))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

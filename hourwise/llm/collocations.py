@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.arrays import FOLD, FOLDED_BYTE, U64, mix, pieces, runs, span_hashes
+from hourwise.llm.arrays import FOLD, FOLDED_BYTE, U64, lean, mix, pieces, runs, span_hashes
 from hourwise.llm.ranking import first_rows
 from hourwise.llm.store import handed
 from hourwise.session import scratch_path
@@ -35,8 +35,8 @@ SHARDS = 3
 SLOTS = 1 << 24
 UNREACHED = 255
 #: Words whose phrases are looked at together.
-WORDS_AT_ONCE = 1 << 19
-PIECE_BYTES = 4 << 20
+WORDS_AT_ONCE = 1 << 18
+PIECE_BYTES = 2 << 20
 #: Of this many documents one is searched for the phrases' texts first; the whole table only for what isn't there.
 NAME_SAMPLE = 16
 
@@ -192,7 +192,7 @@ class PhraseCounts:
                 yield from _counted(b, known, step, shards, longest)
 
         shard = self.docs.filter(F.col("shard") == step % shards).select("lang", "text")
-        now = shard.mapInArrow(run, "k byte, since short, h long, c long").withColumn("fresh", F.col("c"))
+        now = shard.mapInArrow(lean(run), "k byte, since short, h long, c long").withColumn("fresh", F.col("c"))
         both = now if running is None else running.unionByName(now)
         return handed(both.groupBy("k", "since", "h").agg(F.sum("c").alias("c"), F.sum("fresh").alias("fresh")), f"phrases-{step}"), sent
 
@@ -215,7 +215,7 @@ class PhraseCounts:
             for b in batches:
                 yield from _texts_of(b, at, longest)
 
-        found = docs.select("lang", "text").mapInArrow(run, "k byte, h long, lang string, phrase string")
+        found = docs.select("lang", "text").mapInArrow(lean(run), "k byte, h long, lang string, phrase string")
         return found.join(wanted.select("k", "h"), ["k", "h"], "left_semi").groupBy("k", "h").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
 
 
